@@ -110,8 +110,8 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = BLANKS) -> None:
-        self.data, offsets = flat(column)
-        data = self.data
+        self.data, self.offsets = flat(column)
+        data, offsets = self.data, self.offsets
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~separators[data]
         body = inside[1:-1]
@@ -159,19 +159,6 @@ class Words:
             self._texts = np.repeat(np.arange(len(self.counts)), self.counts)
         return self._texts[words]
 
-    def joined(self, text: int, keep: np.ndarray | None = None) -> bytes:
-        """The words of a text, or those with a true ``keep``, joined by single spaces."""
-        return b" ".join(self.pieces(text, keep))
-
-    def pieces(self, text: int, keep: np.ndarray | None = None) -> list[bytes]:
-        a, b = self.first[text], self.first[text + 1]
-        s, e = self.starts[a:b], self.ends[a:b]
-        if keep is not None:
-            s, e = s[keep], e[keep]
-        raw = self.data.tobytes() if len(s) == 0 else self.data[s[0] : e[-1]].tobytes()
-        zero = int(s[0]) if len(s) else 0
-        return [raw[i:j] for i, j in zip((s - zero).tolist(), (e - zero).tolist(), strict=True)]
-
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values."""

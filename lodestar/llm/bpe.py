@@ -16,14 +16,12 @@ input that are not named are not returned by ``encode``.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -31,6 +29,8 @@ from pyspark.sql import DataFrame
 
 #: Stretches between white space that a worker remembers; beyond, the memory starts anew.
 MEMORY = 400_000
+#: Rows of a batch that go back to Spark.
+ROWS = 500
 #: Fragments that a worker remembers; the least recently used go.
 FRAGMENTS = 200_000
 
@@ -253,43 +253,27 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>, decoded string) for each row of ``docs``."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string"
+    """(key, n_tokens, ids, decoded) for each row of ``docs``; ids: little-endian unsigned 32-bit integers, one after another."""
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [model.both(t or "") for t in part.column(1).to_pylist()]
-                offsets = list(chain([0], _running(len(b) // 4 for b, _ in found)))
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(b for b, _ in found))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([d for _, d in found], pa.string())], [key, "ids", "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [model.both(value.as_py() or "") for value in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) // 4 for b, _ in found], pa.int64()), pa.array([b for b, _ in found], pa.binary()), pa.array([d for _, d in found], pa.string())], [key, "n_tokens", "ids", "decoded"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _running(counts: Iterator[int]) -> Iterator[int]:
-    total = 0
-    for n in counts:
-        total += n
-        yield total
-
-
-def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): as ``encode``, with digests in place of the ids and the decoded text."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded) for rows with ids as ``encode`` gives them; null counts as no ids."""
+    schema = f"`{key}` {tokens.schema[key].dataType.simpleString()}, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
-            counts, ids, texts = [], [], []
-            for value in batch.column(1):
-                found, decoded = model.both(value.as_py() or "")
-                counts.append(len(found) // 4)
-                ids.append(hashlib.sha256(found).hexdigest())
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(value.as_py() or b"") for value in batch.column(1)], pa.string())], [key, "decoded"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return tokens.select(key, ids).mapInArrow(run, schema)
