@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, substrings
+from lodestar.llm import bpe, ngram_join, substrings
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.document_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op8_ngram_join": op8_ngram_join}
 
 SQL: dict[str, str] = {}
