@@ -68,6 +68,11 @@ def fingerprints(rows: DataFrame, *keep: str) -> DataFrame:
     return hashed.select(*keep, "n_words", _least(F.col("hashes")).alias("prints"))
 
 
+def _places(words: Column, size: int) -> Column:
+    """(first, size, gram) of each run of ``size`` words."""
+    return F.transform(_runs(words, size), lambda i: F.struct(i.alias("first"), F.lit(size).alias("size"), F.array_join(F.slice(words, i, size), " ").alias("gram")))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -95,9 +100,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
 
     found = keyed.join(pairs.select(F.col("key").alias("k"), F.col("doc_id").alias("d")).distinct(), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["key", "doc_id"])
     found = found.select("key", "doc_id", words_of(F.col("text")).alias("words"))
-    places = found.select(
-        "key", "doc_id", F.explode(F.flatten(F.array(*[F.transform(_runs(F.col("words"), size), lambda i, size=size: F.struct(i.alias("first"), F.lit(size).alias("size"), F.array_join(F.slice("words", i, size), " ").alias("gram"))) for size in sizes or [WINDOW]]))).alias("place")
-    ).select("key", "doc_id", "place.*")
+    places = found.select("key", "doc_id", F.explode(F.flatten(F.array(*[_places(F.col("words"), size) for size in sizes or [WINDOW]]))).alias("place")).select("key", "doc_id", "place.*")
     matched = places.join(_small(grams.withColumnRenamed("size", "item_size"), n_grams), "gram").where("size = item_size")
     hits = matched.select("key", "doc_id", F.col("first"), (F.col("first") + F.col("size")).alias("past"), "item_id")
     return base.select("key", "doc_id", "n_words"), hits
