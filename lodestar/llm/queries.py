@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, ngram_join, substrings
+from lodestar.llm import bpe, decontaminate, line_rules, ngram_join, substrings
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_rules.judged(table(spark, sf_dir, "documents"), "doc_id")
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.document_components(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op8_ngram_join": op8_ngram_join, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op5_line_rules": op5_line_rules, "op8_ngram_join": op8_ngram_join, "op10_decontamination": op10_decontamination}
 
 _SQL_OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -55,4 +60,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op10_decontamination": _SQL_OP10}
+_FAILS = " OR ".join(f"regexp_matches(line, '{x}')" for x in line_rules.LINE_RULES.values())
+
+_SQL_OP5 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, line, {_FAILS} OR (NOT regexp_matches(line, '{line_rules.SENTENCE_MARK}') AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {line_rules.LONG_LINE}) AS bad
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+  sum(CASE WHEN bad THEN length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) ELSE 0 END) AS lost FROM lines GROUP BY doc_id),
+places AS (SELECT doc_id, i, w[i : i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM places GROUP BY doc_id, g HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS x FROM places JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN by_line USING (doc_id) LEFT JOIN repeated USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {line_rules.MOST_LOST} * word_chars AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+"""
+
+SQL: dict[str, str] = {"op5_line_rules": _SQL_OP5, "op10_decontamination": _SQL_OP10}
