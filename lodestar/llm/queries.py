@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, line_rules, ngram_join, substrings, url_filter
+from lodestar.llm import bpe, decontaminate, line_rules, ngram_join, substrings, url_filter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_rules.judged(table(spark, sf_dir, "documents"), "doc_id")
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op5_line_rules": op5_line_rules, "op8_ngram_join": op8_ngram_join, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op8_ngram_join": op8_ngram_join, "op10_decontamination": op10_decontamination}
 
 _SQL_OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -83,4 +87,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 """
 
-SQL: dict[str, str] = {"op5_line_rules": _SQL_OP5, "op10_decontamination": _SQL_OP10}
+_SQL_OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+SQL: dict[str, str] = {"op4_warc": _SQL_OP4, "op5_line_rules": _SQL_OP5, "op10_decontamination": _SQL_OP10}
