@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrowtext import Words, chunks, mix, signed
@@ -196,6 +196,22 @@ def _hub_pairs(groups: DataFrame, by: Callable[[str], object]) -> DataFrame:
     return groups.join(hubs, "shingle").where("comp <> b_comp").select(F.col("doc_id").alias("a"), F.col("meta").alias("a_meta"), "b", "b_meta")
 
 
+def _remaining_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a shingle's rows in different components that pass the length, positional and suffix filters while they are joined.
+
+    Here the positional bound holds at any shared shingle: before it no more than the lesser rank can be shared, after it no more than the lesser rest.
+    """
+    rows = groups.join(sets.select("doc_id", "bins"), "doc_id")
+    left, right = (rows.select("shingle", F.col("doc_id").alias(s), F.col("meta").alias(f"{s}_meta"), F.col("comp").alias(f"{s}_comp"), F.col("bins").alias(f"{s}_bins")) for s in "ab")
+    n_a, n_b = F.shiftright("a_meta", 32), F.shiftright("b_meta", 32)
+    rank_a, rank_b = (F.col(f"{s}_meta").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
+    needed = (n_a + n_b) * percent
+    near = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & ((F.least(rank_a, rank_b) + F.least(n_a - rank_a, n_b - rank_b)) * (100 + percent) >= needed)
+    overlap = sum((F.least(F.get("a_bins", i), F.get("b_bins", i)) for i in range(1, _BINS)), F.least(F.get("a_bins", 0), F.get("b_bins", 0)))
+    joined = left.join(right, (left.shingle == right.shingle) & (F.col("a") > F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near & (overlap * (100 + percent) >= needed))
+    return joined.select("a", "a_meta", "b", "b_meta")
+
+
 def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, components).
 
@@ -210,8 +226,6 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
     known = written(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "bins", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
     rows = _prefixes(texts, bucket_counts(statistics), size, percent)
-    from pyspark.sql import Window
-
     over = Window.partitionBy("shingle", "salt")
     shared = rows.withColumns({"low": F.min("doc_id").over(over), "high": F.max("doc_id").over(over)}).where("low < high OR salt > 0").select("shingle", "doc_id", "meta")
     prefixes = written(shared, "prefixes")
@@ -232,10 +246,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
         if turn < ROUNDS:
             pairs = _hub_pairs(current, (lambda c: F.col(c)) if turn == 0 else (lambda c, t=turn: F.xxhash64(c, F.lit(t))))
         else:
-            left, right = (current.select("shingle", F.col("doc_id").alias(s), F.col("meta").alias(f"{s}_meta"), F.col("comp").alias(f"{s}_comp")) for s in "ab")
-            near = F.shiftright("a_meta", 32) * 100 >= F.shiftright("b_meta", 32) * percent
-            near &= F.shiftright("b_meta", 32) * 100 >= F.shiftright("a_meta", 32) * percent
-            pairs = left.join(right, (left.shingle == right.shingle) & (F.col("a") > F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near).select("a", "a_meta", "b", "b_meta")
+            pairs = _remaining_pairs(current, firsts, percent)
         pairs = _bounded(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = written(_suffix(pairs, firsts, percent).distinct(), "pairs")
         if turn and pairs.isEmpty():
