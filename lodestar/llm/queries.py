@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, line_rules, ngram_join, quality, substrings, toxicity, url_filter, warc
+from lodestar.llm import bpe, decontaminate, licenses, line_rules, ngram_join, quality, substrings, toxicity, url_filter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "licenses", F.size("matches").cast("long").alias("n_matches"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best_containment"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.document_components(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
 
 _SQL_OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
