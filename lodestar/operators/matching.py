@@ -45,7 +45,7 @@ def suppressed(boxes: DataFrame, frame: str, most: float = 0.45) -> DataFrame:
     def overlapping(a: Column, b: Column) -> Column:
         both = F.greatest(F.lit(0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) * F.greatest(F.lit(0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
         area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
-        return both >= most * (area(a) + area(b) - both)
+        return F.coalesce(F.try_divide(both, area(a) + area(b) - both) >= most, F.lit(False))
 
     kind = ordered.schema["boxes"].dataType.simpleString()
     kept = F.aggregate("boxes", F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: overlapping(k, x)), kept).otherwise(F.array_append(kept, x)))
