@@ -143,5 +143,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that share a window with the benchmark."""
     _, hits = contaminated_spans(docs, benchmark)
-    bad = hits.select(F.col("key").alias("k"), F.col("doc_id").alias("d")).distinct()
-    return docs.join(bad, (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("k")) & docs["doc_id"].eqNullSafe(F.col("d")), "left_anti")
+    bad = hits.select(F.col("key").alias("_hit_key"), F.col("doc_id").alias("_hit_id")).distinct()
+    return docs.join(bad, (F.xxhash64("doc_id", "text") == F.col("_hit_key")) & F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")

@@ -153,25 +153,23 @@ def site_shares(rows: DataFrame) -> tuple[DataFrame, float]:
 
 
 def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` with _evidence, _host_share, _path_share, _posterior and _good."""
+    """(row, host_share, path_share, evidence, posterior, good) for each row of ``docs``; row holds its columns."""
     own = evidence(fit(docs, labels))
-    keyed = {"_host": F.coalesce(host, F.lit("")), "_path": F.coalesce(path, F.lit(""))}
-    rows = docs.withColumns({**keyed, "_evidence": own("text")})
-    sites, mean = site_shares(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence")))
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("host_share").alias("_host_share"), F.col("path_share").alias("_path_share"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), own("text").alias("evidence"))
+    sites, mean = site_shares(packed.select("host", "path", "evidence"))
     if sites.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
-    odds = F.log(F.col("_path_share") / (1 - F.col("_path_share"))) - math.log(mean / (1 - mean))
-    posterior = 1 / (1 + F.exp(-(F.col("_evidence") / MICRO + odds)))
-    return rows.join(sites, ["_host", "_path"]).withColumn("_posterior", posterior).withColumn("_good", F.col("_posterior") >= KEEP)
+    odds = F.log(F.col("path_share") / (1 - F.col("path_share"))) - math.log(mean / (1 - mean))
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") / MICRO + odds)))
+    return packed.join(sites, ["host", "path"]).withColumn("posterior", posterior).withColumn("good", F.col("posterior") >= KEEP)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, evidence, host_share, path_share, posterior, good) for each row."""
     done = judged(docs.select("doc_id", "text", "source", "lang"), labels)
-    return done.select("doc_id", (F.col("_evidence") / MICRO).alias("evidence"), F.col("_host_share").alias("host_share"), F.col("_path_share").alias("path_share"), F.col("_posterior").alias("posterior"), F.col("_good").alias("good"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), (F.col("evidence") / MICRO).alias("evidence"), "host_share", "path_share", "posterior", "good")
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows judged bad."""
-    return judged(docs, labels).where("_good").select(*docs.columns)
+    return judged(docs, labels).where("good").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

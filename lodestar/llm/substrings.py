@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ def minimizer_bounds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
 def _marks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, span, path) of a column of lists of (span, path); null lists have none."""
-    counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).astype(np.int64)
-    values = pa.compute.list_flatten(column)
+    counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    values = pc.list_flatten(column)
     return np.repeat(np.arange(len(column)), counts), np.asarray(values.field("span")), np.asarray(values.field("path"))
 
 
@@ -247,7 +248,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
                 np.add.at(steps, first, 1)
                 np.add.at(steps, past, -1)
                 cut, _, removed = _assembled(words, np.cumsum(steps[:-1]) > 0)
-                cut = pa.compute.if_else(pa.array(removed > 0), cut, part.column("text"))
+                cut = pc.if_else(pa.array(removed > 0), cut, part.column("text"))
                 whole = pa.array((removed == 0) | (removed < words.counts))
                 yield pa.RecordBatch.from_arrays([cut, part.column("row")], ["text", "row"]).filter(whole)
 
