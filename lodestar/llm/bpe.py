@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Stretches between white space that a worker remembers; beyond, the memory starts anew.
-MEMORY = 400_000
+#: Stretches between white space in each of a worker's two memories, the present and the one before it.
+MEMORY = 100_000
 #: Rows of a batch that go back to Spark.
 ROWS = 500
 #: Fragments that a worker remembers; the least recently used go.
-FRAGMENTS = 200_000
+FRAGMENTS = 60_000
 
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
 _OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -182,16 +182,24 @@ class WordBpe:
 
 
 class _Known(dict):
-    """(bytes of the ids, decoded tokens) by stretch of text without white space."""
+    """(bytes of the ids, decoded tokens) by stretch of text without white space.
 
-    def __init__(self, model: WordBpe) -> None:
+    When it is full it becomes ``before``, from which stretches still in use come back.
+    """
+
+    def __init__(self, model: WordBpe, most: int) -> None:
         super().__init__()
-        self.model = model
+        self.model, self.most, self.before = model, most, {}
 
     def __missing__(self, stretch: str) -> tuple[bytes, str]:
-        ids = [i for word in self.model.split(stretch) for i in self.model.word_ids(word)]
-        found = (le_bytes(ids), " ".join([self.model.texts[i] for i in ids]))
+        found = self.before.get(stretch)
+        if found is None:
+            ids = [i for word in self.model.split(stretch) for i in self.model.word_ids(word)]
+            found = (le_bytes(ids), " ".join([self.model.texts[i] for i in ids]))
         if len(stretch) <= 64:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
             self[stretch] = found
         return found
 
@@ -212,12 +220,10 @@ class Codec:
     """Encodes whole texts word by word, with a bounded memory."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
-        self.model, self.most = WordBpe(path), memory
-        self.known = _Known(self.model)
+        self.model = WordBpe(path)
+        self.known = _Known(self.model, memory)
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        if len(self.known) > self.most:
-            self.known.clear()
         model, known = self.model, self.known.__getitem__
         if model.specials is None or "<|" not in text:
             return [known(x) for x in _SPACE.split(model.normalized(text))]

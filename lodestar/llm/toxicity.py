@@ -44,7 +44,7 @@ CLASSES = (1.0, 1.75, 2.5, 3.25, 4.0)
 LABELLED = 3
 WINDOW = 64
 #: Words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 150_000
 THRESHOLD = 0.3
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
