@@ -26,9 +26,11 @@ is compared and they share the id's component; an empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,10 +156,10 @@ def _with_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                 _, text, hashes = sets_of(part.column("text"), size)
                 ends = np.searchsorted(text, np.arange(part.num_rows + 1))
                 packed = [hashes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                counts = np.asarray(pa.compute.list_value_length(part.column("partners"))).astype(np.int64)
+                counts = np.asarray(pc.list_value_length(part.column("partners"))).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), counts)
                 ids = np.asarray(part.column("doc_id"))[row]
-                b = pa.compute.list_flatten(part.column("partners"))
+                b = pc.list_flatten(part.column("partners"))
                 for at in range(0, len(row), 1000):
                     yield pa.RecordBatch.from_arrays([b[at : at + 1000], pa.array(ids[at : at + 1000]), pa.array([packed[i] for i in row[at : at + 1000]], pa.binary())], ["b", "a", "shingles"])
 
@@ -197,19 +199,32 @@ def _hub_pairs(groups: DataFrame, by: Callable[[str], object]) -> DataFrame:
 
 
 def _remaining_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a shingle's rows in different components that pass the length, positional and suffix filters while they are joined.
+    """Pairs of a shingle's rows in different components, joined at their first common prefix shingle only.
 
-    Here the positional bound holds at any shared shingle: before it no more than the lesser rank can be shared, after it no more than the lesser rest.
+    There the positional bound is sharpest: none before it is shared. A shingle
+    that two components share is in ``groups`` for both, so a document's rows
+    here hold all that it can share with another component. The filters are
+    part of the join: a pair gives one row if they pass, else none.
     """
-    rows = groups.join(sets.select("doc_id", "bins"), "doc_id")
-    left, right = (rows.select("shingle", F.col("doc_id").alias(s), F.col("meta").alias(f"{s}_meta"), F.col("comp").alias(f"{s}_comp"), F.col("bins").alias(f"{s}_bins")) for s in "ab")
+    low = F.lit((1 << 32) - 1)
+    rank = F.col("meta").bitwiseAND(low)
+    orders = groups.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "shingle"))), lambda x: x["shingle"]).alias("order"))
+    rows = groups.join(sets.select("doc_id", "bins"), "doc_id").join(orders, "doc_id")
+    left, right = (rows.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("meta", "comp", "bins", "order")], F.col("doc_id").alias(s)) for s in "ab")
     n_a, n_b = F.shiftright("a_meta", 32), F.shiftright("b_meta", 32)
-    rank_a, rank_b = (F.col(f"{s}_meta").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
+    rest_a, rest_b = n_a - F.col("a_meta").bitwiseAND(low), n_b - F.col("b_meta").bitwiseAND(low)
     needed = (n_a + n_b) * percent
-    near = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & ((F.least(rank_a, rank_b) + F.least(n_a - rank_a, n_b - rank_b)) * (100 + percent) >= needed)
     overlap = sum((F.least(F.get("a_bins", i), F.get("b_bins", i)) for i in range(1, _BINS)), F.least(F.get("a_bins", 0), F.get("b_bins", 0)))
-    joined = left.join(right, (left.shingle == right.shingle) & (F.col("a") > F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near & (overlap * (100 + percent) >= needed))
-    return joined.select("a", "a_meta", "b", "b_meta")
+    tests = [
+        left.shingle == right.shingle,
+        F.col("a") > F.col("b"),
+        F.col("a_comp") != F.col("b_comp"),
+        F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent,
+        F.least(rest_a, rest_b) * (100 + percent) >= needed,
+        overlap * (100 + percent) >= needed,
+        F.get(F.array_intersect("a_order", "b_order"), 0) == left.shingle,
+    ]
+    return left.join(right, reduce(lambda x, y: x & y, tests)).select("a", "a_meta", "b", "b_meta")
 
 
 def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -278,7 +293,13 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id, and without repeated rows of an id; unlinked rows all stay."""
-    found = document_components(docs.where("doc_id IS NOT NULL"), size, percent)
+    """``docs`` without the rows whose component has a smaller id; of rows that share an id the one with the least text stays, rows without an id all stay."""
+    found = written(document_components(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), size, percent), "found")
     later = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    least = several.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(least)
