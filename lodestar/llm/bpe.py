@@ -22,17 +22,18 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Stretches between white space in each of a worker's two memories, the present and the one before it.
-MEMORY = 100_000
+MEMORY = 150_000
+#: Words that a worker remembers; the least recently used go.
+WORDS = 80_000
 #: Rows of a batch that go back to Spark.
 ROWS = 500
-#: Fragments that a worker remembers; the least recently used go.
-FRAGMENTS = 60_000
 
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
 _OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,7 +90,7 @@ class WordBpe:
         self.old_words = regex.compile(split.replace(r"[\p{L}]", rf"[\p{{L}}--[{_YOUNG}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{_YOUNG}]]").replace(r"\p{L}\p{N}]+", rf"[\p{{L}}--[{_YOUNG}]][\p{{N}}--[{_YOUNG}]]]+"), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inner = self._inner_pairs()
-        self.encode_fragment = lru_cache(FRAGMENTS)(self._encode_fragment)
+        self.word_ids = lru_cache(WORDS)(self._word_ids)
 
     def _inner_pairs(self) -> set[str]:
         """Pairs of symbols that are neighbours inside some vocabulary entry; any other pair is a forced boundary."""
@@ -114,6 +115,8 @@ class WordBpe:
 
     def fragments(self, word: str) -> list[tuple[str, bool]]:
         """A word in byte letters, cut at its forced boundaries; the flag marks the word's end."""
+        if self.inner.issuperset(map(add, word, word[1:])):
+            return [(word, True)]
         out, begin = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.inner:
@@ -173,11 +176,11 @@ class WordBpe:
             offer(i)
         return [self.ids[p] for p in parts if p is not None and p in self.ids]
 
-    def word_ids(self, word: str) -> list[int]:
+    def _word_ids(self, word: str) -> list[int]:
         letters = "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
         return [i for f, ends in self.fragments(letters) for i in self.encode_fragment(f, ends)]
 
-    def _encode_fragment(self, fragment: str, ends: bool) -> list[int]:
+    def encode_fragment(self, fragment: str, ends: bool) -> list[int]:
         return (self.merged if len(fragment) < 64 else self.long_merged)(fragment, ends)
 
 
