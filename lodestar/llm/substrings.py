@@ -140,18 +140,20 @@ def _by_document(marks: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, marks): places whose word windows also start in a document with a smaller id."""
+    # each table of groups is written before it is joined: then both sides are plain exchanges, which Spark can split on a hot key
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    shared = minimizer_bounds(texts, window, seed).groupBy("minimizer").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("minimizer")
+    bounds = minimizer_bounds(texts, window, seed).groupBy("minimizer").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = written(bounds.where("low < high").select("minimizer"), "minimizers")
     found = written(path_rows(texts, window, seed).join(shared, "minimizer"), "paths")
 
-    paths = found.groupBy("minimizer", "path").agg(F.min("doc_id").alias("low"))
+    paths = written(found.groupBy("minimizer", "path").agg(F.min("doc_id").alias("low")), "firsts")
     marked = found.join(paths, ["minimizer", "path"])
     settled = marked.where("doc_id > low").select("doc_id", "span", "path")
 
-    branching = paths.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer")
+    branching = written(paths.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "branching")
     opened = marked.where("doc_id = low").join(branching, "minimizer", "left_semi").select("doc_id", "span", "path")
     edges = written(_edge_rows(texts.join(_by_document(opened), "doc_id"), window), "edges")
-    firsts = edges.groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "low")
+    firsts = written(edges.groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "low"), "edge-firsts")
     single = edges.join(firsts, "path").where("doc_id > low").select("doc_id", "span", "path")
     return _by_document(settled.unionByName(single))
 
