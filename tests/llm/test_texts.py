@@ -221,3 +221,48 @@ def test_sql_gives_the_same_rows(spark, small, duck, name):
     columns = [d[0] for d in told.description]
     assert sorted(columns) == sorted(found.columns)
     assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr) == sorted(told.fetchall(), key=repr)
+
+
+def _licenses_of(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    return [r["licenses"] for r in rows]
+
+
+def test_one_line_license_wordings(spark):
+    want = {
+        "Licensed under the MIT License.": ["MIT"], "Code is MIT licensed": ["MIT"], "SPDX-License-Identifier: MIT": ["MIT"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "Shared under CC BY-SA 3.0": ["CC-BY-SA-3.0"], "licensed under CC BY-NC-ND 4.0": ["CC-BY-NC-ND-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "Distributed under the terms of the GNU Lesser General Public License v2.1": ["LGPL-2.1"], "released under the GPLv3": ["GPL-3.0"],
+        "Use of this source code is governed by a BSD-style license": ["BSD"], "Released under the 2-clause BSD license": ["BSD-2-Clause"],
+        "licensed under the Apache License 2.0": ["Apache-2.0"], "released under the GNU General Public License": ["GPL"],
+        "The mit of this text and a license to kill": [], "he went mit dem hund": [],
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": ["GPL-3.0"],
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": ["GPL-2.0"],
+    }
+    assert dict(zip(want, _licenses_of(spark, list(want)), strict=True)) == want
+
+
+def test_whole_license_texts(spark):
+    """Also texts as Debian ships them, which hold preambles and notices that the templates lack."""
+    from pathlib import Path
+
+    held = dict(licenses.texts())
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0"} <= held.keys()
+    got = _licenses_of(spark, [f"some words before\n{t}\nand after" for t in held.values()])
+    assert dict(zip(held, got, strict=True)) == {name: [name] for name in held}
+    isc = """Copyright (c) 2014, A B <a@b.c>
+
+Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    lone = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    both = held["MIT"] + "\n" + held["GPL-2.0"] + "\n" + held["BSD-2-Clause"]
+    assert _licenses_of(spark, [isc, lone, both]) == [["ISC"], ["BSD"], ["BSD-2-Clause", "GPL-2.0", "MIT"]]
+    shipped = Path("/usr/share/common-licenses")
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "BSD": "BSD-3-Clause"}
+    there = {path: name for path, name in names.items() if (shipped / path).exists()}
+    got = _licenses_of(spark, [(shipped / path).read_text(errors="replace") for path in there])
+    assert all(name in found for name, found in zip(there.values(), got, strict=True)), got
