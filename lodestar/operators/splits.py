@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import stable_fraction
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
-#: Groups that the driver's greedy allocation takes; a larger table is allotted by hash alone.
-GROUPS_MOST = 200_000
 
 
 def split_of(group: Column, seed: int | str) -> Column:
@@ -35,45 +36,51 @@ def leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
 def stratified(rows: DataFrame, group: str, label: str, seed: int, shares: dict[str, float] | None = None) -> DataFrame:
     """(group, split): groups with rare labels first, each to the split whose counts then come closest to their targets.
 
-    Sequential by nature, so it runs on the driver over (group, label, n)
-    counts only; with more than ``GROUPS_MOST`` groups, ``split_of`` is used.
+    One rule at every size. Each choice depends on those before, so the groups
+    pass in order through one task, a row a group, which keeps counts by split
+    and label only; counting and totals run before that on all executors. A
+    null group or label is one of its own.
     """
     shares = shares or SHARES
-    counts = rows.groupBy(group, label).agg(F.count("*").alias("n"))
-    groups = counts.select(group).distinct()
-    if groups.count() > GROUPS_MOST:
-        return groups.select(group, split_of(F.col(group), seed).alias("split"))
-    table = counts.join(groups.select(group, stable_fraction(F.col(group), seed).alias("at")), group).toPandas()
-    label_totals = table.groupby(label)["n"].sum().to_dict()
-    total = sum(label_totals.values())
-    order = []
-    for name, part in table.groupby(group):
-        labels = dict(zip(part[label], part["n"], strict=True))
-        order.append((min(label_totals[x] for x in labels), -len(labels), -sum(labels.values()), part["at"].iloc[0], name, labels))
-    order.sort(key=lambda x: x[:5])
-    filled = {s: {} for s in shares}
-    sizes = dict.fromkeys(shares, 0)
-    out = []
-    for i, (*_, at, name, labels) in enumerate(order):
-        empty = [s for s in shares if sizes[s] == 0]
-        names = empty if empty and len(order) - i <= len(empty) else list(shares)
-
-        def cost(split: str, labels: dict = labels) -> float:
-            size = sum(labels.values())
-            before, after = _gap(sizes[split], total * shares[split]), _gap(sizes[split] + size, total * shares[split])
-            change = after - before
-            for x, n in labels.items():
-                goal = label_totals[x] * shares[split]
-                change += (_gap(filled[split].get(x, 0) + n, goal) - _gap(filled[split].get(x, 0), goal)) / label_totals[x] ** 0.5
-            return change
-
-        best = min(names, key=lambda s: (cost(s), abs(at - list(shares).index(s) / len(shares)), s))
-        sizes[best] += sum(labels.values())
-        for x, n in labels.items():
-            filled[best][x] = filled[best].get(x, 0) + n
-        out.append((name, best))
-    schema = f"`{group}` {dict(rows.dtypes)[group]}, split string"
-    return rows.sparkSession.createDataFrame(pd.DataFrame(out, columns=[group, "split"]), schema) if out else rows.sparkSession.createDataFrame([], schema)
+    counts = rows.groupBy(F.col(group).alias("g"), F.col(label).alias("x")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(F.col("x").alias("y")).agg(F.sum("n").alias("total"))
+    with_totals = counts.join(totals, F.col("x").eqNullSafe(F.col("y")))
+    # labels by number and not by value: any type of label will do
+    labels = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.col("x").isNull(), "x").alias("x"), "n", "total")))
+    groups = with_totals.groupBy("g").agg(labels.alias("labels"), F.sum("n").alias("size"), F.min("total").alias("rarity"))
+    groups = groups.withColumn("at", F.coalesce(stable_fraction(F.col("g"), seed), F.lit(0.0)))
+    n_groups, total = counts.groupBy("g").agg(F.sum("n").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ordered = groups.repartition(1).sortWithinPartitions("rarity", F.desc(F.size("labels")), F.desc("size"), "at", "g")
+    kind = dict(rows.dtypes)[group]
+
+    def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled: dict[str, dict[int, int]] = {s: {} for s in shares}
+        sizes = dict.fromkeys(shares, 0)
+        at_of = {s: i / len(shares) for i, s in enumerate(shares)}
+        left = n_groups
+        for batch in batches:
+            out = []
+            for labels, size, at in zip(*(batch.column(c).to_pylist() for c in ("labels", "size", "at")), strict=True):
+                empty = [s for s in shares if sizes[s] == 0]
+                names = empty if empty and left <= len(empty) else list(shares)
+
+                def cost(split: str, labels: list = labels, size: int = size) -> float:
+                    goal = total * shares[split]
+                    change = _gap(sizes[split] + size, goal) - _gap(sizes[split], goal)
+                    for entry in labels:
+                        have, goal = filled[split].get(entry["x"], 0), entry["total"] * shares[split]
+                        change += (_gap(have + entry["n"], goal) - _gap(have, goal)) / entry["total"] ** 0.5
+                    return change
+
+                best = min(names, key=lambda s: (cost(s), abs(at - at_of[s]), s))
+                sizes[best] += size
+                for entry in labels:
+                    filled[best][entry["x"]] = filled[best].get(entry["x"], 0) + entry["n"]
+                left -= 1
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.string())], [group, "split"])
+
+    return ordered.select("g", "labels", "size", "at").mapInArrow(allot, f"`{group}` {kind}, split string")
 
 
 def _gap(have: float, goal: float) -> float:

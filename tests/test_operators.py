@@ -94,6 +94,49 @@ def test_splits_never_tear_groups(spark):
     assert per_label.groupBy("label").agg(F.count_distinct("split").alias("k")).where("k < 3").isEmpty()
 
 
+def test_stratified_split_has_one_rule_at_every_size(spark):
+    """20 groups of a rare label among 200,100 are shared out to their targets."""
+    rows = spark.range(200_100).select(F.concat(F.lit("g"), F.col("id")).alias("g"), F.when(F.col("id") < 20, "rare").otherwise("common").alias("label"))
+    found = splits.stratified(rows, "g", "label", 1)
+    got = {(r["label"], r["split"]): r["n"] for r in rows.join(found, "g").groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
+    assert {s: got["rare", s] for s in splits.SHARES} == {"train": 14, "validation": 3, "test": 3}
+    assert sum(got.values()) == 200_100 and all(abs(got["common", s] - 200_080 * share) < 10 for s, share in splits.SHARES.items())
+
+
+def test_stratified_split_equals_a_plain_version(spark):
+    from collections import Counter, defaultdict
+
+    rows = [(f"g{i % 37}", None if i % 11 == 0 else "abcd"[i * i % 7 % 4]) for i in range(500)] + [(None, "a"), ("alone", None)]
+    frame = spark.createDataFrame(rows, "g string, label string")
+    fraction = {r["g"]: r["at"] or 0.0 for r in frame.select("g", splits.stable_fraction(F.col("g"), 5).alias("at")).distinct().collect()}
+    groups, totals = defaultdict(Counter), Counter(label for _, label in rows)
+    for g, label in rows:
+        groups[g][label] += 1
+    sizes, filled, want = Counter(), defaultdict(Counter), {}
+
+    def gap(have, goal):
+        return ((have - goal) / max(goal, 1.0)) ** 2
+
+    order = sorted(groups, key=lambda g: (min(totals[x] for x in groups[g]), -len(groups[g]), -groups[g].total(), fraction[g]))
+    for i, g in enumerate(order):
+        empty = [s for s in splits.SHARES if not sizes[s]]
+        allowed = empty if empty and len(order) - i <= len(empty) else list(splits.SHARES)
+
+        def score(split, g=g):  # the whole sum over splits and labels
+            out = 0.0
+            for s, share in splits.SHARES.items():
+                out += gap(sizes[s] + (groups[g].total() if s == split else 0), len(rows) * share)
+                out += sum(gap(filled[s][x] + (groups[g][x] if s == split else 0), n * share) / n**0.5 for x, n in totals.items())
+            return round(out, 9)
+
+        want[g] = min(allowed, key=lambda s: (score(s), abs(fraction[g] - list(splits.SHARES).index(s) / 3), s))
+        sizes[want[g]] += groups[g].total()
+        filled[want[g]].update(groups[g])
+    got = {r["g"]: r["split"] for r in splits.stratified(frame, "g", "label", 5).collect()}
+    assert got == want
+    assert splits.stratified(frame.limit(0), "g", "label", 5).count() == 0
+
+
 def test_corrections(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, label string")
     told = spark.createDataFrame([(1, "relabel", "z", True), (2, "remove", None, True), (3, "remove", None, False)], "id int, action string, new_label string, approved boolean")
