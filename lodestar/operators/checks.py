@@ -47,7 +47,7 @@ def mined(rows: DataFrame, rules: DataFrame, on: Sequence[str], order: Sequence[
 
 
 def group_lists(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, rows): the rows of each trimmed lower-case key."""
+    """(key, rows): the rows of each trimmed lower-case key. Gathers a key's rows: for keys with few."""
     return rows.groupBy(F.lower(F.trim(key)).alias(key)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
 
 

@@ -137,6 +137,16 @@ def test_stratified_split_equals_a_plain_version(spark):
     assert splits.stratified(frame.limit(0), "g", "label", 5).count() == 0
 
 
+def test_grouped_lists_gathers_no_rows(spark, tmp_path):
+    from lodestar.plans import QUERIES
+
+    rows = [(" A ", 5), ("a", None), ("a", 3), (None, 1)]
+    spark.createDataFrame(rows, "p_brand string, p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["grouped_lists"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("a", 3, 3), (None, 1, 1)}
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_corrections(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, label string")
     told = spark.createDataFrame([(1, "relabel", "z", True), (2, "remove", None, True), (3, "remove", None, False)], "id int, action string, new_label string, approved boolean")
