@@ -1,9 +1,10 @@
-"""Substring dedup over a compacted De Bruijn graph of word k-mers.
+"""Substring dedup over minimizer runs of a De Bruijn graph of word k-mers.
 
 Every run of ``window`` words is an edge of the graph. Consecutive edges of a
 document that share a minimizer (the least hash of their inner ``seed``-word
-runs) form one nonbranching path, and a path is one row: (minimizer, path
-hash, document, place). Equal edges always share their minimizer, so
+runs) form one path, and a path is one row: (minimizer, path hash, document,
+place). These runs stand in for compacted paths: no degrees of nodes are
+computed and no path goes on over a change of minimizer. Equal edges always share their minimizer, so
 
 1. minimizers found in one document only are set aside (two-phase aggregate),
 2. paths that recur as a whole are settled by the smallest document holding
@@ -13,7 +14,9 @@ hash, document, place). Equal edges always share their minimizer, so
    aggregated and joined in the same way.
 
 Paths and edges come back to their documents by source coordinates; before
-words are cut, the hash of the words found there must equal the path's. No
+words are cut, the hash of the words found there must equal the path's. That
+tells rows with a clashing id apart; the words are never compared with those of
+the smaller document, so the 64-bit hash decides what is equal. No
 group is gathered: hot minimizers, paths and edges are pre-aggregated before
 each shuffle, and the joins that bring the result back can be split anywhere.
 
