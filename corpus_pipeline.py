@@ -36,7 +36,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near copies", keep_first_copies), ("repeated passages", cut_repeats), ("benchmark leaks", drop_leaks), ("tokens", to_tokens)]
 
-#: Training and graph search are no SQL: the stages are tested against brute force.
+#: Training and graph search are no SQL; the pipeline's tests check columns and row counts only, not its texts.
 ORACLE_SQL = None
 
 
