@@ -1,26 +1,33 @@
 """Exact Jaccard join of documents on word n-grams: rare-first prefix filtering.
 
 1. A pass over the texts counts, for each document, its distinct shingles, a
-   128-bit fingerprint and a 16-bin histogram of the set, and for the corpus
-   the shingles by hash bucket (2**17 buckets, a bounded table).
+   128-bit fingerprint and the parities of the set in 256 parts of the hash
+   space, and for the corpus the shingles by hash bucket (2**17 buckets, a
+   bounded table). Documents with equal sets form a class; the first stands for it.
 2. Each document orders its shingles by (count of the bucket, hash), rare
    first, and sends its prefix: sets of Jaccard t share a shingle of the first
-   n - ceil(t n) + 1. Prefix shingles of one document only are dropped.
-   Shingles of hot buckets are salted, so no key gathers many rows.
+   n - ceil(t n) + 1. Prefix shingles of one document only are dropped; for
+   that, shingles of hot buckets are salted.
 3. Candidates are first each document with one hub of each prefix shingle
    (linear in the prefixes), then, over groups that the links found so far
    leave in several components, with other hubs, and at last all remaining
    pairs of different components: nothing is lost, yet a group of many near
-   copies costs a link each. Length, positional (the best bound over a pair's
-   shared prefix shingles) and suffix filters (overlap of histograms) prune
-   them; each pair is verified once on the full sets.
-4. Links become components; copies with equal sets follow their first document.
+   copies costs a link each. Length, positional and suffix filters prune them;
+   the suffix filter bounds the difference of two whole sets from below by the
+   parts in which their parities differ. All grouping is by aggregates, all
+   joins are plain equi-joins, which Spark splits where one shingle is hot.
+4. Each pair left is verified once on the full sets. Links become components;
+   copies with equal sets follow their first document.
+
+Shingles are compared by 64-bit hashes within a pair only: for two texts of
+10,000 shingles each, the chance that one compares falsely equal is under 6e-12.
 
 Defined cases: texts with fewer words than a shingle count as one shingle of
 all words; null or wordless texts have an empty set and link with nothing; a
 null id links with nothing and has a null component; rows that share an id
-count as copies of one document if their sets are equal, otherwise each text
-is compared and they share the id's component; an empty input gives no rows.
+share its component, each text is compared by itself; an empty input gives no
+rows; other columns are not read. A text is worked on whole, so a task needs
+some 100 times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -30,23 +37,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrowtext import Words, chunks, mix, signed
 from lodestar.llm.components import components
-from lodestar.llm.shared import written
+from lodestar.llm.shared import freed, written
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
 BUCKET_BITS = 17
-#: Rows of a shingle that go to one task at most, about.
+#: Rows of a shingle that go to one task at most, about, when those of one document are dropped.
 HOT = 1000
 #: Rounds in which groups try one hub before all remaining pairs are compared.
 ROUNDS = 2
-_BINS = 16
+#: Rows of a table of ids (16 bytes each) that may be broadcast; a longer one is joined by a shuffle.
+IDS_BROADCAST = 500_000
+#: Words of 64 parity bits that a document's set is summed up in.
+PARITIES = ["p0", "p1", "p2", "p3"]
 
 
 def sets_of(column: pa.Array, size: int = WORDS) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -64,12 +73,20 @@ def sets_of(column: pa.Array, size: int = WORDS) -> tuple[Words, np.ndarray, np.
     return words, text[new], hashes[new]
 
 
+def _parities(text: np.ndarray, hashes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """For each text, in which of 256 parts of the hash space its set has an odd number of shingles, as four words."""
+    bits = len(PARITIES) * 64
+    odd = (np.bincount(text * bits + (hashes & np.uint64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64).reshape(rows, len(PARITIES))
+    return [np.ascontiguousarray(packed[:, i]) for i in range(len(PARITIES))]
+
+
 def _statistics(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (n, one, two, bins), and rows (bucket, count) for each task."""
+    """A row for each document (n, one, two, parities), and rows (bucket, count) for each task."""
+    names = ["doc_id", "n", "one", "two", *PARITIES, "bucket", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["doc_id", "n", "one", "two", "bins", "bucket", "count"]
         for batch in batches:
             for part in chunks(batch):
                 _, text, hashes = sets_of(part.column("text"), size)
@@ -79,14 +96,11 @@ def _statistics(docs: DataFrame, size: int) -> DataFrame:
                 ends = np.cumsum(n)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(key)))]) for key in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 one, two = (signed(x[ends] - x[ends - n]) for x in sums)
-                bins = np.bincount(text * _BINS + (hashes >> np.uint64(60)).astype(np.int64), minlength=rows * _BINS).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * _BINS), pa.array(bins))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), lists, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, (n, one, two, *_parities(text, hashes, rows))), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
         at = np.flatnonzero(totals)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.list_(pa.int32())), pa.array(at), pa.array(totals[at])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64())] * (len(names) - 2) + [pa.array(at), pa.array(totals[at])], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, one bigint, two bigint, bins array<int>, bucket bigint, count bigint")
+    return docs.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
 def bucket_counts(statistics: DataFrame) -> np.ndarray:
@@ -127,156 +141,151 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> D
     return docs.mapInArrow(run, "shingle bigint, salt bigint, doc_id bigint, meta bigint")
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (a, a_meta, b, b_meta) that the length and positional filters leave, once each."""
-    n_a, n_b = F.shiftright("a_meta", 32), F.shiftright("b_meta", 32)
-    rest = lambda meta, n: n - F.col(meta).bitwiseAND(F.lit((1 << 32) - 1))
-    bound = F.least(rest("a_meta", n_a), rest("b_meta", n_b))
-    fits = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    # intersection >= percent / (100 + percent) * (n_a + n_b)
-    best = pairs.where(fits).select("a", "b", (n_a + n_b).alias("sizes"), bound.alias("bound")).groupBy("a", "b").agg(F.max("bound").alias("bound"), F.first("sizes").alias("sizes"))
-    return best.where(F.col("bound") * (100 + percent) >= F.col("sizes") * percent).select("a", "b")
-
+def _near_enough(a: str, b: str, percent: int) -> list[Column]:
+    """Tests of two rows of a shingle, by the prefixes of their columns: the length and the positional filter.
 
-def _suffix(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose histograms could overlap enough."""
-    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("bins").alias(f"{name}_bins"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    overlap = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return both.where(overlap * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b")
+    ``meta`` is set size * 2**32 + rank. None of the shingles before the first
+    common one are shared, so the overlap is at most what is left from there on.
+    A later common shingle bounds the overlap too low: a pair passes if any of
+    its common shingles passes.
+    """
+    n_a, n_b = F.shiftright(f"{a}meta", 32), F.shiftright(f"{b}meta", 32)
+    left = lambda meta, n: n - F.col(meta).bitwiseAND(F.lit((1 << 32) - 1))
+    # intersection >= percent / (100 + percent) * (n_a + n_b)
+    return [F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent, F.least(left(f"{a}meta", n_a), left(f"{b}meta", n_b)) * (100 + percent) >= (n_a + n_b) * percent]
 
 
-def _with_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(b, a, shingles): the pairs with the set of a, as bytes of ordered 64-bit hashes."""
-    partners = pairs.groupBy("a").agg(F.collect_list("b").alias("partners"))
+def _suffix_bound(a: str, b: str, sizes: Column, percent: int) -> Column:
+    """The suffix filter: parities that differ are a lower bound of the shingles that only one set has."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITIES])
+    return differ * (100 + percent) <= sizes * (100 - percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                _, text, hashes = sets_of(part.column("text"), size)
-                ends = np.searchsorted(text, np.arange(part.num_rows + 1))
-                packed = [hashes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                counts = np.asarray(pc.list_value_length(part.column("partners"))).astype(np.int64)
-                row = np.repeat(np.arange(part.num_rows), counts)
-                ids = np.asarray(part.column("doc_id"))[row]
-                b = pc.list_flatten(part.column("partners"))
-                for at in range(0, len(row), 1000):
-                    yield pa.RecordBatch.from_arrays([b[at : at + 1000], pa.array(ids[at : at + 1000]), pa.array([packed[i] for i in row[at : at + 1000]], pa.binary())], ["b", "a", "shingles"])
 
-    return docs.join(partners, docs.doc_id == partners.a).select("doc_id", "text", "partners").mapInArrow(run, "b bigint, a bigint, shingles binary")
+def _pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter leaves."""
+    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(p).alias(f"{name}_{p}") for p in PARITIES])
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(_suffix_bound("a_", "b_", F.col("a_n") + F.col("b_n"), percent)).select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs whose whole sets are similar enough."""
+    """(a, b) of the pairs whose whole sets are similar enough; ids of ``docs`` are unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int, str, np.ndarray] | None = None
         for batch in batches:
-            a, b = [], []
-            ids, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for i in range(batch.num_rows):
-                value = batch.column("text")[i]
-                text = value.as_py() or ""
-                if known is None or known[0] != others[i] or known[1] != text:
-                    known = (others[i], text, sets_of(pa.array([text]), size)[2])
-                mine = np.frombuffer(batch.column("shingles")[i].as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(known[2], mine), max(len(known[2]) - 1, 0))
-                same = int((known[2][at] == mine).sum()) if len(known[2]) else 0
-                if same and 100 * same >= percent * (len(mine) + len(known[2]) - same):
-                    a.append(ids[i])
-                    b.append(others[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sides = _with_sets(docs, pairs, size)
-    return sides.join(docs, docs.doc_id == sides.b).select("b", "a", "shingles", "text").mapInArrow(run, "a bigint, b bigint")
-
-
-def _hub_pairs(groups: DataFrame, by: Callable[[str], object]) -> DataFrame:
-    """Each row of a group of (shingle, comp) with the hub of the shingle, and the hub of each salt with it."""
-    low = groups.withColumn("order", by("doc_id"))
-    hubs = low.groupBy("shingle").agg(F.min_by("doc_id", "order").alias("b"), F.min_by("meta", "order").alias("b_meta"), F.min_by("comp", "order").alias("b_comp"))
-    return groups.join(hubs, "shingle").where("comp <> b_comp").select(F.col("doc_id").alias("a"), F.col("meta").alias("a_meta"), "b", "b_meta")
+            for part in chunks(batch, "a_text"):
+                (_, row_a, a), (_, row_b, b) = (sets_of(part.column(x), size) for x in ("a_text", "b_text"))
+                rows, hashes = np.concatenate([row_a, row_b]), np.concatenate([a, b])
+                order = np.lexsort((hashes, rows))
+                rows, hashes = rows[order], hashes[order]
+                twice = (rows[1:] == rows[:-1]) & (hashes[1:] == hashes[:-1])
+                both = np.bincount(rows[1:][twice], minlength=part.num_rows)
+                union = np.bincount(rows, minlength=part.num_rows) - both
+                yield part.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= percent * union)))
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    held = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+    texts = docs.select("doc_id", "text").join(held, "doc_id", "left_semi")
+    of = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
+
+
+def _hub_pairs(groups: DataFrame, by: Callable[[str], Column], percent: int) -> DataFrame:
+    """(a, b): each row of a group of (shingle, comp) with the hub of the shingle, the row that is first by ``by``."""
+    hubs = groups.groupBy("shingle").agg(F.min_by(F.struct("doc_id", "meta", "comp"), by("doc_id")).alias("hub"))
+    both = groups.join(hubs, "shingle").select(F.col("doc_id").alias("a"), F.col("meta").alias("a_meta"), "comp", F.col("hub.doc_id").alias("b"), F.col("hub.meta").alias("b_meta"), F.col("hub.comp").alias("hub_comp"))
+    return both.where(reduce(Column.__and__, _near_enough("a_", "b_", percent), F.col("comp") != F.col("hub_comp"))).select("a", "b")
 
 
 def _remaining_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a shingle's rows in different components, joined at their first common prefix shingle only.
+    """(a, b): all pairs of a shingle's rows in different components; the filters are part of the join, so that a pair gives rows only if it passes them."""
+    rows = groups.join(sets.select("doc_id", *PARITIES), "doc_id")
+    left, right = (rows.select("shingle", F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("meta", "comp", *PARITIES)]) for s in "ab")
+    sizes = F.shiftright("a_meta", 32) + F.shiftright("b_meta", 32)
+    tests = [left.shingle == right.shingle, F.col("a") > F.col("b"), F.col("a_comp") != F.col("b_comp"), *_near_enough("a_", "b_", percent), _suffix_bound("a_", "b_", sizes, percent)]
+    return left.join(right, reduce(Column.__and__, tests)).select("a", "b")
 
-    There the positional bound is sharpest: none before it is shared. A shingle
-    that two components share is in ``groups`` for both, so a document's rows
-    here hold all that it can share with another component. The filters are
-    part of the join: a pair gives one row if they pass, else none.
-    """
-    low = F.lit((1 << 32) - 1)
-    rank = F.col("meta").bitwiseAND(low)
-    orders = groups.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "shingle"))), lambda x: x["shingle"]).alias("order"))
-    rows = groups.join(sets.select("doc_id", "bins"), "doc_id").join(orders, "doc_id")
-    left, right = (rows.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("meta", "comp", "bins", "order")], F.col("doc_id").alias(s)) for s in "ab")
-    n_a, n_b = F.shiftright("a_meta", 32), F.shiftright("b_meta", 32)
-    rest_a, rest_b = n_a - F.col("a_meta").bitwiseAND(low), n_b - F.col("b_meta").bitwiseAND(low)
-    needed = (n_a + n_b) * percent
-    overlap = sum((F.least(F.get("a_bins", i), F.get("b_bins", i)) for i in range(1, _BINS)), F.least(F.get("a_bins", 0), F.get("b_bins", 0)))
-    tests = [
-        left.shingle == right.shingle,
-        F.col("a") > F.col("b"),
-        F.col("a_comp") != F.col("b_comp"),
-        F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent,
-        F.least(rest_a, rest_b) * (100 + percent) >= needed,
-        overlap * (100 + percent) >= needed,
-        F.get(F.array_intersect("a_order", "b_order"), 0) == left.shingle,
-    ]
-    return left.join(right, reduce(lambda x, y: x & y, tests)).select("a", "a_meta", "b", "b_meta")
-
-
-def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(sets, components).
-
-    sets: doc_id, n, rep for each row with an id (rep: the least id with an
-    equal set); components: node, component for the reps that have a link.
+
+def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sets, components) of documents (doc_id, text) with unique ids.
+
+    sets: doc_id, n, rep for each document (rep: the least id with an equal
+    set); components: node, component for the reps that have a link. ``same``
+    holds further links (a, b).
     """
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    texts = docs.select("doc_id", "text")
     statistics = written(_statistics(texts, size), "sets")
-    sets = statistics.where("doc_id IS NOT NULL").select("doc_id", "n", "one", "two", "bins")
+    sets = statistics.where("doc_id IS NOT NULL")
     classes = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
     # equal sets follow their class; the join can be split, as a class may hold a third of all rows
-    known = written(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "bins", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    known = written(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), *PARITIES), "classes")
+    # one row for each shingle and set: copies with equal sets have equal prefixes
+    firsts = known.where("doc_id = rep")
 
     rows = _prefixes(texts, bucket_counts(statistics), size, percent)
+    freed(statistics)
     over = Window.partitionBy("shingle", "salt")
     shared = rows.withColumns({"low": F.min("doc_id").over(over), "high": F.max("doc_id").over(over)}).where("low < high OR salt > 0").select("shingle", "doc_id", "meta")
-    prefixes = written(shared, "prefixes")
+    groups = written(shared.join(firsts.select("doc_id"), "doc_id", "left_semi"), "groups")
 
-    # one row for each shingle and set: copies with equal sets have equal prefixes
-    firsts = known.where("doc_id = rep").select("doc_id", "n", "bins").dropDuplicates(["doc_id", "n"])
-    groups = written(prefixes.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "groups")
-    found = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("false")
-    tried = found
-    comps = None
+    found, tried, comps = [], [], None
+    if same is not None:
+        of = lambda name: known.select(F.col("doc_id").alias(name), F.col("rep").alias(f"{name}_rep"))
+        found.append(written(same.join(of("a"), "a").join(of("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "same"))
+        comps = components(found[0])
     for turn in range(ROUNDS + 1):
+        passing = []
         if comps is None:
             current = groups.withColumn("comp", F.col("doc_id"))
         else:
-            current = groups.join(comps, groups.doc_id == comps.node, "left").select("shingle", "doc_id", "meta", F.coalesce("component", "doc_id").alias("comp"))
-        mixed = current.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
-        current = written(current.join(mixed, "shingle"), "mixed")
+            named = written(groups.join(comps, groups.doc_id == comps.node, "left").select("shingle", "doc_id", "meta", F.coalesce("component", "doc_id").alias("comp")), "named")
+            mixed = written(named.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle"), "mixed")
+            current, passing = named.join(mixed, "shingle"), [named, mixed]
         if turn < ROUNDS:
-            pairs = _hub_pairs(current, (lambda c: F.col(c)) if turn == 0 else (lambda c, t=turn: F.xxhash64(c, F.lit(t))))
+            pairs = _pruned(_hub_pairs(current, (lambda c: F.col(c)) if turn == 0 else (lambda c, t=turn: F.xxhash64(c, F.lit(t))), percent).distinct(), firsts, percent)
         else:
             pairs = _remaining_pairs(current, firsts, percent)
-        pairs = _bounded(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(_suffix(pairs, firsts, percent).distinct(), "pairs")
-        if turn and pairs.isEmpty():
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tried.append(written(pairs, "pairs"))
+        freed(*passing)
+        if comps is not None and tried[-1].isEmpty():
             continue
-        fresh = written(verified(texts, pairs, size, percent).distinct(), "verified")
-        found, tried = found.unionByName(fresh), tried.unionByName(pairs)
-        if comps is None or not fresh.isEmpty():
-            comps = written(components(found), "components")
-    return known, comps
+        found.append(written(verified(texts, tried[-1], size, percent), "verified"))
+        if comps is None or not found[-1].isEmpty():
+            freed(*([] if comps is None else [comps]))
+            comps = components(reduce(DataFrame.unionByName, found))
+    freed(groups, *tried, *found)
+    return known.drop(*PARITIES), comps
+
+
+def _found(rows: DataFrame, unique: bool, size: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, first, component) for each row (key, doc_id, text) with an id: component is the least doc_id, ``first`` marks one row of each id and set."""
+    rows = rows.where("doc_id IS NOT NULL").select("key", "doc_id", "text")
+    least = rows.groupBy("doc_id").agg(F.min("key").alias("b"))
+    same = None if unique else rows.select(F.col("key").alias("a"), "doc_id").join(least, "doc_id").where("a <> b").select("a", "b")
+    known, comps = links(rows.select(F.col("key").alias("doc_id"), "text"), size, percent, same)
+    done = known.join(comps, known.rep == comps.node, "left").select(F.col("doc_id").alias("key"), "n", "rep", F.coalesce("component", "rep").alias("component"))
+    if unique:
+        return done.select("key", F.col("key").alias("doc_id"), "n", F.lit(True).alias("first"), "component")
+    done = written(done.join(rows.select("key", "doc_id"), "key").withColumn("set", F.when(F.col("n") > 0, F.col("rep"))), "done")
+    names = done.groupBy("component").agg(F.min("doc_id").alias("name"))
+    firsts = done.groupBy("doc_id", "set").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
+    both = done.join(names, "component").join(firsts, "key", "left")
+    return both.select("key", "doc_id", "n", F.coalesce("first", F.lit(False)).alias("first"), F.col("name").alias("component"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(``docs`` (doc_id, ...) with ``key``, whether ids are unique); key: doc_id, or where ids repeat a number of the row, fixed by writing the rows."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("key", F.col("doc_id")), True
+    return written(docs.withColumn("key", F.monotonically_increasing_id()), "numbered"), False
 
 
 def document_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    known, comps = links(docs, size, percent)
-    done = known.join(comps, known.rep == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    done = _found(*_keyed(docs.select("doc_id", "text")), size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     nameless = docs.where("doc_id IS NULL").select("doc_id", "text")
     return done.unionByName(_sizes(nameless, size))
 
@@ -293,13 +302,7 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; of rows that share an id the one with the least text stays, rows without an id all stay."""
-    found = written(document_components(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), size, percent), "found")
-    later = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    several = kept.join(repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    least = several.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(least)
+    """``docs`` without the rows whose component has a smaller id; rows that share an id stay if their sets differ, one of each set; rows without an id all stay."""
+    rows, unique = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    gone = written(_found(rows, unique, size, percent).where("component < doc_id OR NOT first").select("key"), "gone")
+    return rows.select("key", "row").join(gone, "key", "left_anti").select("row.*")

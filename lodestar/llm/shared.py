@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of ``work_path``.
+_OURS = re.compile("/lodestar/[a-z-]+-[0-9a-f]{32}$")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one, set for the session."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset: in local mode a temporary one, set for the session; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -30,5 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing yet to be computed reads; files that are no such tables stay."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if _OURS.search(folder):
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

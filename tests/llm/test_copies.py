@@ -150,3 +150,30 @@ def test_hub_rounds_do_not_lose_links(spark):
         rows.append((d, " ".join(w)))
     done = ngram_join.document_components(spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit(1)))
     assert sorted(tuple(r) for r in done.collect()) == linked(rows)
+
+
+def test_one_common_shingle_in_thousands_of_unlike_documents(spark):
+    """Short documents around one common passage, each with words of its own; every tenth is a near copy of the one before."""
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for d in range(3000):
+        own = [f"o{d - (d % 10 == 9)}x{i}" for i in range(12)]
+        if d % 10 == 9:
+            own[11] = f"late{d}"
+        rows.append((d, " ".join(passage[: 6 + d // 10 % 3] + own)))
+    done = ngram_join.document_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in done.collect()} == {d: d - (d % 10 == 9) for d, _ in rows}
+
+
+def test_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    other = " ".join(f"u{i}" for i in range(50))
+    rows = [(7, base), (7, other), (7, None), (7, base), (3, base.replace("w10", "x")), (9, other.replace("u9", "y")), (12, "alone here"), (12, "alone here"), (15, None), (15, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long")
+    done = ngram_join.document_components(docs)
+    assert sorted((r["doc_id"], r["component_id"]) for r in done.collect()) == [(3, 3), (7, 3), (7, 3), (7, 3), (7, 3), (9, 3), (12, 12), (12, 12), (15, 15), (15, 15)]
+    kept = ngram_join.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 12, 15]
+    alone = ngram_join.first_of_each(docs.where("doc_id = 7"))
+    assert sorted((r["text"] or "")[:2] for r in alone.collect()) == ["", "u0", "w0"]
