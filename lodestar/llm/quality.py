@@ -7,7 +7,7 @@ shrunk toward its host's and the host's toward the corpus share, the more the
 fewer its documents: theta = (good + strength * prior) / (n + strength), the
 strengths estimated from the spread of the shares (method of moments). A
 document's posterior moves its evidence by the log odds of its path against
-the corpus.
+the corpus; its own evidence is left out of the shares that judge it.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows; shares come from
 all rows. Here ``source`` is the host and ``lang`` the path below it.
@@ -136,40 +136,60 @@ def _moments(groups: DataFrame, good: str, prior: Column) -> float:
     return float(min(1e6, max(1.0, 1 / max(round(excess, 9), 1e-9) - 1)))
 
 
-def site_shares(rows: DataFrame) -> tuple[DataFrame, float]:
-    """((host, path, host_share, path_share), corpus share) from rows (host, path, evidence); each sum is of whole numbers."""
-    chance = F.round(MICRO / (1 + F.exp(-F.col("evidence") / MICRO))).cast("long")
-
-    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(chance).alias("good")), "sites")
+def site_shares(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """((host, path, host_n, host_good, path_n, path_good), corpus share, strengths of the corpus for hosts and of hosts for paths) from rows (host, path, evidence); each sum is of whole numbers."""
+    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_chance()).alias("good")), "sites")
     paths = paths.withColumn("good", F.col("good") / MICRO)
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = min(1 - 1e-6, max(1e-6, (total["good"] / total["n"]) if total["n"] else 0.5))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     strength = _moments(hosts, "good", F.lit(mean))
-    hosts = hosts.select("host", ((F.col("good") + strength * mean) / (F.col("n") + strength)).alias("host_share"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"))
     both = paths.join(hosts, "host")
-    below = _moments(both, "good", F.col("host_share"))
-    return both.select("host", "path", "host_share", ((F.col("good") + below * F.col("host_share")) / (F.col("n") + below)).alias("path_share")), mean
+    below = _moments(both.withColumn("share", _shrunk("host_n", "host_good", F.lit(mean), strength)), "good", F.col("share"))
+    return both.select("host", "path", "host_n", "host_good", F.col("n").alias("path_n"), F.col("good").alias("path_good")), mean, strength, below
+
+
+def _chance() -> Column:
+    """A document's own chance of being good, in whole millionths."""
+    return F.round(MICRO / (1 + F.exp(-F.col("evidence") / MICRO))).cast("long")
+
+
+def _shrunk(n: str | Column, good: str | Column, prior: Column, strength: float) -> Column:
+    n, good = (F.col(x) if isinstance(x, str) else x for x in (n, good))
+    return (good + strength * prior) / (n + strength)
+
 
+def judged(docs: DataFrame, labels: DataFrame, kept: list[str], host: str = "source", path: str = "lang") -> DataFrame:
+    """(row, host_share, path_share, evidence, posterior, good) for each row of ``docs``; row holds its columns ``kept``.
 
-def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """(row, host_share, path_share, evidence, posterior, good) for each row of ``docs``; row holds its columns."""
+    The shares that judge a document are those of the other documents of its
+    site: its own evidence counts once. Evidence is written, so that each text
+    is read once.
+    """
     own = evidence(fit(docs, labels))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), own("text").alias("evidence"))
-    sites, mean = site_shares(packed.select("host", "path", "evidence"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), own("text").alias("evidence"))
+    packed = written(packed, "evidence")
+    sites, mean, strength, below = site_shares(packed)
     if sites.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
+    mine = _chance() / MICRO
+    # sums of millionths: a site of one document leaves nothing, not a rounding error
+    others = lambda good: F.greatest(F.lit(0.0), F.round(F.col(good) - mine, 6))
+    shares = packed.join(sites, ["host", "path"]).withColumn("host_share", _shrunk(F.col("host_n") - 1, others("host_good"), F.lit(mean), strength))
+    shares = shares.withColumn("path_share", _shrunk(F.col("path_n") - 1, others("path_good"), F.col("host_share"), below))
     odds = F.log(F.col("path_share") / (1 - F.col("path_share"))) - math.log(mean / (1 - mean))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") / MICRO + odds)))
-    return packed.join(sites, ["host", "path"]).withColumn("posterior", posterior).withColumn("good", F.col("posterior") >= KEEP)
+    done = shares.withColumn("posterior", posterior)
+    return done.select("row", "host_share", "path_share", "evidence", "posterior", (F.col("posterior") >= KEEP).alias("good"))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, evidence, host_share, path_share, posterior, good) for each row."""
-    done = judged(docs.select("doc_id", "text", "source", "lang"), labels)
+    done = judged(docs, labels, ["doc_id"])
     return done.select(F.col("row.doc_id").alias("doc_id"), (F.col("evidence") / MICRO).alias("evidence"), "host_share", "path_share", "posterior", "good")
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows judged bad."""
-    return judged(docs, labels).where("good").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return judged(docs, labels, docs.columns).where("good").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

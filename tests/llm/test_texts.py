@@ -137,11 +137,48 @@ def test_quality(spark, small, odd_documents, odd_labels):
     assert right > 0.9
 
 
-def test_shares_shrink_sparse_sites(spark):
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    done = quality.scores(docs, labels.where(~held)).join(labels.where(held), "doc_id")
+    wrong, n = done.agg(F.count_if(F.col("good").cast("int") != F.col("quality")), F.count("*")).first()
+    assert n > 80 and wrong <= 0.03 * n
+
+
+def test_quality_equals_plain_shares(spark):
+    """Posteriors against the formula, given the documents' evidence."""
+    rows = [(i, f"text {i} " * (i % 7 + 1), ["a", "b", "c"][i % 3 % (1 + i % 2)], None if i % 5 else "en") for i in range(60)] + [(60, "alone", "z", "en"), (61, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 2), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.scores(docs, labels).collect()}
+    chance = {d: round(1e6 / (1 + math.exp(-r["evidence"]))) / 1e6 for d, r in got.items()}
+    site = {d: (s or "", l or "") for d, _, s, l in rows}
+    mean = sum(chance.values()) / len(rows)
+
+    def strength(groups):
+        part = [(len(g), sum(chance[d] for d in g), p) for g, p in groups]
+        spread = sum(n * (x / n - p) ** 2 for n, x, p in part)
+        spare, total = sum(p * (1 - p) for _, _, p in part), sum(n * p * (1 - p) for n, _, p in part)
+        return min(1e6, max(1.0, 1 / max(round((spread - spare) / max(total - spare, 1e-9), 9), 1e-9) - 1))
+
+    members = lambda key: {k: [d for d in site if key(site[d]) == k] for k in {key(v) for v in site.values()}}
+    hosts, paths = members(lambda v: v[0]), members(lambda v: v)
+    top = strength([(g, mean) for g in hosts.values()])
+    shrunk = lambda g, prior, s: (sum(chance[d] for d in g) + s * prior) / (len(g) + s)
+    below = strength([(g, shrunk(hosts[k[0]], mean, top)) for k, g in paths.items()])
+    for d, r in got.items():
+        host = shrunk([x for x in hosts[site[d][0]] if x != d], mean, top)
+        share = shrunk([x for x in paths[site[d]] if x != d], host, below)
+        odds = r["evidence"] + math.log(share / (1 - share)) - math.log(mean / (1 - mean))
+        assert r["posterior"] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-5)
+        assert r["good"] == (r["posterior"] >= 0.5)
+
+
+def test_sparse_sites_shrink(spark):
     rows = [("a", "x", 4_000_000)] * 50 + [("b", "x", -4_000_000)] * 50 + [("c", "x", -4_000_000)]
-    shares, mean = quality.site_shares(spark.createDataFrame(rows, "host string, path string, evidence long"))
-    by = {r["host"]: r["path_share"] for r in shares.collect()}
-    assert by["b"] < by["c"] < mean < by["a"]
+    shares, mean, strength, below = quality.site_shares(spark.createDataFrame(rows, "host string, path string, evidence long"))
+    by = {r["host"]: (r["path_good"] + below * mean) / (r["path_n"] + below) for r in shares.collect()}
+    assert by["b"] < by["c"] < mean < by["a"] and strength >= 1
 
 
 def test_licenses(spark, odd_documents):
