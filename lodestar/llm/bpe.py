@@ -17,6 +17,7 @@ input that are not named are not returned by ``encode``.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -28,10 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Stretches between white space in each of a worker's two memories, the present and the one before it.
-MEMORY = 150_000
+#: Bytes, about, of each of a worker's two memories of stretches between white space, the present one and the one before it.
+MEMORY = 40 << 20
 #: Words that a worker remembers; the least recently used go.
-WORDS = 80_000
+WORDS = 60_000
+#: Characters of the longest stretch or word that is remembered.
+REMEMBERED = 64
 #: Rows of a batch that go back to Spark.
 ROWS = 500
 
@@ -89,8 +92,28 @@ class WordBpe:
         # rare texts with characters younger than the vocabulary's tables take a slower pattern
         self.old_words = regex.compile(split.replace(r"[\p{L}]", rf"[\p{{L}}--[{_YOUNG}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{_YOUNG}]]").replace(r"\p{L}\p{N}]+", rf"[\p{{L}}--[{_YOUNG}]][\p{{N}}--[{_YOUNG}]]]+"), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))
         self.inner = self._inner_pairs()
-        self.word_ids = lru_cache(WORDS)(self._word_ids)
+        self._number_pairs()
+        self._short_ids = lru_cache(WORDS)(self._word_ids)
+
+    def _number_pairs(self) -> None:
+        """The merges by numbers: left id * base + right id gives rank * base + merged id."""
+        self.base = 1 << len(self.ids).bit_length()
+        self.begins = {c: self.ids[c] for c in self.letters if c in self.ids}
+        self.ends = {c: self.ids[c + self.suffix] for c in self.letters if c + self.suffix in self.ids}
+        self.joined = {}
+        for (left, right), rank in self.ranks.items():
+            if left in self.ids and right in self.ids and left + right in self.ids:
+                self.joined[self.ids[left] * self.base + self.ids[right]] = rank * self.base + self.ids[left + right]
+        # only then do numbers say all that the merges say
+        self.numbered = max(self.ids.values(), default=0) < self.base and len(self.joined) == len(self.ranks) and len(self.begins) == len(self.ends) == len(self.letters)
+
+    def word_ids(self, word: str) -> list[int]:
+        return self._short_ids(word) if len(word) <= REMEMBERED else self._word_ids(word)
+
+    def has_special(self, text: str) -> bool:
+        return self.specials is not None and self.mark in text and self.specials.search(text) is not None
 
     def _inner_pairs(self) -> set[str]:
         """Pairs of symbols that are neighbours inside some vocabulary entry; any other pair is a forced boundary."""
@@ -127,6 +150,28 @@ class WordBpe:
 
     def merged(self, fragment: str, ends: bool) -> list[int]:
         """Ids of one fragment: the pair of least rank is merged first, the leftmost of equals."""
+        if not self.numbered:
+            return self._merged_texts(fragment, ends)
+        parts = list(map(self.begins.__getitem__, fragment))
+        if ends:
+            parts[-1] = self.ends[fragment[-1]]
+        get, base, none = self.joined.get, self.base, 1 << 60
+        ranks = [get(left * base + right, none) for left, right in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            parts[i] = new = least & (base - 1)
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] * base + new, none)
+            if i < len(ranks):
+                ranks[i] = get(new * base + parts[i + 1], none)
+        return parts
+
+    def _merged_texts(self, fragment: str, ends: bool) -> list[int]:
+        """As ``merged``, for vocabularies with symbols or merges outside their entries."""
         parts = list(fragment)
         if ends:
             parts[-1] += self.suffix
@@ -177,7 +222,8 @@ class WordBpe:
         return [self.ids[p] for p in parts if p is not None and p in self.ids]
 
     def _word_ids(self, word: str) -> list[int]:
-        letters = "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
+        # printable ASCII stands for itself
+        letters = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
         return [i for f, ends in self.fragments(letters) for i in self.encode_fragment(f, ends)]
 
     def encode_fragment(self, fragment: str, ends: bool) -> list[int]:
@@ -192,17 +238,20 @@ class _Known(dict):
 
     def __init__(self, model: WordBpe, most: int) -> None:
         super().__init__()
-        self.model, self.most, self.before = model, most, {}
+        self.model, self.most, self.held, self.before = model, most, 0, {}
 
     def __missing__(self, stretch: str) -> tuple[bytes, str]:
         found = self.before.get(stretch)
         if found is None:
             ids = [i for word in self.model.split(stretch) for i in self.model.word_ids(word)]
             found = (le_bytes(ids), " ".join([self.model.texts[i] for i in ids]))
-        if len(stretch) <= 64:
-            if len(self) >= self.most:
-                self.before = dict(self)
+        if len(stretch) <= REMEMBERED:
+            # about what the entry, its key, tuple and values take
+            size = 320 + 2 * len(stretch) + len(found[0]) + len(found[1])
+            if self.held + size > self.most:
+                self.before, self.held = dict(self), 0
                 self.clear()
+            self.held += size
             self[stretch] = found
         return found
 
@@ -220,7 +269,7 @@ def le_bytes(ids: list[int]) -> bytes:
 
 
 class Codec:
-    """Encodes whole texts word by word, with a bounded memory."""
+    """Encodes whole texts word by word, with memories bounded in bytes."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         self.model = WordBpe(path)
@@ -228,7 +277,7 @@ class Codec:
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         model, known = self.model, self.known.__getitem__
-        if model.specials is None or "<|" not in text:
+        if not model.has_special(text):
             return [known(x) for x in _SPACE.split(model.normalized(text))]
         out = []
         for i, part in enumerate(model.specials.split(text)):
@@ -272,6 +321,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 part = batch.slice(at, ROWS)
                 found = [model.both(value.as_py() or "") for value in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) // 4 for b, _ in found], pa.int64()), pa.array([b for b, _ in found], pa.binary()), pa.array([d for _, d in found], pa.string())], [key, "n_tokens", "ids", "decoded"])
+            batch = part = found = None  # not held while the next one is read
 
     return docs.select(key, text).mapInArrow(run, schema)
 
