@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestar.llm.shared import bounded_batches
+
 #: Bytes, about, of each of a worker's two memories of stretches between white space, the present one and the one before it.
 MEMORY = 40 << 20
 #: Words that a worker remembers; the least recently used go.
@@ -312,6 +314,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids, decoded) for each row of ``docs``; ids: little-endian unsigned 32-bit integers, one after another."""
+    bounded_batches(docs.sparkSession)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

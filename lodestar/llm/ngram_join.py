@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.arrowtext import Words, chunks, mix, signed
+from lodestar.llm.arrowtext import CHUNK_BYTES, Words, chunks, mix, signed
 from lodestar.llm.components import components
-from lodestar.llm.shared import freed, written
+from lodestar.llm.shared import bounded_batches, freed, written
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -173,7 +173,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "a_text"):
+            for part in chunks(batch, "a_text", CHUNK_BYTES // 2):
                 (_, row_a, a), (_, row_b, b) = (sets_of(part.column(x), size) for x in ("a_text", "b_text"))
                 rows, hashes = np.concatenate([row_a, row_b]), np.concatenate([a, b])
                 order = np.lexsort((hashes, rows))
@@ -213,6 +213,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, same: Data
     set); components: node, component for the reps that have a link. ``same``
     holds further links (a, b).
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     statistics = written(_statistics(texts, size), "sets")
     sets = statistics.where("doc_id IS NOT NULL")

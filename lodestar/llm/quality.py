@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrowtext import Words, chunks
-from lodestar.llm.shared import written
+from lodestar.llm.shared import bounded_batches, written
 from lodestar.llm.toxicity import fit_curve
 
 #: Labelled documents that the classifier is fitted on at most.
@@ -164,12 +164,15 @@ def judged(docs: DataFrame, labels: DataFrame, kept: list[str], host: str = "sou
     """(row, host_share, path_share, evidence, posterior, good) for each row of ``docs``; row holds its columns ``kept``.
 
     The shares that judge a document are those of the other documents of its
-    site: its own evidence counts once. Evidence is written, so that each text
-    is read once.
+    site: its own evidence counts once. Without texts among the kept columns
+    evidence is written; with them it is worked out twice instead of writing
+    all texts.
     """
+    bounded_batches(docs.sparkSession)
     own = evidence(fit(docs, labels))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), own("text").alias("evidence"))
-    packed = written(packed, "evidence")
+    if "text" not in kept:
+        packed = written(packed, "evidence")
     sites, mean, strength, below = site_shares(packed)
     if sites.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)

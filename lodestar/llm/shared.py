@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch; a longer row forms a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Folders of ``work_path``.
 _OURS = re.compile("/lodestar/[a-z-]+-[0-9a-f]{32}$")
 
@@ -47,5 +49,13 @@ def freed(*tables: DataFrame) -> None:
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches that Python workers get to ``BATCH_BYTES``, unless the session's limit is lower: a batch of long texts must fit beside the work on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_now = spark.conf.get(name).rstrip("b")
+    if bytes_now.isdigit() and int(bytes_now) > BATCH_BYTES:  # with another unit it was set by the user
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrowtext import Words, chunks, signed, sliding_min
-from lodestar.llm.shared import written
+from lodestar.llm.shared import bounded_batches, written
 
 #: Words of an edge.
 WINDOW = 13
@@ -143,6 +143,7 @@ def _by_document(marks: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, marks): places whose word windows also start in a document with a smaller id."""
+    bounded_batches(docs.sparkSession)
     # each table of groups is written before it is joined: then both sides are plain exchanges, which Spark can split on a hot key
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     bounds = minimizer_bounds(texts, window, seed).groupBy("minimizer").agg(F.min("low").alias("low"), F.max("high").alias("high"))
