@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +20,10 @@ def split_of(group: Column, seed: int | str) -> Column:
 
 
 def target_counts(total: Column) -> list[Column]:
-    """Rows of each split: one or two rows fill test after train; else 15 % each, halves to even, at least one, the rest to train."""
+    """Rows of each split: one row trains, of two one validates; else 15 % each for validation and test, halves to even, at least one, the rest to train."""
     share = F.greatest(F.lit(1), F.bround(total * 0.15)).cast("long")
-    test = F.when(total <= 1, 0).otherwise(F.when(total == 2, 1).otherwise(share)).cast("long")
-    validation = F.when(total <= 2, 0).otherwise(share).cast("long")
+    validation = F.when(total <= 1, 0).otherwise(F.when(total == 2, 1).otherwise(share)).cast("long")
+    test = F.when(total <= 2, 0).otherwise(share).cast("long")
     return [(total - test - validation).alias("train"), validation.alias("validation"), test.alias("test")]
 
 
@@ -49,6 +48,7 @@ def stratified(rows: DataFrame, group: str, label: str, seed: int, shares: dict[
     labels = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.col("x").isNull(), "x").alias("x"), "n", "total")))
     groups = with_totals.groupBy("g").agg(labels.alias("labels"), F.sum("n").alias("size"), F.min("total").alias("rarity"))
     groups = groups.withColumn("at", F.coalesce(stable_fraction(F.col("g"), seed), F.lit(0.0)))
+    groups = groups.withColumn("ties", _ties(F.coalesce(F.col("g").cast("string"), F.lit("")), list(shares), seed))
     n_groups, total = counts.groupBy("g").agg(F.sum("n").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ordered = groups.repartition(1).sortWithinPartitions("rarity", F.desc(F.size("labels")), F.desc("size"), "at", "g")
     kind = dict(rows.dtypes)[group]
@@ -56,11 +56,11 @@ def stratified(rows: DataFrame, group: str, label: str, seed: int, shares: dict[
     def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled: dict[str, dict[int, int]] = {s: {} for s in shares}
         sizes = dict.fromkeys(shares, 0)
-        at_of = {s: i / len(shares) for i, s in enumerate(shares)}
         left = n_groups
         for batch in batches:
             out = []
-            for labels, size, at in zip(*(batch.column(c).to_pylist() for c in ("labels", "size", "at")), strict=True):
+            for labels, size, ties in zip(*(batch.column(c).to_pylist() for c in ("labels", "size", "ties")), strict=True):
+                tie = dict(zip(shares, ties, strict=True))
                 empty = [s for s in shares if sizes[s] == 0]
                 names = empty if empty and left <= len(empty) else list(shares)
 
@@ -72,7 +72,7 @@ def stratified(rows: DataFrame, group: str, label: str, seed: int, shares: dict[
                         change += (_gap(have + entry["n"], goal) - _gap(have, goal)) / entry["total"] ** 0.5
                     return change
 
-                best = min(names, key=lambda s: (cost(s), abs(at - at_of[s]), s))
+                best = min(names, key=lambda s: (cost(s), tie[s], s))
                 sizes[best] += size
                 for entry in labels:
                     filled[best][entry["x"]] = filled[best].get(entry["x"], 0) + entry["n"]
@@ -80,7 +80,12 @@ def stratified(rows: DataFrame, group: str, label: str, seed: int, shares: dict[
                 out.append(best)
             yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.string())], [group, "split"])
 
-    return ordered.select("g", "labels", "size", "at").mapInArrow(allot, f"`{group}` {kind}, split string")
+    return ordered.select("g", "labels", "size", "ties").mapInArrow(allot, f"`{group}` {kind}, split string")
+
+
+def _ties(name: Column, splits: list[str], seed: int | str) -> Column:
+    """The fractions that settle ties between splits, of ``name:split``."""
+    return F.array(*[stable_fraction(F.concat(name, F.lit(f":{s}")), seed) for s in splits])
 
 
 def _gap(have: float, goal: float) -> float:
@@ -90,24 +95,32 @@ def _gap(have: float, goal: float) -> float:
 def by_label(groups: DataFrame, label: str, group: str, size: str, seed: int) -> DataFrame:
     """(label, group, split) from a row (label, group, size) for each group: every label is allotted by itself.
 
-    In hash order, the first groups seed test, validation and train; the others
-    go where the filled share is least.
+    In hash order, the first groups seed train, validation and test, where
+    those have a target; each other goes to a split under its target where the
+    filled share is then least, ties by a fraction of label, group and split.
+    A label's groups pass in order through one task, which keeps three counts.
     """
     types = dict(groups.dtypes)
-    rows = groups.select(label, group, F.col(size).alias("n"), stable_fraction(F.concat_ws(":", F.col(label).cast("string"), F.col(group).cast("string")), seed).alias("at"))
-
-    def allot(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", group])
-        total = int(part["n"].sum())
-        share = max(1, round(total * 0.15))
-        goals = {"train": max(1, total - 2 * share), "validation": share, "test": share}
-        seeds = {1: ["train"], 2: ["train", "test"]}.get(len(part), ["train", "validation", "test"])
-        have = dict.fromkeys(goals, 0)
-        splits = []
-        for i, n in enumerate(part["n"]):
-            name = seeds[i] if i < len(seeds) else min(seeds, key=lambda s: (have[s] + n > goals[s], (have[s] + n) / goals[s], s))
-            have[name] += int(n)
-            splits.append(name)
-        return part.assign(split=splits)[[label, group, "split"]]
-
-    return rows.groupBy(label).applyInPandas(allot, f"`{label}` {types[label]}, `{group}` {types[group]}, split string")
+    name = F.concat_ws(":", F.col(label).cast("string"), F.col(group).cast("string"))
+    rows = groups.select(F.col(label).alias("x"), F.col(group).alias("g"), F.col(size).alias("n"), stable_fraction(name, seed).alias("at"), _ties(name, list(SHARES), seed).alias("ties"))
+    totals = rows.groupBy(F.col("x").alias("y")).agg(F.sum("n").alias("total")).select("y", F.array(*target_counts(F.col("total"))).alias("goals"))
+    ordered = rows.join(totals, F.col("x").eqNullSafe(F.col("y"))).repartition("x").sortWithinPartitions("x", "at", "g")
+
+    def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have, seeds = object(), {}, []
+        for batch in batches:
+            out = []
+            for x, n, ties, counts in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "ties", "goals")), strict=True):
+                goals, tie = dict(zip(SHARES, counts, strict=True)), dict(zip(SHARES, ties, strict=True))
+                allowed = [s for s in SHARES if goals[s] > 0]
+                if x != now:
+                    now, have, seeds = x, dict.fromkeys(SHARES, 0), list(allowed)
+                if seeds:
+                    best = seeds.pop(0)
+                else:
+                    best = min(allowed, key=lambda s: (have[s] >= goals[s], (have[s] + n) / goals[s], tie[s], s))
+                have[best] += n
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("g"), pa.array(out, pa.string())], [label, group, "split"])
+
+    return ordered.select("x", "g", "n", "ties", "goals").mapInArrow(allot, f"`{label}` {types[label]}, `{group}` {types[group]}, split string")

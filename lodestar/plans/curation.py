@@ -64,12 +64,15 @@ def missing_labels_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(rows, ["source", "split"], "left_anti")
 
 
-@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+@query("""WITH c AS (SELECT source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT 'few' || floor((sqrt(8 * doc_id + 1) - 1) / 2)::BIGINT FROM documents WHERE doc_id < 45) GROUP BY source),
 s AS (SELECT source, n, greatest(1, round_even(n * 0.15, 0)::BIGINT) AS k FROM c)
-SELECT source, n AS total, (n - (CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE k END) - (CASE WHEN n <= 2 THEN 0 ELSE k END))::BIGINT AS train,
-(CASE WHEN n <= 2 THEN 0 ELSE k END)::BIGINT AS validation, (CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE k END)::BIGINT AS test FROM s""")
+SELECT source, n AS total, (CASE WHEN n <= 1 THEN n WHEN n = 2 THEN 1 ELSE n - 2 * k END)::BIGINT AS train,
+(CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE k END)::BIGINT AS validation, (CASE WHEN n <= 2 THEN 0 ELSE k END)::BIGINT AS test FROM s""")
 def label_target_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("total"))
+    """Targets of each source, and of groups of 0 to 9 documents for the small counts."""
+    docs = read(spark, sf_dir, "documents")
+    few = docs.where("doc_id < 45").select(F.concat(F.lit("few"), (F.floor((F.sqrt(8 * F.col("doc_id") + 1) - 1) / 2)).cast("string")).alias("source"))
+    counts = docs.select("source").unionByName(few).groupBy("source").agg(F.count("*").alias("total"))
     return counts.select("source", "total", *splits.target_counts(F.col("total")))
 
 
@@ -79,7 +82,18 @@ def stratified_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified(rows, "leak_group", "lang", 42)
 
 
-@query()
+_LABEL_FRACTION = "(('0x' || substr(sha256('42:' || label || ':' || leak_group{0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+_TAKE = ", ".join(f"{{'over': ({a} >= g{a})::INT, 'filled': ({a} + o.n)::DOUBLE / g{a}, 'tie': f{a}, 'split': '{s}'}}" for a, s in (("a", "train"), ("b", "validation"), ("c", "test")))
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT label, vec_id % 97 AS leak_group, count(*) AS n FROM embeddings GROUP BY ALL),
+t AS (SELECT label, sum(n)::BIGINT AS total, greatest(1, round_even(sum(n) * 0.15, 0)::BIGINT) AS k FROM g GROUP BY label),
+o AS (SELECT label, leak_group, n, total - 2 * k AS ga, k AS gb, k AS gc, {_LABEL_FRACTION.format(" || ':train'")} AS fa, {_LABEL_FRACTION.format(" || ':validation'")} AS fb, {_LABEL_FRACTION.format(" || ':test'")} AS fc,
+row_number() OVER (PARTITION BY label ORDER BY {_LABEL_FRACTION.format("")}, leak_group) AS i FROM (SELECT g.label, g.leak_group, g.n, t.total, t.k FROM g JOIN t ON g.label = t.label)),
+r AS (SELECT label, leak_group, i, 'train' AS split, n AS a, 0::BIGINT AS b, 0::BIGINT AS c FROM o WHERE i = 1 UNION ALL
+SELECT label, leak_group, i, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'validation' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END
+FROM (SELECT o.label, o.leak_group, o.i, o.n, a, b, c, CASE WHEN o.i = 2 THEN 'validation' WHEN o.i = 3 THEN 'test' ELSE list_sort([{_TAKE}])[1].split END AS split FROM r JOIN o ON o.label = r.label AND o.i = r.i + 1))
+SELECT label, leak_group, split FROM r""")
 def per_label_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = read(spark, sf_dir, "embeddings").groupBy("label", (F.col("vec_id") % 97).alias("leak_group")).agg(F.count("*").alias("n"))
     return splits.by_label(groups, "label", "leak_group", "n", 42)
