@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.operators.matching import assignment, iou_arrays
+from lodestar.operators.matching import CORNERS, assignment, iou_arrays
 
 #: Weights of the assignment's cost.
 IOU_WEIGHT, CENTER_WEIGHT = 0.75, 0.25
 
 
+#: Cost of a pair outside the gate, and the cost from which a pair of the assignment is none (fixed values).
+OUTSIDE, NO_PAIR = 1e6, 1e5
+
+
 @dataclass
 class Track:
     id: int
@@ -23,6 +28,7 @@ class Track:
     velocity: np.ndarray = field(default_factory=lambda: np.zeros(2))
     hits: int = 1
     missed: int = 0
+    age: int = 1
 
 
 @dataclass
@@ -30,36 +36,44 @@ class Tracker:
     """Tracks of one key; ``step`` takes a frame's boxes and returns (track id, hits, stable) for each."""
 
     least_iou: float = 0.3
-    most_distance: float = 0.35
+    most_distance: float = 2.0
     patience: int = 12
     stable_hits: int = 3
     tracks: list[Track] = field(default_factory=list)
     last_id: int = 0
 
     def step(self, boxes: np.ndarray, shift: tuple[float, float] = (0.0, 0.0)) -> list[tuple[int, int, bool]]:
-        moves = [t.velocity * (t.missed + 1) + np.array(shift) for t in self.tracks]
-        foreseen = np.array([t.box + np.tile(m, 2) for t, m in zip(self.tracks, moves, strict=True)]).reshape(-1, 4)
+        """``shift`` is the camera's motion since the frame before: it moves what is foreseen and is no velocity of a track."""
         out: list[tuple[int, int, bool] | None] = [None] * len(boxes)
-        seen = set()
-        if len(foreseen) and len(boxes):
-            overlap = np.array([iou_arrays(b, boxes) for b in foreseen])
-            away = self._distances(foreseen, boxes)
-            for i, j in assignment(1 - (IOU_WEIGHT * overlap + CENTER_WEIGHT * np.clip(1 - away, 0, 1))):
-                if overlap[i, j] >= self.least_iou or away[i, j] <= self.most_distance:
-                    self._advance(self.tracks[i], boxes[j])
+        seen: set[int] = set()
+        older = len(self.tracks)
+        if older and len(boxes):
+            cost = self.costs(boxes, shift)
+            for i, j in assignment(cost):
+                if cost[i, j] < NO_PAIR:
+                    self._advance(self.tracks[i], boxes[j], np.array(shift))
                     seen.add(i)
                     out[j] = (self.tracks[i].id, self.tracks[i].hits, self.tracks[i].hits >= self.stable_hits)
-        for i, track in enumerate(self.tracks):
-            if i not in seen:
-                track.missed += 1
         for j, box in enumerate(boxes):
             if out[j] is None:
                 self.last_id += 1
                 self.tracks.append(Track(self.last_id, box))
                 out[j] = (self.last_id, 1, self.stable_hits <= 1)
+        for i, track in enumerate(self.tracks[:older]):
+            track.age += 1
+            track.missed += i not in seen
         self.tracks = [t for t in self.tracks if t.missed <= self.patience]
         return out
 
+    def costs(self, boxes: np.ndarray, shift: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
+        """The cost of each pair of a track and a box; ``OUTSIDE`` where neither overlap nor distance is inside the gate."""
+        moves = [t.velocity * (t.missed + 1) + np.array(shift) for t in self.tracks]
+        foreseen = np.array([t.box + np.tile(m, 2) for t, m in zip(self.tracks, moves, strict=True)]).reshape(-1, 4)
+        overlap = np.array([iou_arrays(b, boxes) for b in foreseen])
+        away = self._distances(foreseen, boxes)
+        inside = (overlap >= self.least_iou) | (away <= self.most_distance)
+        return np.where(inside, 1 - (IOU_WEIGHT * overlap + CENTER_WEIGHT * np.clip(1 - away / self.most_distance, 0, None)), OUTSIDE)
+
     @staticmethod
     def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         middle = lambda x: (x[:, :2] + x[:, 2:]) / 2
@@ -68,42 +82,69 @@ class Tracker:
         return gap / np.maximum(1.0, np.maximum(length(a)[:, None], length(b)[None]))
 
     @staticmethod
-    def _advance(track: Track, box: np.ndarray) -> None:
-        moved = (box[:2] + box[2:] - track.box[:2] - track.box[2:]) / 2 / (track.missed + 1)
+    def _advance(track: Track, box: np.ndarray, shift: np.ndarray) -> None:
+        moved = ((box[:2] + box[2:] - track.box[:2] - track.box[2:]) / 2 - shift) / (track.missed + 1)
         track.velocity = moved if track.hits == 1 else 0.65 * track.velocity + 0.35 * moved
         track.box, track.missed = box, 0
         track.hits += 1
 
 
 def tracked(boxes: DataFrame, key: str, frame: str) -> DataFrame:
-    """(key, frame, id, track_id, hits, stable) for boxes (key, frame, id, corners), frames in order, boxes by id."""
-    types = dict(boxes.dtypes)
+    """(key, frame, id, track_id, hits, stable) for boxes (key, frame, id, corners), frames in order, boxes by id.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        for number, part in rows.sort_values([frame, "id"]).groupby(frame, sort=True):
-            for box_id, (track, hits, stable) in zip(part["id"], tracker.step(part[["x1", "y1", "x2", "y2"]].to_numpy(float)), strict=True):
-                out.append((part[key].iloc[0], number, box_id, track, hits, stable))
-        return pd.DataFrame(out, columns=[key, frame, "id", "track_id", "hits", "stable"])
-
-    rows = boxes.select(key, frame, "id", "x1", "y1", "x2", "y2")
-    return rows.groupBy(key).applyInPandas(run, f"{key} {types[key]}, {frame} {types[frame]}, id {types['id']}, track_id int, hits int, stable boolean")
+    Keys pass sorted through their tasks, which hold one frame and the tracks
+    of one key. A null key is one of its own.
+    """
+    types = dict(boxes.dtypes)
+    rows = boxes.select(F.col(key).alias("key"), F.col(frame).alias("frame"), "id", "x1", "y1", "x2", "y2").repartition("key").sortWithinPartitions("key", "frame", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tracker, held = None, Tracker(), []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            keys, frames = table["key"].to_pylist(), table["frame"].to_pylist()
+            corners = np.column_stack([np.asarray(table[c], float) for c in CORNERS])
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or frames[i] != frames[i - 1]]
+            out: list[tuple[int, int, bool]] = []
+            # the last frame may go on in the next batch
+            for begin, end in zip(starts[:-1], starts[1:], strict=True):
+                if (keys[begin],) != now:
+                    now, tracker = (keys[begin],), Tracker()
+                out += tracker.step(corners[begin:end])
+            held = table.slice(starts[-1] if starts else 0).to_batches()
+            yield _as_rows(table, out)
+        if held:
+            table = pa.Table.from_batches(held)
+            if (table["key"][0].as_py(),) != now:
+                tracker = Tracker()
+            yield _as_rows(table, tracker.step(np.column_stack([np.asarray(table[c], float) for c in CORNERS])))
+
+    done = rows.mapInArrow(run, f"key {types[key]}, frame {types[frame]}, id {types['id']}, track_id int, hits int, stable boolean")
+    return done.withColumnsRenamed({"key": key, "frame": frame})
+
+
+def _as_rows(table: pa.Table, found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    part = table.select(["key", "frame", "id"]).slice(0, len(found)).combine_chunks()
+    arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
+    kinds = [pa.int32(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([*arrays, *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], ["key", "frame", "id", "track_id", "hits", "stable"])
 
 
 def cooled_down(events: DataFrame, keys: list[str], at: str, order: str, seconds: float) -> DataFrame:
-    """``events`` that are announced: the first of a key, then each at least ``seconds`` after the last announced one."""
-    schema = events.schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, order])
-        last, keep = None, []
-        for now in rows[at]:
-            fire = last is None or now - last >= seconds
-            last = now if fire else last
-            keep.append(fire)
-        return rows[keep]
-
-    return events.groupBy(*keys).applyInPandas(run, schema)
+    """``events`` that are announced: the first of a key, then each at least ``seconds`` after the last announced one. Keys pass sorted through their tasks, which hold one time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0.0
+        for batch in batches:
+            keep = []
+            for key, time in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(at).to_pylist(), strict=True):
+                fire = key != now or time - last >= seconds
+                if fire:
+                    now, last = key, time
+                keep.append(fire)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, at, order).mapInArrow(run, events.schema)
 
 
 def decayed_votes(events: DataFrame, key: str, label: str, weight: Column, order: list[str], decay: float = 0.75) -> DataFrame:

@@ -39,15 +39,15 @@ def announced(events: DataFrame, keys: list[str], at: str, order: str, seconds:
 def _packed(tracker: Tracker) -> tuple[int, list[float]]:
     flat: list[float] = []
     for t in tracker.tracks:
-        flat += [float(t.id), float(t.hits), float(t.missed), *map(float, t.box), *map(float, t.velocity)]
+        flat += [float(t.id), float(t.hits), float(t.missed), float(t.age), *map(float, t.box), *map(float, t.velocity)]
     return tracker.last_id, flat
 
 
 def _unpacked(last_id: int, flat: list[float]) -> Tracker:
     tracker = Tracker(last_id=last_id)
-    for i in range(0, len(flat), 9):
-        number, hits, missed, *rest = flat[i : i + 9]
-        tracker.tracks.append(Track(int(number), np.array(rest[:4]), np.array(rest[4:]), int(hits), int(missed)))
+    for i in range(0, len(flat), 10):
+        number, hits, missed, age, *rest = flat[i : i + 10]
+        tracker.tracks.append(Track(int(number), np.array(rest[:4]), np.array(rest[4:]), int(hits), int(missed), int(age)))
     return tracker
 
 
