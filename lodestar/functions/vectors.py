@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot(a, b) / size))).otherwise(F.lit(2.0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    most = F.array_max(v)
-    scaled = F.transform(v, lambda x: F.exp((x - most) / temperature))
-    total = F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(scaled, lambda x: x / total)
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    return bound(F.array_max(v), lambda most: bound(F.transform(v, lambda x: F.exp((x - most) / temperature)), shares))
+
+
+def top_elements(v: Column, k: int = 5) -> Column:
+    """The ``k`` greatest elements as structs (index, value), ties by the lower index."""
+    entries = F.transform(v, lambda x, i: F.struct((-x).alias("minus"), i.alias("index")))
+    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["index"].alias("index"), (-e["minus"]).alias("value")))
 
 
 def log_signed(x: Column) -> Column:

@@ -29,15 +29,39 @@ def box_error(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, hei
     return first_reason([("negative", (x1 < 0) | (y1 < 0)), ("not positive", (x2 <= x1) | (y2 <= y1)), ("exceeds image", (x2 > width) | (y2 > height))])
 
 
-#: Vertex counts and circularity of the shape classes.
+#: Weights of the measures of a candidate and what its shape adds.
+SCORE_WEIGHTS = {"solidity": 0.26, "extent": 0.20, "circularity": 0.18, "aspect": 0.12, "area": 0.09}
+SHAPE_BONUS = {"circle": 0.15, "triangle": 0.15, "square_or_rectangle": 0.10, "octagon": 0.18, "other": 0.0}
+#: The share of the image from which a candidate's area counts in full (fixed value).
+FULL_AREA = 0.02
+
+
 def shape_of(vertices: Column, circularity: Column, aspect: Column) -> Column:
-    return F.when(circularity >= 0.82, "circle").when(vertices == 3, "triangle").when((vertices == 4) & aspect.between(0.8, 1.25), "square").when(vertices == 4, "rectangle").when(vertices.between(7, 9), "octagon").otherwise("other")
+    """The shape class by roundness, then by corners."""
+    return F.when((circularity >= 0.76) & aspect.between(0.72, 1.38), "circle").when(vertices == 3, "triangle").when(vertices == 4, "square_or_rectangle").when(vertices.between(7, 10), "octagon").otherwise("other")
+
 
+def candidate_score(area_ratio: Column, extent: Column, solidity: Column, circularity: Column, aspect: Column, shape: Column) -> Column:
+    """A weighted sum of the measures and the shape's bonus, within [0, 1]."""
+    measures = {
+        "solidity": solidity, "extent": extent, "circularity": circularity,
+        "aspect": F.greatest(F.lit(0.0), 1 - F.abs(F.log(F.greatest(aspect, F.lit(1e-6)))) / 2), "area": F.least(F.lit(1.0), area_ratio / FULL_AREA),
+    }
+    bonus = F.lit(0.0)
+    for name, value in SHAPE_BONUS.items():
+        bonus = F.when(shape == name, value).otherwise(bonus)
+    total = bonus
+    for name, weight in SCORE_WEIGHTS.items():
+        total = total + weight * measures[name]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
-def candidate_score(area: Column, extent: Column, solidity: Column, circularity: Column) -> Column:
-    """A weighted sum of shares, each clipped to [0, 1]."""
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return 0.2 * clip(area) + 0.3 * clip(extent) + 0.3 * clip(solidity) + 0.2 * clip(circularity)
+
+def plausible_candidate(area_ratio: Column, width: Column, height: Column, extent: Column, solidity: Column, limits: dict[str, float]) -> Column:
+    """Whether a candidate's area, size, filling and aspect (either way) are within the limits."""
+    aspect = width / F.greatest(F.lit(1), height)
+    most = limits["max_aspect_ratio"]
+    sized = area_ratio.between(limits["min_area_ratio"], limits["max_area_ratio"]) & (width >= limits["min_width"]) & (height >= limits["min_height"])
+    return sized & (extent >= limits["min_extent"]) & (solidity >= limits["min_solidity"]) & (aspect <= most) & (aspect >= 1.0 / most)
 
 
 def mined(rows: DataFrame, rules: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -96,7 +120,14 @@ def zipped(*arrays: str) -> Column:
     return F.when(F.array_min(sizes) == F.array_max(sizes), F.arrays_zip(*arrays)).otherwise(F.raise_error(F.lit("arrays differ in size")))
 
 
-def next_control(quality: Column, interval: Column, latency_ms: Column, drops: Column) -> list[Column]:
-    """Quality and frame interval after a step: down on drops or high latency, slowly up when all is well."""
-    bad, good = (latency_ms > 800) | (drops > 2), (latency_ms < 300) & (drops == 0)
-    return [F.when(bad, F.greatest(F.lit(0.4), quality - 0.1)).when(good, F.least(F.lit(0.9), quality + 0.05)).otherwise(quality).alias("quality"), F.when(bad, F.least(F.lit(500), interval + 50)).when(good, F.greatest(F.lit(66), interval - 10)).otherwise(interval).alias("interval")]
+#: Fixed values of the control law for a local and a public link: bounds of the quality, latencies that slow down and speed up, drops that slow down.
+CONTROL = {False: (0.38, 0.78, 180, 80, 4), True: (0.32, 0.72, 280, 160, 8)}
+
+
+def next_control(quality: Column, interval: Column, latency_ms: Column, drops: Column, public: bool = False) -> list[Column]:
+    """Quality and frame interval (ms) after a step: down by steps on drops or high latency, slowly up when all is well."""
+    least, most, slow, fast, dropped = CONTROL[public]
+    step = F.when((latency_ms > 220) | (drops > 6), F.greatest(F.lit(least), quality - 0.08)).when((latency_ms > 120) | (drops > 2), F.greatest(F.lit(least), quality - 0.04))
+    better = step.when((latency_ms < 70) & (drops == 0), F.least(F.lit(most), quality + 0.015)).otherwise(quality)
+    frames = F.when((latency_ms > slow) | (drops > dropped), 1000 / 30).when((latency_ms < fast) & (drops <= 2), 1000 / 60).otherwise(interval)
+    return [better.alias("quality"), frames.alias("interval")]

@@ -10,23 +10,41 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import number_text, phrase_id
 
-#: (kind, action, least confidence, whether a value is needed): critical kinds need 0.88.
-ACTIONS = [("click", "warn", 0.75, True), ("error", "stop", 0.88, False), ("purchase", "slow", 0.75, False), ("signup", "inform", 0.75, True)]
+#: Actions that mean nothing without a value, and the action of an unsure decision (fixed values).
+NEED_VALUE = ["SET_TARGET_SPEED", "HEIGHT_RESTRICTION", "WIDTH_RESTRICTION", "WEIGHT_RESTRICTION"]
+UNSURE = "UNKNOWN_CAUTION"
+#: Confidence from which a reader's text counts (fixed value).
+READ_LEAST = 0.65
 #: Advice by kind; the value stands for the braces.
 ADVICE = {"speed": "Limit {} km/h ahead", "height": "Height limit {} m", "weight": "Weight limit {} t"}
-#: Units and the ranges that a value must lie in (fixed values).
-RANGES = {"KM/H": (5, 160), "M": (0.5, 100_000), "T": (0.5, 100), "CM": (50, 1000)}
+#: By kind of parameter: the units that it may have and the range of its value (fixed values).
+RANGES = {"speed": (["KM/H"], 5.0, 160.0), "height": (["M"], 0.5, 10.0), "width": (["M"], 0.5, 10.0), "weight": (["T"], 0.5, 100.0), "axle_weight": (["T"], 0.5, 100.0), "distance": (["M", "KM"], 1.0, 100_000.0)}
 #: Catalogue entries that a fuzzy match may compare each text with.
 ALIASES_MOST = 5_000
 
 
-def decided(events: DataFrame) -> DataFrame:
-    """``events`` (event_type, value, confidence) with action and severity."""
-    table = events.sparkSession.createDataFrame(ACTIONS, "event_type string, rule_action string, least double, needs_value boolean")
-    both = events.join(F.broadcast(table), "event_type", "left")
-    unsure = (F.col("confidence") < F.col("least")) | (F.col("needs_value") & (F.col("value") < 1))
-    action = F.when(F.col("rule_action").isNull(), "none").when(unsure, "review").otherwise(F.col("rule_action"))
-    return both.withColumns({"action": action, "severity": F.when(F.col("least") >= 0.88, "critical").otherwise("normal")}).drop("rule_action", "least", "needs_value")
+def decided(rows: DataFrame, catalogue: DataFrame, critical: float = 0.88, normal: float = 0.75) -> DataFrame:
+    """``rows`` (label, confidence, read_value, read_unit, read_confidence) with action, severity, value and unit.
+
+    The catalogue (label, base_action, severity, kind, default_value), a row
+    for each label, gives the action. An unknown label, too little confidence
+    for the label's severity, or no valid value where one is needed make it
+    ``UNSURE``, of severity caution.
+    """
+    signs = catalogue.select("label", "base_action", F.col("severity").alias("sign_severity"), "kind", "default_value")
+    both = rows.join(signs, "label", "left")
+    read = F.coalesce("default_value", F.when(F.col("read_confidence") >= READ_LEAST, F.col("read_value")))
+    both = both.withColumn("_p", valid_parameter(F.col("kind"), read, F.upper("read_unit")))
+    least = F.when(F.col("sign_severity") == "critical", critical).otherwise(normal)
+    unsure = F.col("base_action").isNull() | (F.col("confidence") < least) | (F.col("base_action").isin(NEED_VALUE) & F.col("_p").isNull())
+    sure = lambda x: F.when(~unsure, x)
+    done = both.withColumns({"action": F.coalesce(sure(F.col("base_action")), F.lit(UNSURE)), "severity": F.coalesce(sure(F.col("sign_severity")), F.lit("caution")), "value": sure(F.col("_p.value")), "unit": sure(F.col("_p.unit"))})
+    return done.drop("base_action", "sign_severity", "kind", "default_value", "_p")
+
+
+def needs_reading(category: Column, kind: Column) -> Column:
+    """Whether a sign's text must be read: a text sign, or one with a parameter other than a direction."""
+    return (category == "text") | ~kind.isin("none", "direction")
 
 
 def advised(rows: DataFrame) -> DataFrame:
@@ -38,19 +56,27 @@ def advised(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"advice": text, "phrase": phrase_id(F.col("value"))})
 
 
-def in_range(value: Column, unit: Column) -> Column:
-    """The value where it is within its unit's range, centimetres as metres, else null."""
-    out = F.lit(None).cast("double")
-    for name, (low, high) in RANGES.items():
-        out = F.when((unit == name) & value.between(low, high), value / 100 if name == "CM" else value).otherwise(out)
+def valid_parameter(kind: Column, value: Column, unit: Column) -> Column:
+    """struct(value, unit) where the value fits its kind of parameter, else null: centimetres count as metres, a speed without unit is in KM/H, a time is taken as it is."""
+    sized = kind.isin("height", "width") & (unit == "CM")
+    value, unit = F.when(sized, value / 100.0).otherwise(value), F.when(sized, "M").otherwise(F.coalesce(unit, F.when(kind == "speed", "KM/H")))
+    pair = F.struct(value.cast("double").alias("value"), unit.alias("unit"))
+    out = F.when((kind == "time") & value.isNotNull(), pair)
+    for name, (units, low, high) in RANGES.items():
+        out = out.when((kind == name) & unit.isin(units) & value.between(low, high), pair)
     return out
 
 
-def resolved(seen: Column, seen_confidence: Column, read: Column, read_confidence: Column) -> Column:
-    """struct(label, confidence) from a classifier and a reader: agreement adds, else the surer one."""
+def resolved(seen: Column, seen_confidence: Column, seen_known: Column, read: Column, read_confidence: Column, read_known: Column) -> Column:
+    """struct(label, confidence) from a classifier and a reader, each with whether the catalogue has its label.
+
+    A known class stays; a sure and known reading that agrees raises its
+    confidence; it stands alone only where the class is unknown.
+    """
+    pick = lambda label, sure: F.struct(label.alias("label"), sure.cast("double").alias("confidence"))
+    known, sure = F.coalesce(seen_known, F.lit(False)), F.coalesce(read_known & (read_confidence >= READ_LEAST), F.lit(False))
     both = F.least(F.lit(1.0), 0.65 * seen_confidence + 0.35 * read_confidence + 0.10)
-    pick = lambda label, sure: F.struct(label.alias("label"), sure.alias("confidence"))
-    return F.when(seen == read, pick(seen, both)).when(read.isNull() | (seen_confidence >= read_confidence), pick(seen, seen_confidence)).otherwise(pick(read, read_confidence))
+    return F.when(~known & sure, pick(read, read_confidence)).when(~known, pick(F.lit("unknown_sign"), seen_confidence)).when(sure & (seen == read), pick(seen, both)).otherwise(pick(seen, seen_confidence))
 
 
 def best_alias(said: DataFrame, key: str, text: str, catalogue: DataFrame, entry: str, score: Callable[[Column, Column], Column], least: float, margin: float) -> DataFrame:

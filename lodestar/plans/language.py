@@ -85,14 +85,63 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.try_parse_url(url, F.lit("PROTOCOL")).alias("protocol"), F.try_parse_url(url, F.lit("HOST")).alias("host"), F.try_parse_url(url, F.lit("QUERY")).alias("query"))
 
 
-_KINDS = "(VALUES ('click', 'warn', 0.75, true), ('error', 'stop', 0.88, false), ('purchase', 'slow', 0.75, false), ('signup', 'inform', 0.75, true)) k(event_type, action, least, needs_value)"
+_SIGNS = [("click", "SET_TARGET_SPEED", "warning", "speed", None), ("error", "STOP", "critical", "none", None), ("purchase", "HEIGHT_RESTRICTION", "warning", "height", None), ("signup", "INFORMATION_ONLY", "information", "distance", 400.0)]
+_READ = """r AS (SELECT event_id, event_type, value / 50 AS confidence, (event_id % 200)::DOUBLE AS v, CASE event_id % 4 WHEN 0 THEN 'KM/H' WHEN 1 THEN 'CM' WHEN 2 THEN 'M' END AS u, event_id % 10 / 10.0 AS sure FROM events)"""
 
 
-@query(f"""SELECT event_id, CASE WHEN k.action IS NULL THEN 'none' WHEN value / 50 < least THEN 'review' WHEN needs_value AND value < 1 THEN 'review' ELSE k.action END AS action,
-CASE WHEN least >= 0.88 THEN 'critical' ELSE 'normal' END AS severity FROM events LEFT JOIN {_KINDS} USING (event_type)""")
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    unit = F.when(n % 4 == 0, "KM/H").when(n % 4 == 1, "CM").when(n % 4 == 2, "M")
+    return read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), (F.col("value") / 50).alias("confidence"), (n % 200).cast("double").alias("read_value"), unit.alias("read_unit"), (n % 10 / 10.0).alias("read_confidence"))
+
+
+@query(f"""WITH {_READ}, x AS (SELECT *, CASE event_type
+WHEN 'click' THEN CASE WHEN confidence >= 0.75 AND sure >= 0.65 AND v >= 5 AND v <= 160 AND coalesce(u, 'KM/H') = 'KM/H' THEN 'SET_TARGET_SPEED' END
+WHEN 'error' THEN CASE WHEN confidence >= 0.88 THEN 'STOP' END
+WHEN 'purchase' THEN CASE WHEN confidence >= 0.75 AND sure >= 0.65 AND ((u = 'CM' AND v >= 50 AND v <= 1000) OR (u = 'M' AND v >= 0.5 AND v <= 10)) THEN 'HEIGHT_RESTRICTION' END
+WHEN 'signup' THEN CASE WHEN confidence >= 0.75 THEN 'INFORMATION_ONLY' END END AS a FROM r)
+SELECT event_id, coalesce(a, 'UNKNOWN_CAUTION') AS action, CASE a WHEN 'SET_TARGET_SPEED' THEN 'warning' WHEN 'STOP' THEN 'critical' WHEN 'HEIGHT_RESTRICTION' THEN 'warning' WHEN 'INFORMATION_ONLY' THEN 'information' ELSE 'caution' END AS severity,
+CASE a WHEN 'SET_TARGET_SPEED' THEN v WHEN 'HEIGHT_RESTRICTION' THEN CASE WHEN u = 'CM' THEN v / 100 ELSE v END WHEN 'INFORMATION_ONLY' THEN CASE WHEN u = 'M' THEN 400.0 END END::DOUBLE AS value,
+CASE a WHEN 'SET_TARGET_SPEED' THEN 'KM/H' WHEN 'HEIGHT_RESTRICTION' THEN 'M' WHEN 'INFORMATION_ONLY' THEN CASE WHEN u = 'M' THEN 'M' END END AS unit FROM x""")
 def action_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions by kind, confidence threshold and required value, from a broadcast rule table."""
-    return rules.decided(read(spark, sf_dir, "events").select("event_id", "event_type", "value", (F.col("value") / 50).alias("confidence"))).select("event_id", "action", "severity")
+    """Actions by catalogue, confidence threshold of the severity and required value."""
+    signs = spark.createDataFrame(_SIGNS, "label string, base_action string, severity string, kind string, default_value double")
+    return rules.decided(_read(spark, sf_dir), signs).select("event_id", "action", "severity", "value", "unit")
+
+
+@query(f"""WITH {_READ}, k AS (SELECT unnest(['speed', 'height', 'width', 'weight', 'axle_weight', 'distance', 'time', 'none']) AS kind)
+SELECT kind, count(*) AS n, round(sum(x), 6) AS total FROM (SELECT kind, CASE
+WHEN kind = 'speed' AND coalesce(u, 'KM/H') = 'KM/H' AND v BETWEEN 5 AND 160 THEN v
+WHEN kind IN ('height', 'width') AND u = 'CM' AND v BETWEEN 50 AND 1000 THEN v / 100
+WHEN kind IN ('height', 'width') AND u = 'M' AND v BETWEEN 0.5 AND 10 THEN v
+WHEN kind IN ('weight', 'axle_weight') AND u = 'T' AND v BETWEEN 0.5 AND 100 THEN v
+WHEN kind = 'distance' AND u IN ('M', 'KM') AND v BETWEEN 1 AND 100000 THEN v
+WHEN kind = 'time' THEN v END AS x FROM (SELECT event_id, v, CASE WHEN event_id % 5 = 0 THEN 'T' ELSE u END AS u FROM r), k) WHERE x IS NOT NULL GROUP BY kind""")
+def parameter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array(*map(F.lit, [*rules.RANGES, "time", "none"])))
+    rows = _read(spark, sf_dir).select(F.col("read_value").alias("v"), F.when(F.col("event_id") % 5 == 0, "T").otherwise(F.col("read_unit")).alias("u"), kinds.alias("kind"))
+    return rows.select("kind", rules.valid_parameter(F.col("kind"), F.col("v"), F.col("u")).alias("p")).where("p IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("p.value"), 6).alias("total"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS seen, least(1.0, value / 50) AS a, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'click' END AS said, event_id % 10 / 10.0 AS b FROM events),
+k AS (SELECT *, seen IN ('click', 'error', 'purchase', 'signup') AS known, coalesce(said IN ('click', 'error', 'purchase', 'signup') AND b >= 0.65, false) AS sure FROM e)
+SELECT event_id, CASE WHEN known THEN seen WHEN sure THEN said ELSE 'unknown_sign' END AS label,
+round(CASE WHEN known AND sure AND seen = said THEN least(1.0, 0.65 * a + 0.35 * b + 0.10) WHEN NOT known AND sure THEN b ELSE a END::DOUBLE, 6) AS confidence FROM k""")
+def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier's label against a reader's: the reader confirms a known label and replaces only an unknown one."""
+    n, kind, signs = F.col("event_id"), F.col("event_type"), [s[0] for s in _SIGNS]
+    said = F.when(n % 3 == 0, kind).when(n % 3 == 1, "click")
+    rows = read(spark, sf_dir, "events").select("event_id", kind.alias("seen"), F.least(F.lit(1.0), F.col("value") / 50).alias("a"), said.alias("said"), (n % 10 / 10.0).alias("b"))
+    found = rules.resolved(F.col("seen"), F.col("a"), F.col("seen").isin(signs), F.col("said"), F.col("b"), F.col("said").isin(signs))
+    return rows.select("event_id", found.alias("r")).select("event_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
+
+
+@query("""SELECT event_type, count(*) FILTER (WHERE cat = 'text' OR kind NOT IN ('none', 'direction')) AS n FROM (SELECT event_type, CASE WHEN event_id % 4 = 0 THEN 'text' ELSE 'warning' END AS cat,
+CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'direction' ELSE 'speed' END AS kind FROM events) GROUP BY event_type""")
+def reading_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    need = rules.needs_reading(F.when(n % 4 == 0, "text").otherwise("warning"), F.when(n % 3 == 0, "none").when(n % 3 == 1, "direction").otherwise("speed"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(need).alias("n"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Limit ' || n || ' km/h ahead' WHEN 1 THEN 'Height limit ' || n || ' m' ELSE 'Weight limit ' || n || ' t' END AS advice, replace(n, '.', '_') AS phrase

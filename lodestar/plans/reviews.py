@@ -29,12 +29,23 @@ def image_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", checks.image_note(F.col("p_size"), F.lit(30), F.col("p_partkey") % 40).alias("note"))
 
 
-@query("""SELECT shape, count(*) AS n, round(avg(score), 6) AS mean_score FROM (SELECT CASE WHEN c >= 0.82 THEN 'circle' WHEN v = 3 THEN 'triangle' WHEN v = 4 AND a BETWEEN 0.8 AND 1.25 THEN 'square' WHEN v = 4 THEN 'rectangle' WHEN v BETWEEN 7 AND 9 THEN 'octagon' ELSE 'other' END AS shape,
-0.2 * least(1.0, p_size / 40.0) + 0.3 * a / 2 + 0.3 * c + 0.2 * c AS score FROM (SELECT p_size, p_partkey % 100 / 100.0 AS c, p_size % 10 AS v, p_partkey % 20 / 10.0 AS a FROM part)) GROUP BY shape""")
+@query("""WITH m AS (SELECT (p_partkey % 100 / 100.0)::DOUBLE AS c, p_size % 12 AS v, (p_partkey % 20 / 10.0)::DOUBLE AS a, (p_size / 2000.0)::DOUBLE AS area FROM part),
+s AS (SELECT *, CASE WHEN c >= 0.76 AND a >= 0.72 AND a <= 1.38 THEN 'circle' WHEN v = 3 THEN 'triangle' WHEN v = 4 THEN 'square_or_rectangle' WHEN v >= 7 AND v <= 10 THEN 'octagon' ELSE 'other' END AS shape FROM m)
+SELECT shape, count(*) AS n, round(avg(greatest(0, least(1, 0.26 * c + 0.20 * a / 2 + 0.18 * c + 0.12 * greatest(0, 1 - abs(ln(greatest(a, 0.000001))) / 2) + 0.09 * least(1, area / 0.02)
++ CASE shape WHEN 'circle' THEN 0.15 WHEN 'triangle' THEN 0.15 WHEN 'square_or_rectangle' THEN 0.10 WHEN 'octagon' THEN 0.18 ELSE 0 END))), 6) AS mean_score FROM s GROUP BY shape""")
 def shape_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, v, a = F.col("p_partkey") % 100 / 100.0, F.col("p_size") % 10, F.col("p_partkey") % 20 / 10.0
-    rows = read(spark, sf_dir, "part").select(checks.shape_of(v, c, a).alias("shape"), checks.candidate_score(F.col("p_size") / 40.0, a / 2, c, c).alias("score"))
-    return rows.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    c, v, a, area = F.col("p_partkey") % 100 / 100.0, F.col("p_size") % 12, F.col("p_partkey") % 20 / 10.0, F.col("p_size") / 2000.0
+    rows = read(spark, sf_dir, "part").select(checks.shape_of(v, c, a).alias("shape"), area.alias("area"), c.alias("c"), a.alias("a"))
+    score = checks.candidate_score(F.col("area"), F.col("a") / 2, F.col("c"), F.col("c"), F.col("a"), F.col("shape"))
+    return rows.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean_score"))
+
+
+@query("""SELECT p_partkey FROM (SELECT p_partkey, (p_size / 2000.0)::DOUBLE AS area, 8 + p_partkey % 60 AS w, 8 + p_size AS h, (p_partkey % 10 / 10.0)::DOUBLE AS e, (p_partkey % 7 / 6.0)::DOUBLE AS s FROM part)
+WHERE area >= 0.002 AND area <= 0.02 AND w >= 12 AND h >= 14 AND e >= 0.2 AND s >= 0.5 AND w / h::DOUBLE <= 2.5 AND w / h::DOUBLE >= 0.4""")
+def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {"min_area_ratio": 0.002, "max_area_ratio": 0.02, "min_width": 12, "min_height": 14, "min_extent": 0.2, "min_solidity": 0.5, "max_aspect_ratio": 2.5}
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return read(spark, sf_dir, "part").where(checks.plausible_candidate(size / 2000.0, 8 + key % 60, 8 + size, key % 10 / 10.0, key % 7 / 6.0, limits)).select("p_partkey")
 
 
 @query("""SELECT rule, event_id FROM (SELECT rule, event_id, most, row_number() OVER (PARTITION BY rule ORDER BY ts, event_id) AS rn FROM events JOIN (VALUES ('click', 'big clicks', 30.0, 15), ('error', 'errors', 5.0, 40)) r(event_type, rule, least, most) USING (event_type) WHERE value >= least) WHERE rn <= most""")
@@ -79,12 +90,18 @@ def map_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", checks.map_difference(F.col("a"), F.col("b")).alias("diff"))
 
 
-@query("""SELECT event_id, CASE WHEN value > 40 THEN 0.5 WHEN value < 5 THEN 0.65 ELSE 0.6 END::DOUBLE AS quality, CASE WHEN value > 40 THEN 150 WHEN value < 5 THEN 90 ELSE 100 END::INT AS "interval" FROM events""")
+_CONTROL = """SELECT event_id, {0} AS public, round(CASE WHEN ms > 220 OR drops > 6 THEN greatest({1}, 0.6 - 0.08) WHEN ms > 120 OR drops > 2 THEN greatest({1}, 0.6 - 0.04) WHEN ms < 70 AND drops = 0 THEN least({2}, 0.6 + 0.015) ELSE 0.6 END::DOUBLE, 6) AS quality,
+round(CASE WHEN ms > {3} OR drops > {5} THEN 1000 / 30.0 WHEN ms < {4} AND drops <= 2 THEN 1000 / 60.0 ELSE 25.0 END::DOUBLE, 6) AS "interval" FROM (SELECT event_id, value * 6 AS ms, event_id % 10 AS drops FROM events)"""
+
+
+@query(_CONTROL.format("false", 0.38, 0.78, 180, 80, 4) + " UNION ALL " + _CONTROL.format("true", 0.32, 0.72, 280, 160, 8))
 def control_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adaptive control law on latencies from the event values."""
-    rows = read(spark, sf_dir, "events")
-    quality, interval = checks.next_control(F.lit(0.6), F.lit(100), F.when(F.col("value") > 40, 900).when(F.col("value") < 5, 100).otherwise(500), F.lit(0))
-    return rows.select("event_id", F.round(quality, 6).alias("quality"), interval)
+    """The adaptive control law on latencies and drops from the events, for a local and a public link."""
+    rows, out = read(spark, sf_dir, "events").select("event_id", (F.col("value") * 6).alias("ms"), (F.col("event_id") % 10).alias("drops")), []
+    for public in (False, True):
+        quality, interval = checks.next_control(F.lit(0.6), F.lit(25.0), F.col("ms"), F.col("drops"), public)
+        out.append(rows.select("event_id", F.lit(public).alias("public"), F.round(quality, 6).alias("quality"), F.round(interval, 6).alias("interval")))
+    return out[0].unionByName(out[1])
 
 
 @query("SELECT conv_id, count(*) AS n, list(role ORDER BY turn, role)[2] AS second FROM conversations GROUP BY conv_id")

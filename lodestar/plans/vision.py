@@ -135,7 +135,7 @@ d AS (SELECT e.vec_id, e.label, protos.label AS other, round(least(2, greatest(0
 near AS (SELECT vec_id, label, min_by(other, (distance, other)) AS nearest, min(distance) AS distance FROM d GROUP BY vec_id, label)"""
 
 
-@query("""WITH c AS (SELECT label, i, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i),
+@query("""WITH c AS (SELECT label, i, round(avg(v::DOUBLE), 9) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i),
 l AS (SELECT label, sqrt(sum(v * v)) AS n FROM c GROUP BY label) SELECT label, i::INT AS i, round(v / n, 5) AS v FROM c JOIN l USING (label)""")
 def class_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = matching.prototypes(read(spark, sf_dir, "embeddings"), "label", "embedding")
