@@ -36,6 +36,14 @@ def confusion(rows: DataFrame, target: str = "target", predicted: str = "predict
     return rows.groupBy(target, predicted).agg(F.count("*").alias("n"))
 
 
+def dense_confusion(counts: DataFrame) -> DataFrame:
+    """``confusion`` with 0 for the pairs of labels that do not occur; the labels, one for each class, come from both columns."""
+    labels = counts.select(F.explode(F.array("target", "predicted")).alias("x")).distinct()
+    others = labels.agg(F.collect_set("x").alias("all"))
+    pairs = labels.withColumn("_k", F.lit(1)).join(F.broadcast(others.withColumn("_k", F.lit(1))), "_k").select(F.col("x").alias("target"), F.explode("all").alias("predicted"))
+    return pairs.join(counts, ["target", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def class_scores(counts: DataFrame, every_label: bool = False) -> DataFrame:
     """(label, tp, fp, fn, support, precision, recall, f1) from ``confusion``, 0 where undefined; labels: targets, or targets and predictions."""
     hit = F.col("target") == F.col("predicted")
