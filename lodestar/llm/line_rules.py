@@ -9,7 +9,8 @@ one that fails the base rules (too few words, or too many in repeated windows).
 Defined cases: a null text has no words and no lines and is rejected as too
 short; lines without a word are neither kept nor counted as lost; rows stay as
 they are, repeated ids included; an empty input gives no rows; extra columns
-are left alone.
+are left alone. Time grows with the text's length, but for sorting its windows,
+also in a text of one line or one unbroken word; a text is held whole by its task.
 """
 
 from __future__ import annotations
@@ -43,13 +44,21 @@ def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
+def _count(text: Column, characters: str) -> Column:
+    """How many of the characters the text has."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def line_fails(line: Column) -> Column:
-    """True if some rule fails the line."""
-    found = F.lit(False)
-    for pattern in LINE_RULES.values():
-        found = found | F.rlike(line, F.lit(pattern))
-    no_sentence = ~F.rlike(line, F.lit(SENTENCE_MARK)) & F.rlike(line, F.lit(rf"([^\x20\x09-\x0D]+{_BLANKS}){{{LONG_LINE - 1}}}[^\x20\x09-\x0D]"))
-    return found | no_sentence
+    """True if some rule fails the line: ``LINE_RULES`` in forms whose time grows with the line's length only.
+
+    Separators are counted; runs of symbols are tried from their first symbol
+    on and never given back (possessive), words are counted by splitting.
+    """
+    navigation = (_count(line, "|") >= 3) | (_count(line, "»›•·>") >= 4)
+    runs = lambda kind: F.rlike(line, F.lit(rf"(?<![{kind}])(?:[{kind}]{{2,}}+[^{kind}]++){{4}}"))
+    no_sentence = ~F.rlike(line, F.lit(SENTENCE_MARK)) & (F.size(F.split(F.trim(line, F.lit(_BLANK_CHARACTERS)), _BLANKS)) >= LONG_LINE)
+    return navigation | F.rlike(line, F.lit(LINE_RULES["boilerplate"])) | runs("#*$%&<>") | runs("!?") | no_sentence
 
 
 def _window_hashes(words: Column, size: int) -> Column:
@@ -66,7 +75,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     cut = docs.select(*keep, text.alias("text"), words.alias("words"), lines.alias("lines"))
     hashed = cut.select(
         *keep, "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        "lines", F.filter("lines", line_fails).alias("bad_lines"), _window_hashes(F.col("words"), REPEAT_WINDOW).alias("hashes"),
+        "lines", F.transform("lines", line_fails).alias("fails"), _window_hashes(F.col("words"), REPEAT_WINDOW).alias("hashes"),
     )
     twice = F.size(F.array_distinct("hashes")) < F.size("hashes")
     ordered = F.when(twice, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -74,8 +83,8 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
         *keep, "text", "n_words", "word_chars",
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.array_join(F.filter("lines", lambda line: ~line_fails(line)), "\n").alias("clean_text"),
-        F.length(_without(F.array_join("bad_lines", ""), _BLANKS)).cast("long").alias("lost_chars"),
+        F.array_join(F.filter("lines", lambda line, i: ~F.get("fails", i)), "\n").alias("clean_text"),
+        F.length(_without(F.array_join(F.filter("lines", lambda line, i: F.get("fails", i)), ""), _BLANKS)).cast("long").alias("lost_chars"),
         ordered.alias("ordered"),
     )
     again = F.filter("ordered", lambda x, k: (x["h"] == F.get("ordered", k - 1)["h"]) | (x["h"] == F.get("ordered", k + 1)["h"]))

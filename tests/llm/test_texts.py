@@ -125,6 +125,29 @@ def test_line_rules(spark, odd_documents):
     assert not bad["base_failed"] and not bad["kept"]
 
 
+def test_line_rules_equal_their_patterns(spark):
+    """The linear forms against the rules' patterns, on random lines of few symbols."""
+    import random
+    import re
+
+    random.seed(3)
+    parts = ["#", "##", "***", "!", "!?", "??", "a", "word ", " ", "|", "> ", "· ", ".", "privacy policy", "\t", "é", "<>"]
+    lines = ["".join(random.choices(parts, k=random.randrange(1, 30))) for _ in range(2000)] + ["w " * 11, "w " * 12, "w " * 11 + "w", "  " + "w " * 12]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", line_rules.line_fails(F.col("line")).alias("bad")).collect()
+    want = {i: any(re.search(p, x) for p in line_rules.LINE_RULES.values()) or (not re.search(line_rules.SENTENCE_MARK, x) and len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= line_rules.LONG_LINE) for i, x in enumerate(lines)}
+    assert {r["i"]: r["bad"] for r in got} == want and 200 < sum(want.values()) < 1900
+
+
+def test_line_rules_on_unbroken_megabytes(spark):
+    import time
+
+    texts = ["x" * 1_000_000, "#" * 1_000_000, "!?" * 500_000, "| " * 300_000, "word " * 200_000, "##a#" * 250_000]
+    began = time.time()
+    got = line_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), "doc_id").select("doc_id", "n_words", "kept").collect()
+    assert {r["doc_id"]: r["n_words"] for r in got} == {0: 1, 1: 1, 2: 1, 3: 300_000, 4: 200_000, 5: 1} and not any(r["kept"] for r in got)
+    assert time.time() - began < 120
+
+
 def test_quality(spark, small, odd_documents, odd_labels):
     kept = quality.good_only(odd_documents, odd_labels)
     assert kept.columns == odd_documents.columns
