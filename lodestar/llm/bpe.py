@@ -110,6 +110,8 @@ class WordBpe:
                 self.joined[self.ids[left] * self.base + self.ids[right]] = rank * self.base + self.ids[left + right]
         # only then do numbers say all that the merges say
         self.numbered = max(self.ids.values(), default=0) < self.base and len(self.joined) == len(self.ranks) and len(self.begins) == len(self.ends) == len(self.letters)
+        if self.numbered:
+            self.ranks = {}
 
     def word_ids(self, word: str) -> list[int]:
         return self._short_ids(word) if len(word) <= REMEMBERED else self._word_ids(word)
@@ -196,31 +198,34 @@ class WordBpe:
         """As ``merged`` in n log n steps, for long fragments: a heap of pairs over linked symbols."""
         import heapq
 
-        parts: list[str | None] = list(fragment)
+        parts: list = list(map(self.begins.__getitem__, fragment)) if self.numbered else list(fragment)
         if ends:
-            parts[-1] = fragment[-1] + self.suffix
+            parts[-1] = self.ends[fragment[-1]] if self.numbered else fragment[-1] + self.suffix
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, str, str]] = []
+        heap: list[tuple] = []
 
         def offer(i: int) -> None:
             if 0 <= i and after[i] < len(parts):
-                pair = (parts[i], parts[after[i]])
-                if pair in self.ranks:
-                    heapq.heappush(heap, (self.ranks[pair], i, *pair))
+                left, right = parts[i], parts[after[i]]
+                found = self.joined.get(left * self.base + right) if self.numbered else self.ranks.get((left, right))
+                if found is not None:
+                    heapq.heappush(heap, (found, i, left, right))
 
         for i in range(len(parts) - 1):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            found, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= len(parts) or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = found & (self.base - 1) if self.numbered else left + right, None
             after[i] = after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
             offer(before[i])
             offer(i)
+        if self.numbered:
+            return [p for p in parts if p is not None]
         return [self.ids[p] for p in parts if p is not None and p in self.ids]
 
     def _word_ids(self, word: str) -> list[int]:
