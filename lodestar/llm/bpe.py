@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame
 
 from lodestar.llm.shared import bounded_batches
 
-#: Bytes, about, of each of a worker's two memories of stretches between white space, the present one and the one before it.
-MEMORY = 40 << 20
+#: Stretches between white space in each of a worker's two memories, the present one and the one before it. An
+#: entry takes some 400 bytes, and as only stretches of up to ``REMEMBERED`` characters stay, 2 kB at most.
+MEMORY = 100_000
 #: Words that a worker remembers; the least recently used go.
-WORDS = 60_000
+WORDS = 80_000
 #: Characters of the longest stretch or word that is remembered.
 REMEMBERED = 64
 #: Rows of a batch that go back to Spark.
@@ -66,6 +68,10 @@ _LATER_LOWER = {c: c + d for a, b, d in _LATER for c in range(a, b + 1)}
 _ANY_LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _LATER) + "]")
 
 
+#: Runs of letters, single numbers, runs of other signs: how the file's pattern ends (fixed value).
+_PLAIN_END = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next free one from 256 on."""
     free, out = iter(range(256, 512)), []
@@ -89,15 +95,18 @@ class WordBpe:
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.letters = byte_alphabet()
         split = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        told_split = split
         split = split.replace(r"\s", _SPACE.pattern[1:-2])
         self.words = regex.compile(split)
         # rare texts with characters younger than the vocabulary's tables take a slower pattern
         self.old_words = regex.compile(split.replace(r"[\p{L}]", rf"[\p{{L}}--[{_YOUNG}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{_YOUNG}]]").replace(r"\p{L}\p{N}]+", rf"[\p{{L}}--[{_YOUNG}]][\p{{N}}--[{_YOUNG}]]]+"), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # whether the pattern ends in these alternatives, and all before them begin with a sign
+        self.plain = re.fullmatch(r"(?:[^\w\s|][^|]*\|)*", told_split.removesuffix(_PLAIN_END)) is not None and told_split.endswith(_PLAIN_END)
         self.mark = os.path.commonprefix(list(self.special))
         self.inner = self._inner_pairs()
         self._number_pairs()
-        self._short_ids = lru_cache(WORDS)(self._word_ids)
+        self.short_ids = lru_cache(WORDS)(self._word_ids)
 
     def _number_pairs(self) -> None:
         """The merges by numbers: left id * base + right id gives rank * base + merged id."""
@@ -114,7 +123,7 @@ class WordBpe:
             self.ranks = {}
 
     def word_ids(self, word: str) -> list[int]:
-        return self._short_ids(word) if len(word) <= REMEMBERED else self._word_ids(word)
+        return self.short_ids(word) if len(word) <= REMEMBERED else self._word_ids(word)
 
     def has_special(self, text: str) -> bool:
         return self.specials is not None and self.mark in text and self.specials.search(text) is not None
@@ -137,6 +146,13 @@ class WordBpe:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a normalized piece of text."""
+        if self.plain and text.isascii():
+            # letters are one pre-token, a single sign after them another: no need of the pattern
+            if text.isalpha():
+                return [text]
+            head, last = text[:-1], text[-1:]
+            if head.isalpha() and last.isprintable() and last != " " and not last.isalnum():
+                return [head, last]
         rare = not text.isascii() and _ANY_YOUNG.search(text)
         return (self.old_words if rare else self.words).findall(text)
 
@@ -245,38 +261,33 @@ class _Known(dict):
 
     def __init__(self, model: WordBpe, most: int) -> None:
         super().__init__()
-        self.model, self.most, self.held, self.before = model, most, 0, {}
+        self.model, self.most, self.before = model, most, {}
 
     def __missing__(self, stretch: str) -> tuple[bytes, str]:
+        model, short = self.model, len(stretch) <= REMEMBERED
         found = self.before.get(stretch)
         if found is None:
-            ids = [i for word in self.model.split(stretch) for i in self.model.word_ids(word)]
-            found = (le_bytes(ids), " ".join([self.model.texts[i] for i in ids]))
-        if len(stretch) <= REMEMBERED:
-            # about what the entry, its key, tuple and values take
-            size = 320 + 2 * len(stretch) + len(found[0]) + len(found[1])
-            if self.held + size > self.most:
-                self.before, self.held = dict(self), 0
+            words, of = model.split(stretch), model.short_ids if short else model.word_ids
+            ids = of(words[0]) if len(words) == 1 else [i for word in words for i in of(word)]
+            found = (le_bytes(ids), " ".join(map(model.texts.__getitem__, ids)))
+        if short:
+            if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
-            self.held += size
             self[stretch] = found
         return found
 
 
+_AS_STORED = sys.byteorder == "little" and array("I").itemsize == 4
+
+
 def le_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if out.itemsize != 4:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-    import sys
-
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    return array("I", ids).tobytes() if _AS_STORED else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 class Codec:
-    """Encodes whole texts word by word, with memories bounded in bytes."""
+    """Encodes whole texts word by word, with bounded memories."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         self.model = WordBpe(path)
