@@ -43,7 +43,9 @@ def report(df: DataFrame) -> str:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """At most ``most`` rows as a Markdown table."""
-    rows = df.limit(most).collect()
+    """The table as Markdown; raises if it has more than ``most`` rows, which a report for readers should not."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a Markdown table")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
