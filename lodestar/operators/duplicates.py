@@ -30,7 +30,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Each round takes the least label of a node's neighbours and then that
     label's own label, and is checkpointed to the session's checkpoint folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # the search for edges runs once, not in every round
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
     while True:
         offered = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("offer"))
