@@ -137,8 +137,8 @@ def _edge_rows(todo: DataFrame, window: int) -> DataFrame:
 
 
 def _by_document(marks: DataFrame) -> DataFrame:
-    """A document's marks, as many as it has windows at most."""
-    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("span", "path")).alias("marks"))
+    """A document's distinct marks, as many as it has windows at most, however many rows share its id."""
+    return marks.groupBy("doc_id").agg(F.collect_set(F.struct("span", "path")).alias("marks"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

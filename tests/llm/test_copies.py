@@ -177,3 +177,12 @@ def test_rows_that_share_an_id(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 12, 15]
     alone = ngram_join.first_of_each(docs.where("doc_id = 7"))
     assert sorted((r["text"] or "")[:2] for r in alone.collect()) == ["", "u0", "w0"]
+
+
+def test_many_rows_of_one_id_share_their_marks(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, base), (3, base + " end")] + [(2, base)] * 300, "doc_id long, text string")
+    marks = {r["doc_id"]: len(r["marks"]) for r in substrings.repeated_spans(docs).collect()}
+    assert marks[2] <= 68 and 1 not in marks
+    done = substrings.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, done)) == [(1, 0, 1), (2, 80, 300), (3, 80, 1)]
