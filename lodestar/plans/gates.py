@@ -66,10 +66,10 @@ def chosen_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct(_level(), "value", -F.col("event_id"))).alias("event_id"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) < 45 + ascii(right(p_brand, 1)) % 5)")
+@query("SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING 2 * count(*) FILTER (WHERE p_size <= 25) < count(*))")
 def open_gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
-    short = parts.groupBy("p_brand").agg(F.count("*").alias("n")).where(F.col("n") < 45 + F.ascii(F.right("p_brand", F.lit(1))) % 5)
+    short = parts.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") <= 25).alias("small")).where("2 * small < n")
     return parts.join(short, "p_brand", "left_semi").select("p_partkey")
 
 
