@@ -3,11 +3,13 @@
 Two neighbouring bytes that stand side by side in no vocabulary entry can
 never end up in one token, so a cut between them is certain. A text is cut
 there, at white space and at the pre-tokenizer's boundaries, the fragments are encoded
-independently, and the results concatenated. Fragments recur, so each worker
-keeps a bounded memory of those it has encoded.
+independently, and the results concatenated. The fragments of all new words of
+a chunk of texts are merged side by side in NumPy, a pair of each a round;
+stretches recur, so each worker keeps a bounded memory of those it has encoded.
 
 The job is a map over the documents: nothing is shuffled, and the memory a
-task needs is one Arrow batch, the vocabulary and the bounded fragment memory.
+task needs is one Arrow batch, the vocabulary and the bounded memory of
+stretches, or some 100 times the bytes of its longest text.
 
 Defined cases: a null text counts as empty (no ids); rows stay as they are,
 repeated ids included; an input without rows gives no rows; columns of the
@@ -23,24 +25,24 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestar.llm.arrowtext import chunks
 from lodestar.llm.shared import bounded_batches
 
-#: Stretches between white space in each of a worker's two memories, the present one and the one before it. An
-#: entry takes some 400 bytes, and as only stretches of up to ``REMEMBERED`` characters stay, 2 kB at most.
+#: Stretches between white space that a worker remembers; when there are more, those of the present chunk stay. An
+#: entry takes some 250 bytes, and as only stretches of up to ``REMEMBERED`` characters stay, 1 kB at most.
 MEMORY = 100_000
-#: Words that a worker remembers; the least recently used go.
-WORDS = 80_000
-#: Characters of the longest stretch or word that is remembered.
+#: Characters of the longest stretch that is remembered, and of the longest word that is merged beside others.
 REMEMBERED = 64
-#: Rows of a batch that go back to Spark.
-ROWS = 500
+
+#: Above every rank of a pair.
+_NONE = 1 << 60
 
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
 _OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -106,7 +108,6 @@ class WordBpe:
         self.mark = os.path.commonprefix(list(self.special))
         self.inner = self._inner_pairs()
         self._number_pairs()
-        self.short_ids = lru_cache(WORDS)(self._word_ids)
 
     def _number_pairs(self) -> None:
         """The merges by numbers: left id * base + right id gives rank * base + merged id."""
@@ -121,9 +122,62 @@ class WordBpe:
         self.numbered = max(self.ids.values(), default=0) < self.base and len(self.joined) == len(self.ranks) and len(self.begins) == len(self.ends) == len(self.letters)
         if self.numbered:
             self.ranks = {}
-
-    def word_ids(self, word: str) -> list[int]:
-        return self.short_ids(word) if len(word) <= REMEMBERED else self._word_ids(word)
+            self.pairs = np.array(sorted(self.joined), np.int64)
+            self.merges = np.array([self.joined[x] for x in self.pairs.tolist()], np.int64)
+            self.byte_begins, self.byte_ends = (np.array([x[c] for c in self.letters], np.int64) for x in (self.begins, self.ends))
+            byte = {c: i for i, c in enumerate(self.letters)}
+            self.cuts = np.ones((256, 256), bool)
+            for left, right in self.inner:
+                if left in byte and right in byte:
+                    self.cuts[byte[left], byte[right]] = False
+
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, none empty, as bytes."""
+        if not self.numbered or not words:
+            return [le_bytes(self.word_ids(word)) for word in words]
+        told = [word.encode("utf-8", "surrogatepass") for word in words]
+        sizes = np.fromiter(map(len, told), np.int64, len(told))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(told), np.uint8)
+        parts, opens = self.byte_begins[data], np.ones(len(data), bool)
+        parts[ends - 1] = self.byte_ends[data[ends - 1]]
+        opens[1:] = self.cuts[data[:-1], data[1:]]
+        opens[ends[:-1]] = True
+        kept = self._merge_all(parts, opens)
+        after = np.cumsum(np.add.reduceat(kept.astype(np.int64), ends - sizes)) * 4
+        ids, bounds = parts[kept].astype("<u4").tobytes(), [0, *after.tolist()]
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank * base + merged id of each pair, ``_NONE`` for those that never merge."""
+        keys = left * self.base + right
+        found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[found] == keys, self.merges[found], _NONE)
+
+    def _merge_all(self, parts: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Merges the fragments that begin at ``opens`` in ``parts``, each as ``merged`` does; gives the places where ids are left."""
+        kept, at, rank = np.ones(len(parts), bool), np.arange(len(parts)), np.full(len(parts), _NONE)
+        inside = np.flatnonzero(~opens[1:])
+        rank[inside] = self._ranks(parts[inside], parts[inside + 1])
+        while len(at):
+            first = np.flatnonzero(opens[at])
+            sizes = np.diff(first, append=len(at))
+            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            place = np.flatnonzero((rank == least) & (rank < _NONE))
+            of = np.repeat(np.arange(len(first)), sizes)[place]
+            place = place[np.diff(of, prepend=-1) > 0]  # the leftmost of each fragment
+            parts[at[place]] = rank[place] & (self.base - 1)
+            kept[at[place + 1]] = False
+            still = least < _NONE
+            still[place + 1] = False
+            place = (np.cumsum(still) - 1)[place]
+            at, rank = at[still], rank[still]
+            # only pairs with a new symbol have a new rank
+            rank[place] = _NONE
+            changed = np.concatenate([place[~opens[at[place]]] - 1, place[place + 1 < len(at)]])
+            changed = changed[~opens[at[changed + 1]]]
+            rank[changed] = self._ranks(parts[at[changed]], parts[at[changed + 1]])
+        return kept
 
     def has_special(self, text: str) -> bool:
         return self.specials is not None and self.mark in text and self.specials.search(text) is not None
@@ -244,7 +298,7 @@ class WordBpe:
             return [p for p in parts if p is not None]
         return [self.ids[p] for p in parts if p is not None and p in self.ids]
 
-    def _word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> list[int]:
         # printable ASCII stands for itself
         letters = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
         return [i for f, ends in self.fragments(letters) for i in self.encode_fragment(f, ends)]
@@ -253,31 +307,6 @@ class WordBpe:
         return (self.merged if len(fragment) < 64 else self.long_merged)(fragment, ends)
 
 
-class _Known(dict):
-    """(bytes of the ids, decoded tokens) by stretch of text without white space.
-
-    When it is full it becomes ``before``, from which stretches still in use come back.
-    """
-
-    def __init__(self, model: WordBpe, most: int) -> None:
-        super().__init__()
-        self.model, self.most, self.before = model, most, {}
-
-    def __missing__(self, stretch: str) -> tuple[bytes, str]:
-        model, short = self.model, len(stretch) <= REMEMBERED
-        found = self.before.get(stretch)
-        if found is None:
-            words, of = model.split(stretch), model.short_ids if short else model.word_ids
-            ids = of(words[0]) if len(words) == 1 else [i for word in words for i in of(word)]
-            found = (le_bytes(ids), " ".join(map(model.texts.__getitem__, ids)))
-        if short:
-            if len(self) >= self.most:
-                self.before = dict(self)
-                self.clear()
-            self[stretch] = found
-        return found
-
-
 _AS_STORED = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -287,35 +316,48 @@ def le_bytes(ids: list[int]) -> bytes:
 
 
 class Codec:
-    """Encodes whole texts word by word, with bounded memories."""
+    """Encodes whole texts, a chunk of them at once, with a bounded memory of stretches without white space."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
-        self.model = WordBpe(path)
-        self.known = _Known(self.model, memory)
+        self.model, self.memory = WordBpe(path), memory
+        # special tokens stand in tuples, so that no stretch is taken for one
+        self.fixed: dict = {(text,): le_bytes([i]) for text, i in self.model.special.items()}
+        self.known: dict = dict(self.fixed)
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        model, known = self.model, self.known.__getitem__
+    def _stretches(self, text: str) -> list:
+        model = self.model
         if not model.has_special(text):
-            return [known(x) for x in _SPACE.split(model.normalized(text))]
-        out = []
+            return _SPACE.split(model.normalized(text))
+        out: list = []
         for i, part in enumerate(model.specials.split(text)):
-            if i % 2:
-                out.append((le_bytes([model.special[part]]), part))
-            else:
-                out += [known(x) for x in _SPACE.split(model.normalized(part))]
+            out += [(part,)] if i % 2 else _SPACE.split(model.normalized(part))
         return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(x[0] for x in self.pieces(text))
-
-    def both(self, text: str) -> tuple[bytes, str]:
-        """(ids as bytes, the ids decoded)."""
-        found = self.pieces(text)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+    def _learn(self, fresh: list[str]) -> None:
+        words = list(map(self.model.split, fresh))
+        distinct = set().union(*words)
+        short = [word for word in distinct if len(word) <= REMEMBERED]
+        ids = dict(zip(short, self.model.words_ids(short), strict=True))
+        ids |= {word: le_bytes(self.model.word_ids(word)) for word in distinct if len(word) > REMEMBERED}
+        for stretch, of in zip(fresh, words, strict=True):
+            self.known[stretch] = ids[of[0]] if len(of) == 1 else b"".join(map(ids.__getitem__, of))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        rows = list(map(self._stretches, texts))
+        used = set().union(*rows)
+        fresh = list(used.difference(self.known))
+        if len(self.known) + len(fresh) > self.memory:
+            self.known = self.fixed | {x: self.known[x] for x in used if x in self.known}
+        self._learn(fresh)
+        out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
+        for stretch in fresh:
+            if len(stretch) > REMEMBERED:
+                del self.known[stretch]
+        return out
 
     def decode(self, ids: bytes) -> str:
-        found = array("I", ids) if ids else array("I")
-        return " ".join(self.model.texts[i] for i in found)
+        return " ".join(map(self.model.texts.__getitem__, array("I", ids)))
 
 
 _codecs: dict[str, Codec] = {}
@@ -336,10 +378,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = [model.both(value.as_py() or "") for value in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) // 4 for b, _ in found], pa.int64()), pa.array([b for b, _ in found], pa.binary()), pa.array([d for _, d in found], pa.string())], [key, "n_tokens", "ids", "decoded"])
+            for part in chunks(batch.rename_columns([key, "text"])):
+                found = model.encode([value or "" for value in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) // 4 for b in found], pa.int64()), pa.array(found, pa.binary()), pa.array(map(model.decode, found), pa.string())], [key, "n_tokens", "ids", "decoded"])
             batch = part = found = None  # not held while the next one is read
 
     return docs.select(key, text).mapInArrow(run, schema)

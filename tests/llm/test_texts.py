@@ -5,6 +5,7 @@ import io
 import math
 from array import array
 from collections import Counter, defaultdict
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,22 @@ def test_forced_boundaries_are_safe():
         assert [i for f, e in model.fragments(letters) for i in model.merged(f, e)] == model.merged(letters, True) == model.long_merged(letters, True)
 
 
+def test_words_merged_side_by_side_equal_single_ones():
+    model, random = bpe.codec(vocabulary()).model, Random(7)
+    alphabets = ["ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz0123456789.,'", "éßжщ한글語ü\x07"]
+    words = ["".join(random.choices(random.choice(alphabets), k=random.randint(1, 64))) for _ in range(3000)] + ["x"]
+    assert model.words_ids(words) == [bpe.le_bytes(model.word_ids(word)) for word in words]
+    assert model.words_ids([]) == []
+
+
+def test_memory_of_stretches_is_bounded_and_changes_nothing(library):
+    small, random = bpe.Codec(vocabulary(), memory=20), Random(8)
+    for _ in range(30):
+        texts = [" ".join("".join(random.choices("abc", k=random.choice([1, 2, 3, 100]))) for _ in range(random.randint(0, 12))) + "<|endoftext|>" * random.randint(0, 1) for _ in range(3)]
+        assert [list(array("I", x)) for x in small.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(small.known) <= 20 + 39 and all(len(x) <= bpe.REMEMBERED for x in small.known)
+
+
 def test_bpe_and_others_on_empty_tables(spark, no_documents, odd_labels):
     assert bpe.encode(no_documents, vocabulary()).count() == 0
     assert licenses.scan(no_documents).count() == 0
