@@ -169,7 +169,7 @@ def judged(docs: DataFrame, labels: DataFrame, kept: list[str], host: str = "sou
     all texts.
     """
     bounded_batches(docs.sparkSession)
-    own = evidence(fit(docs, labels))
+    own = evidence(fit(docs, labels)).asNondeterministic()  # else a filter on it works it out a second time
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), own("text").alias("evidence"))
     if "text" not in kept:
         packed = written(packed, "evidence")
