@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, licenses, line_rules, ngram_join, quality, substrings, toxicity, url_filter, warc
+from lodestar.llm import bpe, decontaminate, licenses, line_rules, ngram_join, pieces, quality, substrings, toxicity, url_filter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """The model file of the public tokenizers for SentencePiece."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,7 +74,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"), piece_model())
+    told = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", "n_tokens", F.sha2(told, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_sentencepiece": op11_sentencepiece}
 
 _SQL_OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
