@@ -160,6 +160,40 @@ class Words:
         return self._texts[words]
 
 
+def strings(data: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes under ``mask``, as strings divided at ``offsets``."""
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(mask, out=sums[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(sums[offsets])), pa.py_buffer(data[mask])]).cast(pa.string())
+
+
+def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``size`` places lie in some range from ``starts`` to before ``ends``."""
+    steps = np.zeros(size + 1, np.int32)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def joined(words: Words, kept: np.ndarray) -> pa.Array:
+    """The words with the given numbers, ascending, of each text, joined by single spaces."""
+    mask = covered(len(words.data), words.starts[kept], words.ends[kept])
+    data = words.data.copy()
+    text = words.text_of(kept) if len(kept) else kept
+    inner = words.ends[kept[:-1]][text[:-1] == text[1:]] if len(kept) else kept
+    mask[inner], data[inner] = True, 32
+    return strings(data, mask, words.offsets)
+
+
+def exact_ids(words: Words) -> np.ndarray:
+    """A number for each word, equal for equal words only (by the words' bytes, not by hashes)."""
+    sums = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words.ends - words.starts, out=sums[1:])
+    held = words.data[covered(len(words.data), words.starts, words.ends)]
+    told = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(sums), pa.py_buffer(held)])
+    return np.asarray(told.dictionary_encode().indices).astype(np.int64)
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values."""
     have, out = 1, x
