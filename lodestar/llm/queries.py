@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, licenses, line_rules, ngram_join, periods, pieces, quality, substrings, toxicity, url_filter, warc
+from lodestar.llm import bpe, decontaminate, licenses, line_rules, negatives, ngram_join, periods, pieces, quality, substrings, toxicity, url_filter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2(told, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = periods.runs(periods.with_periods(table(spark, sf_dir, "documents")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n"))), "")
@@ -87,7 +93,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_sentencepiece": op11_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
+QUERIES: dict[str, Query] = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_url_filter": op3_url_filter, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_sentencepiece": op11_sentencepiece, "op12_hard_negatives": op12_hard_negatives, "op13_periodic_runs": op13_periodic_runs}
 
 _SQL_OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -128,4 +134,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
-SQL: dict[str, str] = {"op4_warc": _SQL_OP4, "op5_line_rules": _SQL_OP5, "op10_decontamination": _SQL_OP10}
+_SQL_OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+a AS (SELECT vec_id, label, v FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS vec_id, a.label = e.label AS same, list_sum([a.v[i] * e.v[i] FOR i IN range(1, len(a.v) + 1)])::BIGINT AS score FROM a JOIN e ON a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+SQL: dict[str, str] = {"op4_warc": _SQL_OP4, "op5_line_rules": _SQL_OP5, "op10_decontamination": _SQL_OP10, "op12_hard_negatives": _SQL_OP12}
