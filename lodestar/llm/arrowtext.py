@@ -10,15 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer text forms a chunk of its own.
 CHUNK_BYTES = 512 << 10
 
+#: Bytes of the words that are hashed side by side; longer ones are hashed one by one.
+SHORT = 64
+
 U64 = np.uint64
-_RANDOM = np.random.default_rng(20_240_131)
-_BYTE_KEYS = _RANDOM.integers(0, 2**64, 256, dtype=U64)
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+_WORD_KEY = 0x9E3779B97F4A7C15
+_SPAN_KEY = U64(0xD1342543DE82EF95)
+_PAIR_KEY = U64(0xA0761D6478BD642F)
+#: What is left of eight bytes when only the first 0 to 8 of them count.
+_HELD = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def _separators(codes: list[int]) -> np.ndarray:
@@ -30,37 +35,8 @@ def _separators(codes: list[int]) -> np.ndarray:
 #: Space and the control characters from tab to carriage return.
 BLANKS = _separators([32, *range(9, 14)])
 
-
-def _lowered() -> np.ndarray:
-    keys = _BYTE_KEYS.copy()
-    keys[65:91] = keys[97:123]
-    return keys
-
-
-_BYTE_KEYS_LOWER = _lowered()
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, kept up to the longest length asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(0, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (self._run(x, size) for x in (self.base, self.inverse))
-        return self.up, self.down
-
-    @staticmethod
-    def _run(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,6 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair of hashes. No polynomial of them: each level of a longer hash is scrambled, so that no pattern of the words cancels out."""
+    return mix(left * _PAIR_KEY + (right ^ _SPAN_KEY))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; null counts as empty."""
     if column.null_count:
@@ -105,12 +86,15 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
 class Words:
     """The words of a chunk's texts.
 
-    ``starts``/``ends``: byte positions in ``data``; ``first[i]:first[i + 1]``
-    are the words of text i; ``hashes``: a 64-bit hash for each word.
+    ``starts``/``ends``: byte positions in ``data``, which is lower-cased (A-Z)
+    where asked for; ``first[i]:first[i + 1]`` are the words of text i;
+    ``hashes``: a 64-bit hash for each word.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = BLANKS) -> None:
         self.data, self.offsets = flat(column)
+        if lower:
+            self.data = _LOWER[self.data]
         data, offsets = self.data, self.offsets
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~separators[data]
@@ -122,9 +106,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self._keys = _BYTE_KEYS_LOWER if lower else _BYTE_KEYS
         self._hashes: np.ndarray | None = None
-        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -132,20 +114,42 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            up, down = _byte_powers.get(len(self.data) + 1)
-            sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(self._keys[self.data] * up[: len(self.data)], out=sums[1:])
-            part = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self._hashes = mix(part + (self.ends - self.starts).astype(U64))
+            self._hashes = self._hashed()
         return self._hashes
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash for each run of words from ``starts`` to before ``ends``; equal runs of words have equal hashes anywhere."""
-        up, down = _word_powers.get(len(self) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self) + 1, U64)
-            np.cumsum(self.hashes * up[: len(self)], out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    def _hashed(self) -> np.ndarray:
+        sizes = self.ends - self.starts
+        eights = np.lib.stride_tricks.sliding_window_view(np.append(self.data, np.zeros(8, np.uint8)), 8)
+        out = mix(sizes.astype(U64) + U64(_WORD_KEY))
+        at, done = np.flatnonzero(sizes <= SHORT), 0
+        while len(at):
+            part = np.ascontiguousarray(eights[self.starts[at] + done]).view("<u8")[:, 0] & _HELD[np.minimum(sizes[at] - done, 8)]
+            out[at] = mix(out[at] ^ part)
+            done += 8
+            at = at[sizes[at] > done]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), _WORD_KEY)
+        return out
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+        """A hash for each run of words from ``starts`` to before ``ends``; equal runs of words have equal hashes anywhere. Other keys give independent hashes.
+
+        A run is put together of runs of 1, 2, 4, ... words, those whose sizes add up to its own.
+        """
+        sizes, at = ends - starts, starts.copy()
+        out, have = mix(sizes.astype(U64) + U64(key)), 1
+        level, most = mix(self.hashes ^ U64(key)), int(sizes.max(initial=0))
+        while have <= most:
+            if (sizes & have == have).all():
+                out, at = pair(out, level[at]), at + have
+            else:
+                some = np.flatnonzero(sizes & have)
+                out[some] = pair(out[some], level[at[some]])
+                at[some] += have
+            if 2 * have <= most:
+                level = pair(level[:-have], level[have:])
+            have *= 2
+        return out
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every run of n words inside one text."""
@@ -194,6 +198,19 @@ def exact_ids(words: Words) -> np.ndarray:
     return np.asarray(told.dictionary_encode().indices).astype(np.int64)
 
 
+def exact_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number) of every run of n words inside one text; numbers are equal for equal runs only, by the words themselves."""
+    names, have = exact_ids(words), 1
+    for bit in bin(n)[3:]:  # the size is doubled, and where the next binary digit is 1 grows by a word
+        for step, other in [(have, names)] + ([(2 * have, exact_ids(words))] if bit == "1" else []):
+            size = min(len(names), max(0, len(other) - step))
+            names = np.unique(names[:size] * (len(words) + 1) + other[step : step + size], return_inverse=True)[1].astype(np.int64)
+        have = 2 * have + (bit == "1")
+    starts = np.arange(max(0, len(words) - n + 1))
+    whole = words.text_of(starts) == words.text_of(starts + n - 1) if len(starts) else np.zeros(0, bool)
+    return starts[whole], names[: len(starts)][whole]
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values."""
     have, out = 1, x

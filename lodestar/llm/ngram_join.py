@@ -19,8 +19,10 @@
 4. Each pair left is verified once on the full sets. Links become components;
    copies with equal sets follow their first document.
 
-Shingles are compared by 64-bit hashes within a pair only: for two texts of
-10,000 shingles each, the chance that one compares falsely equal is under 6e-12.
+A pair's shingles are compared by their words. Hashes only find candidates and
+tell shingles of one document apart (a false match among 10,000 of them has a
+chance of 3e-12), and texts with equal counts and 128-bit fingerprints of their
+shingles' hashes count as equal sets.
 
 Defined cases: texts with fewer words than a shingle count as one shingle of
 all words; null or wordless texts have an empty set and link with nothing; a
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.arrowtext import CHUNK_BYTES, Words, chunks, mix, signed
+from lodestar.llm.arrowtext import CHUNK_BYTES, Words, chunks, exact_grams, exact_ids, mix, signed
 from lodestar.llm.components import components
 from lodestar.llm.shared import bounded_batches, freed, written
 
@@ -73,6 +75,22 @@ def sets_of(column: pa.Array, size: int = WORDS) -> tuple[Words, np.ndarray, np.
     return words, text[new], hashes[new]
 
 
+def exact_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) as ``sets_of``, but with numbers that tell the chunk's shingles apart by their words, not by hashes."""
+    words = Words(column, lower=True)
+    starts, names = exact_grams(words, size)
+    ids, whole = exact_ids(words), {}
+    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
+    told = [whole.setdefault(tuple(ids[words.first[i] : words.first[i + 1]].tolist()), -1 - len(whole)) for i in short.tolist()]
+    text = np.concatenate([words.text_of(starts) if len(starts) else starts, short])
+    names = np.concatenate([names, np.array(told, np.int64)])
+    order = np.lexsort((names, text))
+    text, names = text[order], names[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (names[1:] != names[:-1])
+    return text[new], names[new]
+
+
 def _parities(text: np.ndarray, hashes: np.ndarray, rows: int) -> list[np.ndarray]:
     """For each text, in which of 256 parts of the hash space its set has an odd number of shingles, as four words."""
     bits = len(PARITIES) * 64
@@ -174,11 +192,11 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "a_text", CHUNK_BYTES // 2):
-                (_, row_a, a), (_, row_b, b) = (sets_of(part.column(x), size) for x in ("a_text", "b_text"))
-                rows, hashes = np.concatenate([row_a, row_b]), np.concatenate([a, b])
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
-                twice = (rows[1:] == rows[:-1]) & (hashes[1:] == hashes[:-1])
+                rows, names = exact_sets(pa.concat_arrays([part.column(x).cast(pa.large_string()) for x in ("a_text", "b_text")]), size)
+                rows %= part.num_rows
+                order = np.lexsort((names, rows))
+                rows, names = rows[order], names[order]
+                twice = (rows[1:] == rows[:-1]) & (names[1:] == names[:-1])
                 both = np.bincount(rows[1:][twice], minlength=part.num_rows)
                 union = np.bincount(rows, minlength=part.num_rows) - both
                 yield part.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= percent * union)))

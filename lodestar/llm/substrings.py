@@ -15,8 +15,9 @@ computed and no path goes on over a change of minimizer. Equal edges always shar
 
 Paths and edges come back to their documents by source coordinates; before
 words are cut, the hash of the words found there must equal the path's. That
-tells rows with a clashing id apart; the words are never compared with those of
-the smaller document, so the 64-bit hash decides what is equal. No
+tells rows with a clashing id apart. What is equal is decided by two
+independent hashes of 64 and 32 bits (and the minimizer's): two different
+windows among 10**13 have a chance under 1e-3 to be taken for each other. No
 group is gathered: hot minimizers, paths and edges are pre-aggregated before
 each shuffle, and the joins that bring the result back can be split anywhere.
 
@@ -36,8 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.arrowtext import Words, chunks, signed, sliding_min
-from lodestar.llm.shared import bounded_batches, written
+from lodestar.llm.arrowtext import Words, chunks, covered, joined, signed, sliding_min, strings
+from lodestar.llm.shared import bounded_batches, freed, written
 
 #: Words of an edge.
 WINDOW = 13
@@ -45,6 +46,7 @@ WINDOW = 13
 SEED = 4
 
 _LOW = (1 << 32) - 1
+_CHECK = 0x243F6A8885A308D3
 
 
 def _paths(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +66,13 @@ def _paths(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return starts[at], np.diff(np.append(at, len(starts))), least[at]
 
 
+def _marked(words: Words, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(path, check): two independent hashes of each run of words, of 64 and 32 bits."""
+    return signed(words.span_hashes(first, past)), (words.span_hashes(first, past, _CHECK) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def path_rows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(minimizer, path, doc_id, span) for each path; span = first word * 2**32 + edges."""
+    """(minimizer, path, check, doc_id, span) for each path; span = first word * 2**32 + edges; check: 32 more bits of a hash independent of ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,11 +80,11 @@ def path_rows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFr
                 words = Words(part.column("text"))
                 first, edges, least = _paths(words, window, seed)
                 text = words.text_of(first)
-                path = words.span_hashes(first, first + edges + window - 1)
+                path, check = _marked(words, first, first + edges + window - 1)
                 ids = np.asarray(part.column("doc_id"))[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(least), signed(path), ids, (first - words.first[text]) << 32 | edges)], ["minimizer", "path", "doc_id", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(least), path, check, ids, (first - words.first[text]) << 32 | edges)], ["minimizer", "path", "check", "doc_id", "span"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "minimizer bigint, path bigint, doc_id bigint, span bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "minimizer bigint, path bigint, check int, doc_id bigint, span bigint")
 
 
 def minimizer_bounds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -119,7 +126,7 @@ def _verified(words: Words, column: pa.Array, window: int) -> tuple[np.ndarray,
 
 
 def _edge_rows(todo: DataFrame, window: int) -> DataFrame:
-    """(path, doc_id, span) for each single edge of the marked paths."""
+    """(path, check, doc_id, span) for each single edge of the marked paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +138,9 @@ def _edge_rows(todo: DataFrame, window: int) -> DataFrame:
                 starts = np.repeat(first, counts) + np.arange(counts.sum()) - begun
                 row = np.repeat(row, counts)
                 ids = np.asarray(part.column("doc_id"))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(words.span_hashes(starts, starts + window)), ids, (starts - words.first[row]) << 32 | 1)], ["path", "doc_id", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*_marked(words, starts, starts + window), ids, (starts - words.first[row]) << 32 | 1)], ["path", "check", "doc_id", "span"])
 
-    return todo.mapInArrow(run, "path bigint, doc_id bigint, span bigint")
+    return todo.mapInArrow(run, "path bigint, check int, doc_id bigint, span bigint")
 
 
 def _by_document(marks: DataFrame) -> DataFrame:
@@ -150,19 +157,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     shared = written(bounds.where("low < high").select("minimizer"), "minimizers")
     found = written(path_rows(texts, window, seed).join(shared, "minimizer"), "paths")
 
-    paths = written(found.groupBy("minimizer", "path").agg(F.min("doc_id").alias("low")), "firsts")
-    marked = found.join(paths, ["minimizer", "path"])
+    freed(shared)
+
+    names = ["minimizer", "path", "check"]
+    paths = written(found.groupBy(*names).agg(F.min("doc_id").alias("low")), "firsts")
+    marked = found.join(paths, names)
     settled = marked.where("doc_id > low").select("doc_id", "span", "path")
 
     branching = written(paths.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "branching")
     opened = marked.where("doc_id = low").join(branching, "minimizer", "left_semi").select("doc_id", "span", "path")
     edges = written(_edge_rows(texts.join(_by_document(opened), "doc_id"), window), "edges")
-    firsts = written(edges.groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "low"), "edge-firsts")
-    single = edges.join(firsts, "path").where("doc_id > low").select("doc_id", "span", "path")
-    return _by_document(settled.unionByName(single))
+    firsts = written(edges.groupBy("path", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("path", "check", "low"), "edge-firsts")
+    single = edges.join(firsts, ["path", "check"]).where("doc_id > low").select("doc_id", "span", "path")
+    marks = written(_by_document(settled.unionByName(single)), "marks")
+    freed(found, paths, branching, edges, firsts)
+    return marks
 
 
-def _kept_texts(joined: DataFrame, window: int) -> DataFrame:
+def _kept_texts(rows: DataFrame, window: int) -> DataFrame:
     """``doc_id``, counts, the kept words joined by spaces, the text with the removed words cut out, the removed spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +189,7 @@ def _kept_texts(joined: DataFrame, window: int) -> DataFrame:
                 text, joined_words, removed = _assembled(words, gone)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), pa.array(removed), joined_words, text, _span_lists(words, gone)], ["doc_id", "n_words", "n_removed", "kept", "cut", "spans"])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string, cut string, spans array<struct<first: bigint, past: bigint>>")
-
-
-def _strings(data: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """The bytes under ``mask``, as strings divided at ``offsets``."""
-    sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(mask, out=sums[1:])
-    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(sums[offsets])), pa.py_buffer(data[mask])]).cast(pa.string())
+    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string, cut string, spans array<struct<first: bigint, past: bigint>>")
 
 
 def _assembled(words: Words, gone: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -195,26 +200,14 @@ def _assembled(words: Words, gone: np.ndarray) -> tuple[pa.Array, pa.Array, np.n
     np.cumsum(gone, out=sums[1:])
     removed = sums[words.first[1:]] - sums[words.first[:-1]]
 
-    def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        steps = np.zeros(size + 1, np.int32)
-        np.add.at(steps, starts, 1)
-        np.add.at(steps, ends, -1)
-        return np.cumsum(steps[:-1]) > 0
-
     follows = words.starts.copy()
     if len(words):
         past_text = offsets[words.text_of(np.arange(len(words))) + 1]
         follows[:-1] = np.minimum(words.starts[1:], past_text[:-1])
         follows[-1:] = past_text[-1:]
     lost = np.flatnonzero(gone)
-    cut = _strings(words.data, ~covered(words.starts[lost], follows[lost]), offsets)
-
-    mask = covered(words.starts[kept], words.ends[kept])
-    data = words.data.copy()
-    text = words.text_of(kept) if len(kept) else kept
-    inner = words.ends[kept[:-1]][text[:-1] == text[1:]] if len(kept) else kept
-    mask[inner], data[inner] = True, 32
-    return cut, _strings(data, mask, offsets), removed
+    cut = strings(words.data, ~covered(size, words.starts[lost], follows[lost]), offsets)
+    return cut, joined(words, kept), removed
 
 
 def _span_lists(words: Words, gone: np.ndarray) -> pa.Array:

@@ -186,3 +186,63 @@ def test_many_rows_of_one_id_share_their_marks(spark):
     assert marks[2] <= 68 and 1 not in marks
     done = substrings.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
     assert sorted(map(tuple, done)) == [(1, 0, 1), (2, 80, 300), (3, 80, 1)]
+
+
+def thue_morse(n):
+    """A string of n letters a and b, and the same with the letters exchanged: polynomial hashes modulo 2**64 of the two are equal."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_structured_words(spark):
+    a, b = thue_morse(1024)
+    runs = [" ".join(x) for x in (a, b)]
+    frame = spark.createDataFrame([(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, runs[0]), (4, runs[1])], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame).collect()}
+    assert found[1] == 0 and found[2] == 0 and found[3] == 0
+    words = [w for w in runs[1].split()]
+    earlier = {tuple(runs[0].split()[i : i + 13]) for i in range(1012)}
+    gone = {k for i in range(1012) if tuple(words[i : i + 13]) in earlier for k in range(i, i + 13)}
+    assert found[4] == len(gone)
+    frame = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x y z u v"), (4, f"{b} x y z u v"), (5, f"{a} x y z u v")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.document_components(frame).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_word_and_span_hashes():
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    from lodestar.llm.arrowtext import Words, exact_grams, exact_ids
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abAB") for _ in range(rng.randrange(1, 140))) for _ in range(3000)} | set(thue_morse(1024)) | set(thue_morse(64)))
+    told = Words(pa.array([" ".join(words), "a", "", None, " ".join(words[::-1])]))
+    assert len(set(told.hashes.tolist())) == len(words)
+    assert (told.hashes[: len(words)] == told.hashes[len(words) + 1 :][::-1]).all()
+    lower = Words(pa.array([" ".join(words)]), lower=True)
+    assert len(set(lower.hashes.tolist())) == len({w.lower() for w in words})
+    text = [rng.choice("ab") for _ in range(400)]
+    told = Words(pa.array([" ".join(text), " ".join(text[100:])]))
+    spans = [(i, j) for i, j in itertools.combinations(range(0, 400, 7), 2)] + [(400 + i, 400 + j) for i, j in itertools.combinations(range(0, 300, 7), 2)]
+    import numpy as np
+
+    starts, ends = np.array(spans).T
+    both = text + text[100:]
+    same: dict = {}
+    for key in (0, 5):
+        for (i, j), h in zip(spans, told.span_hashes(starts, ends, key).tolist(), strict=True):
+            same.setdefault((key, tuple(both[i:j])), set()).add(h)
+    assert all(len(x) == 1 for x in same.values())
+    assert len({next(iter(x)) for x in same.values()}) == len(same)
+    assert len(set(exact_ids(told).tolist())) == 2
+    for n in (1, 2, 3, 5, 8, 13):
+        starts, names = exact_grams(told, n)
+        assert starts.tolist() == [*range(401 - n), *range(400, 701 - n)]
+        groups: dict = {}
+        for i, name in zip(starts.tolist(), names.tolist(), strict=True):
+            groups.setdefault(tuple(both[i : i + n]), set()).add(name)
+        assert all(len(x) == 1 for x in groups.values()) and len({min(x) for x in groups.values()}) == len(groups)
