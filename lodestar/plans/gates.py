@@ -183,15 +183,3 @@ def softmax_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", V.softmax(V.as_double(F.col("embedding")), 0.5).alias("p"))
     best = rows.select("vec_id", F.posexplode(V.top_elements(F.col("p"), 5)).alias("i", "e"))
     return best.select("vec_id", F.col("e.index").cast("long").alias("index"), (F.col("i") + 1).cast("int").alias("place"), F.round("e.value", 6).alias("value"))
-
-
-#: Seconds that a phrase rests after it was played, by priority.
-_RESTS = {4: 8.0 * 3600, 3: 8.0 * 3600, 2: 12.0 * 3600, 1: 12.0 * 3600}
-
-
-@query()
-def phrase_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Played phrases of each user's stream: rests by priority, once for a frame and track, way given to a higher priority."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", seconds.alias("at"), (seconds / 60).cast("long").alias("frame"), F.col("event_type").alias("phrase"), (F.col("event_id") % 3).alias("track"), _level().alias("priority"), F.lit(3600.0).alias("seconds"))
-    return decisions.played(rows, "user_id", ["event_id"], _RESTS).select("user_id", "event_id", "phrase")

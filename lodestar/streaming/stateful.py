@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -10,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
+from lodestar.operators.machines import Machine
 from lodestar.operators.tracking import Track, Tracker
 
 #: Idle time after which a key's state goes.
@@ -36,6 +39,61 @@ def announced(events: DataFrame, keys: list[str], at: str, order: str, seconds:
     return events.groupBy(*keys).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def scanned(events: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Callable[[], Machine], at: str, late: str = "1 minute", idle_ms: int = IDLE_MS) -> DataFrame:
+    """``events`` with the columns that a machine of each key adds; state: what the machine holds, as JSON.
+
+    Rows of a micro-batch are taken by ``order``; batches must come in that
+    order. ``at`` is the event time: rows later than ``late`` are dropped, and a
+    key that was idle for more than ``idle_ms`` of it starts anew, however the
+    rows are dealt to batches. Null keys are keys.
+    """
+    added = events.sparkSession.createDataFrame([], machine().adds).schema
+    schema = events.schema
+    # pandas would make floats of whole numbers with nulls: they travel as strings
+    whole = {f.name for f in schema.fields if isinstance(f.dataType, IntegralType)}
+    passed = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in schema.fields])
+
+    def value(name: str, x: Any) -> Any:
+        return None if pd.isna(x) else int(x) if name in whole else x
+
+    def ordered(column: pd.Series) -> pd.Series:
+        told = [value(column.name, x) for x in column]
+        least = min((x for x in told if x is not None), default=0)
+        return pd.Series([(x is not None, least if x is None else x) for x in told], index=column.index)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, last = machine(), None
+        if state.exists:
+            last, held = json.loads(state.get[0])
+            now.resume(held)
+        rows = pd.concat([p for p in parts if len(p)]).sort_values(list(order), kind="stable", key=ordered)
+        out = []
+        for ms, values in zip((round(x.timestamp() * 1000) for x in rows[at]), zip(*([value(c, x) for x in rows[c]] for c in now.reads), strict=True), strict=True):
+            if last is not None and ms - last > idle_ms:
+                now = machine()
+            last = ms if last is None else max(last, ms)
+            out.append(now.step(*values))
+        state.update((json.dumps([last, now.held]),))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms + 1)
+        for i, one in enumerate(added.fields):
+            rows[one.name] = pd.Series([x[i] for x in out], index=rows.index, dtype=object)
+        yield rows
+
+    texts = events.withWatermark(at, late).withColumns({c: F.col(c).cast("string") for c in whole})
+    done = texts.groupBy(*keys).applyInPandasWithState(run, StructType([*passed.fields, *added.fields]), "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return done.withColumns({c: F.col(c).cast(schema[c].dataType) for c in whole})
+
+
+def coalesced(updates: DataFrame, stream: str, at: str, order: Sequence[str], tick: str, late: str = "1 minute") -> DataFrame:
+    """The last update of each stream in each closed tick."""
+    from lodestar.operators import machines
+
+    return machines.coalesced(updates.withWatermark(at, late), stream, at, order, tick)
+
+
 def _packed(tracker: Tracker) -> tuple[int, list[float]]:
     flat: list[float] = []
     for t in tracker.tracks:

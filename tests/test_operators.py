@@ -233,20 +233,6 @@ def test_gated_assignment_is_least():
         assert sum(cost[i, j] for i, j in tracking.assignment(cost)) == pytest.approx(best)
 
 
-def test_played_phrases(spark):
-    """Rests by priority, once for a frame and track, way given to higher priority only; two streams."""
-    cases = [
-        (0.0, 0, "slow", 1, 1, True), (0.0, 0, "slow", 1, 1, False), (1.0, 1, "stop", 2, 4, True), (2.0, 2, "slow", 1, 1, False), (9.5, 3, "stop", 2, 4, True),
-        (10.0, 4, "stop", 2, 4, False), (13.0, 5, "slow", 1, 1, True), (13.0, 5, "horn", 3, 1, False), (16.0, 6, "horn", 3, 1, True),
-    ]
-    rows = [(stream, at, frame, phrase, track, priority, 2.0, i) for stream in ("a", "b") for i, (at, frame, phrase, track, priority, _) in enumerate(cases)]
-    events = spark.createDataFrame(rows, "stream string, at double, frame long, phrase string, track long, priority int, seconds double, i int")
-    got = decisions.played(events, "stream", ["i"], {4: 8.0, 1: 12.0}).collect()
-    want = [i for i, case in enumerate(cases) if case[-1]]
-    assert sorted((r["stream"], r["i"]) for r in got) == [(s, i) for s in ("a", "b") for i in want]
-    assert decisions.played(events.limit(0), "stream", ["i"], {1: 1.0}).isEmpty()
-
-
 def test_checks_that_raise(spark):
     rows = spark.createDataFrame([("s0", "a"), ("s1", "a"), ("s1", "b")], "sample_id string, label string")
     shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
