@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import blank_to_null
 from lodestar.operators.merges import first_reason, require_empty
+from lodestar.operators.ranges import first_of_scan
 
 
 def effective_group(source: Column, *names: Column) -> Column:
@@ -64,10 +64,13 @@ def plausible_candidate(area_ratio: Column, width: Column, height: Column, exten
     return sized & (extent >= limits["min_extent"]) & (solidity >= limits["min_solidity"]) & (aspect <= most) & (aspect >= 1.0 / most)
 
 
-def mined(rows: DataFrame, rules: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows of each rule (on..., rule, least, most): value at least ``least``, the first ``most`` in order; the rule table is broadcast."""
+def mined(rows: DataFrame, rules: DataFrame, on: Sequence[str], at: str, order: Sequence[str]) -> DataFrame:
+    """Rows of each rule (on..., rule, least, most): value at least ``least``, the first ``most`` by (``at``, ``order``); the rule table is broadcast.
+
+    Only the range of ``at`` where a rule's quota ends is sorted.
+    """
     both = rows.join(F.broadcast(rules), list(on)).where("value >= least")
-    return both.withColumn("_rn", F.row_number().over(W.partitionBy("rule").orderBy(*order))).where("_rn <= most").drop("_rn", "least", "most")
+    return first_of_scan(both, ["rule"], at, order, F.col("most")).drop("least", "most")
 
 
 def group_lists(rows: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -2,26 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.hashing import bands, hamming
+from lodestar.functions.hashing import hamming
+
+
+#: Bands for wide searches: more of them make parts too short to tell codes apart.
+BANDS = 4
+
+
+def _masks(size: int, most: int) -> list[int]:
+    """All numbers of ``size`` bits with at most ``most`` set."""
+    return [sum(1 << i for i in places) for n in range(most + 1) for places in combinations(range(size), n)]
+
+
+def _flipped(band: int, part: Column) -> Callable[[Column], Column]:
+    return lambda mask: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(mask.cast("long")).alias("part"))
+
+
+def _band_sizes(most: int, bits: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, distance) of each band: two codes within ``most`` bits are within some band's distance there.
+
+    Were all bands further apart, the codes would differ in sum(distance + 1) = ``most`` + 1 bits.
+    """
+    count = most + 1 if most + 1 <= 2 * BANDS else BANDS
+    spare, more_spare = divmod(most + 1 - count, count)
+    width, more = divmod(bits, count)
+    out, at = [], 0
+    for i in range(count):
+        size = width + (i < more)
+        out.append((at, size, spare + (i < more_spare)))
+        at += size
+    return out
+
+
+def hamming_candidates(df: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
+    """(a, ca, b, cb) with a < b of codes that are near in some band, once for each way they meet.
+
+    A band's distance is split: one side sends its part with up to half of it
+    in flipped bits, the other with up to the rest, and an equi-join brings together what meets half way.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"))
+    sides = []
+    for half in (0, 1):
+        sent = []
+        for i, (at, size, distance) in enumerate(_band_sizes(most, bits)):
+            masks = _masks(size, (distance + half) // 2)
+            part = F.shiftrightunsigned("c", at).bitwiseAND(F.lit((1 << size) - 1))
+            sent.append(F.transform(F.lit(masks), _flipped(i, part)))
+        sides.append(rows.select("k", "c", F.explode(F.flatten(F.array(*sent))).alias("p")).select("k", "c", "p.band", "p.part"))
+    left, right = (side.select(F.col("k").alias(n), F.col("c").alias(f"c{n}"), "band", "part") for side, n in zip(sides, "ab", strict=True))
+    return left.join(right, ["band", "part"]).where("a < b").select("a", "ca", "b", "cb")
 
 
 def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance) with a < b and distance <= most.
+    """(a, b, distance) with a < b and distance <= most; exact at every distance.
 
-    ``most`` + 1 bands: two codes within ``most`` bits agree in one of them, so
-    an equi-join on (band, part) finds every pair. A pair that agrees in
-    several bands is kept where it first does.
+    Up to ``most`` = 7 there are ``most`` + 1 bands, one of which must be equal;
+    beyond, ``BANDS`` wide ones, of which one must be near. Candidates too far apart go inside the join.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), bands(F.col(code), most + 1, bits).alias("parts"))
-    cut = rows.select("k", "c", "parts", F.posexplode("parts").alias("i", "p")).select("k", "c", "parts", "p.band", "p.part")
-    left = cut.select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("parts").alias("pa"), "band", "part")
-    right = cut.select(F.col("k").alias("b"), F.col("c").alias("cb"), F.col("parts").alias("pb"), F.col("band").alias("band_b"), F.col("part").alias("part_b"))
-    first = F.array_min(F.transform(F.array_intersect("pa", "pb"), lambda x: x["band"]))
-    close = (F.col("band") == F.col("band_b")) & (F.col("part") == F.col("part_b")) & (F.col("a") < F.col("b")) & (hamming(F.col("ca"), F.col("cb")) <= most) & (first == F.col("band"))
-    return left.join(right, close).select("a", "b", hamming(F.col("ca"), F.col("cb")).alias("distance"))
+    close = hamming(F.col("ca"), F.col("cb"))
+    found = hamming_candidates(df, key, code, most, bits).where(close <= most)
+    return found.select("a", "b", close.alias("distance")).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

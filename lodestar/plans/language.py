@@ -57,15 +57,40 @@ SELECT said_key, n_nationkey, round(score, 6) AS score FROM k WHERE rn = 1 AND s
 def alias_fuzzy_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     said = nations.select(F.col("n_nationkey").alias("said_key"), F.concat(F.lower("n_name"), F.lit("x")).alias("said"))
-    close = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    return rules.best_alias(said, "said_key", "said", nations.select("n_nationkey", F.lower("n_name").alias("alias")), "n_nationkey", close, 0.8, 0.08).withColumn("score", F.round("score", 6))
+    return rules.best_alias(said, "said_key", "said", nations.select("n_nationkey", F.lower("n_name").alias("alias")), "n_nationkey", rules.EDITS, 0.8, 0.08).withColumn("score", F.round("score", 6))
+
+
+def written_parts(parts: DataFrame) -> DataFrame:
+    """(p_partkey, said): part names as somebody may write them: whole, a letter left out, doubled or exchanged."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    at = (n % F.greatest(F.length(name) - 1, F.lit(1)) + 1).cast("int")
+    head, letter, rest = F.substring(name, F.lit(1), at), F.substring(name, at, F.lit(1)), F.substring(name, at + 1, F.lit(100))
+    written = F.when(n % 4 == 0, name).when(n % 4 == 1, F.concat(F.substring(name, F.lit(1), at - 1), rest)).when(n % 4 == 2, F.concat(head, letter, rest)).otherwise(F.concat(F.substring(name, F.lit(1), at - 1), F.lit("q"), rest))
+    return parts.select("p_partkey", rules.compact(F.upper(written)).alias("said"))
+
+
+def part_aliases(parts: DataFrame, nations: DataFrame) -> DataFrame:
+    """(entry, alias): the distinct part names and the nations' names."""
+    return parts.select(F.col("p_name").alias("entry"), rules.compact(F.col("p_name")).alias("alias")).distinct().unionByName(nations.select(F.col("n_name").alias("entry"), rules.compact(F.col("n_name")).alias("alias")))
 
 
 @query()
 def alias_fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    said = nations.select(F.col("n_nationkey").alias("said_key"), F.concat(F.lower("n_name"), F.lit("x")).alias("said"))
-    return rules.best_alias(said, "said_key", "said", nations.select("n_nationkey", F.lower("n_name").alias("alias")), "n_nationkey", T.similarity, 0.88, 0.08)
+    """Written part names against part and nation names, by Ratcliff-Obershelp ratio."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return rules.best_alias(written_parts(parts), "p_partkey", "said", part_aliases(parts, read(spark, sf_dir, "nation")), "entry", rules.RATIO, 0.88, 0.08, 4)
+
+
+@query(r"""WITH a AS (SELECT DISTINCT p_name AS entry, regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '', 'g') AS alias FROM part UNION ALL SELECT n_name, regexp_replace(lower(n_name), '[^\p{L}\p{N}]', '', 'g') FROM nation),
+x AS (SELECT p_partkey, p_name, p_partkey % greatest(length(p_name) - 1, 1) + 1 AS i FROM part),
+s AS (SELECT p_partkey, regexp_replace(lower(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substring(p_name, 1, i - 1) || substring(p_name, i + 1) WHEN 2 THEN substring(p_name, 1, i) || substring(p_name, i, 1) || substring(p_name, i + 1) ELSE substring(p_name, 1, i - 1) || 'q' || substring(p_name, i + 1) END), '[^\p{L}\p{N}]', '', 'g') AS said FROM x),
+r AS (SELECT said, entry, max(1 - levenshtein(said, alias) / greatest(length(said), length(alias))::DOUBLE) AS score FROM (SELECT DISTINCT said FROM s) t, a GROUP BY ALL),
+k AS (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS margin FROM r WINDOW w AS (PARTITION BY said ORDER BY score DESC, entry))
+SELECT p_partkey, entry, round(score, 6) AS score FROM s JOIN k USING (said) WHERE rn = 1 AND score >= 0.8 AND margin >= 0.08""")
+def alias_fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written part names against part and nation names, by edit distance."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return rules.best_alias(written_parts(parts), "p_partkey", "said", part_aliases(parts, read(spark, sf_dir, "nation")), "entry", rules.EDITS, 0.8, 0.08).withColumn("score", F.round("score", 6))
 
 
 _TAGS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators import checks
+from lodestar.operators.ranges import first_of_scan
 from lodestar.plans.registry import query, read
 
 
@@ -51,8 +53,21 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT rule, event_id FROM (SELECT rule, event_id, most, row_number() OVER (PARTITION BY rule ORDER BY ts, event_id) AS rn FROM events JOIN (VALUES ('click', 'big clicks', 30.0, 15), ('error', 'errors', 5.0, 40)) r(event_type, rule, least, most) USING (event_type) WHERE value >= least) WHERE rn <= most""")
 def rule_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("click", "big clicks", 30.0, 15), ("error", "errors", 5.0, 40)], "event_type string, rule string, least double, most int")
-    rows = read(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
-    return checks.mined(rows, rules, ["event_type"], [F.col("ts"), F.col("event_id")]).select("rule", "event_id")
+    rows = read(spark, sf_dir, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    return checks.mined(rows, rules, ["event_type"], "us", ["event_id"]).select("rule", "event_id")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_quantity ORDER BY l_orderkey, l_linenumber) AS copy FROM lineitem WHERE l_quantity >= 26),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS place FROM r WHERE copy = 1)
+SELECT l_returnflag, l_orderkey, l_linenumber, place FROM k WHERE place <= CASE l_returnflag WHEN 'A' THEN 40 WHEN 'N' THEN 75 ELSE 25 END""")
+def scan_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class's quota in scan order: rows of a least size, the first of those with one hash, each with its number."""
+    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 26").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    order = F.struct("l_orderkey", "l_linenumber")
+    firsts = lines.groupBy("l_partkey", "l_suppkey", "l_quantity").agg(F.min_by(F.struct("l_returnflag", "l_orderkey", "l_linenumber"), order).alias("r")).select("r.*")
+    kept = first_of_scan(firsts, ["l_returnflag"], "l_orderkey", ["l_linenumber"], F.when(F.col("l_returnflag") == "A", 40).when(F.col("l_returnflag") == "N", 75).otherwise(25))
+    # a class's rows are now as many as its quota
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")))
 
 
 @query("SELECT lower(trim(p_brand)) AS p_brand, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.operators import metrics, tracking
+from lodestar.operators import metrics, ranges, tracking
 from lodestar.plans.registry import query, read
 
 
@@ -96,8 +96,10 @@ def iou_tracker_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(value) AS most, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    six = lambda c, name: F.round(c, 6).alias(name)
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(six(F.avg("value"), "mean"), six(F.median("value"), "median"), F.max("value").alias("most"), six(metrics.linear_percentile(F.col("value"), 0.95), "p95"))
+    events = read(spark, sf_dir, "events")
+    sums = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    ranks = ranges.percentiles_by(events, ["event_type"], "value", {"median": 0.5, "p95": 0.95})
+    return sums.join(ranks, "event_type").select("event_type", "mean", F.round("median", 6).alias("median"), "most", F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT value AS p95 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i = round_even(0.95 * (n - 1), 0)::BIGINT")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import geometry as G
 from lodestar.functions import vectors as V
 from lodestar.functions.hashing import difference_hash
-from lodestar.operators import duplicates, matching, metrics
+from lodestar.operators import duplicates, matching, metrics, ranges
 from lodestar.plans.registry import query, read
 from lodestar.sources.work import ensure_checkpoints
 
@@ -158,7 +158,8 @@ def embedding_gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SQL_NEAR} SELECT round(least(1.0, greatest(0.01, quantile_cont(distance, 0.97))), 5) AS threshold FROM near WHERE label = nearest")
 def gate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nearest(spark, sf_dir).where("label = nearest").withColumn("distance", F.round("distance", 6))
-    return rows.agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.01), metrics.linear_percentile(F.col("distance"), 0.97))), 5).alias("threshold"))
+    found = ranges.percentiles_by(rows, [], "distance", {"p97": 0.97})
+    return found.select(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.01), "p97")), 5).alias("threshold"))
 
 
 @query(f"WITH {_SQL_NEAR} SELECT label AS target, nearest AS predicted, count(*) AS n FROM near GROUP BY ALL")

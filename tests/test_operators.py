@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import difflib
 import hashlib
 import itertools
 import random
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry, hashing, text
-from lodestar.operators import decisions, duplicates, matching, merges, metrics, rules, selection, splits, tracking
+from lodestar.operators import decisions, duplicates, matching, merges, metrics, ranges, rules, selection, splits, tracking
+from lodestar.plans import language
 from lodestar.sources.work import ensure_checkpoints
 
 
@@ -267,3 +269,100 @@ def test_tracks_over_batches(spark):
             part = [r for r in rows if r[0] == k and r[1] == f]
             want += [(k, f, r[2], *t) for r, t in zip(part, tracker.step(np.array([r[3:] for r in part])), strict=True)]
     assert got == sorted(want)
+
+
+def test_hamming_pairs_at_every_distance(spark):
+    rng = random.Random(9)
+    codes = [(i, rng.getrandbits(63)) for i in range(150)]
+    codes += [(150 + i, codes[i][1] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(30)))) for i in range(100)] + [(400, codes[0][1]), (401, codes[0][1])]
+    frame = spark.createDataFrame(codes, "id long, code long")
+    for most in (0, 3, 7, 8, 16, 20):
+        found = sorted(map(tuple, duplicates.hamming_pairs(frame, "id", "code", most, 63).collect()))
+        assert found == sorted((a, b, (x ^ y).bit_count()) for (a, x), (b, y) in itertools.combinations(codes, 2) if (x ^ y).bit_count() <= most)
+    # of unlike codes, few meet in a band
+    unlike = spark.createDataFrame([(i, rng.getrandbits(63)) for i in range(300)], "id long, code long")
+    assert duplicates.hamming_candidates(unlike, "id", "code", 16, 63).select("a", "b").distinct().count() < 300 * 299 // 2 // 10
+
+
+def test_percentiles_and_quotas_by_ranges(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), round(rng.gauss(0, 1), 1), rng.randrange(1000), i) for i in range(800)] + [("c", None, None, -1), ("d", 2.5, 5, -2), ("hot", 1.0, 7, -3)] + [("hot", 1.0, 7, i) for i in range(900, 1300)]
+    frame = spark.createDataFrame(rows, "k string, v double, at long, id long")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in ranges.percentiles_by(frame, ["k"], "v", shares).collect()}
+    for key in ("a", "b", None, "d", "hot"):
+        values = [v for k, v, _, _ in rows if k == key and v is not None]
+        assert got[key].n == len(values)
+        assert [got[key][name] for name in shares] == pytest.approx(np.quantile(values, list(shares.values())).tolist())
+    assert set(got) == {"a", "b", None, "d", "hot"}
+    one = ranges.percentiles_by(frame, [], "v", shares).collect()
+    assert [one[0][name] for name in shares] == pytest.approx(np.quantile([v for _, v, _, _ in rows if v is not None], list(shares.values())).tolist())
+    assert ranges.percentiles_by(frame.limit(0), ["k"], "v", shares).isEmpty()
+    dated = frame.where("at is not null")
+    for most in (1, 7, 90, 10_000):
+        found = sorted((r.k or "", r.id) for r in ranges.first_of_scan(dated, ["k"], "at", ["id"], F.lit(most)).collect())
+        want = []
+        for key in {k for k, _, at, _ in rows if at is not None}:
+            want += [(key or "", i) for _, i in sorted((at, i) for k, _, at, i in rows if k == key and at is not None)[:most]]
+        assert found == sorted(want)
+    assert ranges.first_of_scan(dated.limit(0), ["k"], "at", ["id"], F.lit(3)).isEmpty()
+
+
+def plain_alias(said, catalogue, score, least, margin, shortest):
+    out = []
+    for key, text in said:
+        if text is None or len(text) < max(1, shortest):
+            continue
+        best: dict = {}
+        for entry, alias in catalogue:
+            if alias:
+                best[entry] = max(best.get(entry, 0.0), score(text, alias))
+        ranked = sorted((-s, e) for e, s in best.items())
+        if ranked and -ranked[0][0] >= least and (len(ranked) == 1 or ranked[1][0] - ranked[0][0] >= margin):
+            out.append((key, ranked[0][1], round(-ranked[0][0], 9)))
+    return sorted(out)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_aliases_equal_brute_force(spark):
+    rng = random.Random(20)
+    word = lambda n: "".join(rng.choice("abcdxyz") for _ in range(n))
+    catalogue = [(f"e{i % 150}", word(rng.randrange(1, 16))) for i in range(220)] + [("same", "stop"), ("twin", "stop"), ("none", ""), ("void", None), ("sign", "berhenti"), ("road", "road")]
+    said = []
+    for i in range(400):
+        text = list(rng.choice(catalogue)[1] or "zz")
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = [rng.choice("abq")] if rng.random() < 0.6 else []
+        said.append((i, "".join(text)))
+    said += [(900, None), (901, ""), (902, "berhnti"), (903, "roa"), (904, "berhnti")]
+    rows, entries = spark.createDataFrame(said, "id int, said string"), spark.createDataFrame(catalogue, "entry string, alias string")
+    for like, score in ((rules.RATIO, lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()), (rules.EDITS, lambda a, b: 1 - edit_distance(a, b) / max(len(a), len(b)))):
+        for least, margin, shortest in ((0.88, 0.08, 4), (0.7, 0.05, 1), (0.8, 0.0, 1)):
+            found = sorted((r.id, r.entry, round(r.score, 9)) for r in rules.best_alias(rows, "id", "said", entries, "entry", like, least, margin, shortest).collect())
+            assert found == plain_alias(said, catalogue, score, least, margin, shortest)
+            assert found
+    # unlike words meet seldom
+    unlike = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(8, 15))),) for _ in range(300)], "alias string")
+    for like in (rules.RATIO, rules.EDITS):
+        assert rules.alias_candidates(unlike.withColumnRenamed("alias", "said"), "said", unlike, like, 0.8).count() < 300 * 300 // 8
+    assert rules.best_alias(rows.limit(0), "id", "said", entries, "entry", rules.RATIO, 0.88, 0.08).isEmpty()
+    assert rules.best_alias(rows, "id", "said", entries.limit(0), "entry", rules.RATIO, 0.88, 0.08).isEmpty()
+
+
+def test_fuzzy_part_names_equal_brute_force(spark, small):
+    parts, nations = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("part", "nation"))
+    said = [(r.p_partkey, r.said) for r in language.written_parts(parts).collect()]
+    catalogue = [(r.entry, r.alias) for r in language.part_aliases(parts, nations).collect()]
+    score = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    found = sorted((r.p_partkey, r.entry, round(r.score, 9)) for r in language.alias_fuzzy_ratio(spark, small).collect())
+    assert found == plain_alias(said, catalogue, score, 0.88, 0.08, 4)
+    assert len(found) > 50
