@@ -72,3 +72,33 @@ def polygon_area(xs: Column, ys: Column) -> Column:
 
 def polygon_box(xs: Column, ys: Column) -> list[Column]:
     return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+
+
+def polygon_box_iou(xs: Column, ys: Column, box: Box) -> Column:
+    """Intersection over union of a polygon's bounding box and a box; 0 if both are empty."""
+    x1, y1, x2, y2 = polygon_box(xs, ys)
+    zero = F.lit(0.0)
+    both = F.greatest(zero, F.least(x2, box.x2) - F.greatest(x1, box.x1)) * F.greatest(zero, F.least(y2, box.y2) - F.greatest(y1, box.y1))
+    area = lambda a, b, c, d: F.greatest(zero, c - a) * F.greatest(zero, d - b)
+    return F.coalesce(F.try_divide(both, area(x1, y1, x2, y2) + area(box.x1, box.y1, box.x2, box.y2) - both), zero)
+
+
+def polygon_fault(xs: Column, ys: Column, box: Box, width: Column, height: Column, least_iou: float, least_area: float, most_area: float) -> Column:
+    """Why a mask polygon is no good, null if it is: too few points, coordinates that are not finite or outside the image, an area that is too small or large a share of the box's (of 1 at least), a bounding box too unlike it."""
+    finite = lambda v: F.forall(v, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    ratio = polygon_area(xs, ys) / F.greatest(F.lit(1.0), (box.x2 - box.x1) * (box.y2 - box.y1))
+    outside = (F.array_min(xs) < 0) | (F.array_min(ys) < 0) | (F.array_max(xs) > width) | (F.array_max(ys) > height)
+    cases = [(F.least(F.size(xs), F.size(ys)) < 3, "fewer than three points"), (~finite(xs) | ~finite(ys), "not finite"), (outside, "outside the image"), ((ratio < least_area) | (ratio > most_area), "area ratio"), (polygon_box_iou(xs, ys, box) < least_iou, "box overlap")]
+    return F.coalesce(*[F.when(test, reason) for test, reason in cases])
+
+
+def truncated_padding(box: Box, width: Column, height: Column, ratio: float, least: int = 0) -> list[Column]:
+    """The box grown along each axis by a share of its own side, cut to whole pixels, and clamped to the image."""
+    grow = lambda side: F.greatest(F.lit(least), (side * ratio).cast("int"))
+    x, y = grow(box.width), grow(box.height)
+    return [F.greatest(F.lit(0), box.x1 - x), F.greatest(F.lit(0), box.y1 - y), F.least(width, box.x2 + x), F.least(height, box.y2 + y)]
+
+
+def from_center_format(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> list[Column]:
+    """The corners of a box told by centre and size as shares of the image."""
+    return [(cx - w / 2) * width, (cy - h / 2) * height, (cx + w / 2) * width, (cy + h / 2) * height]

@@ -87,9 +87,49 @@ def back_filled(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     return both.withColumn("decision", F.coalesce("decision", F.when(F.col("status") == "approved", "approve").otherwise("")))
 
 
-def evidence_grade(override: Column, owner: Column, references: Column, confidence: Column) -> Column:
-    """The strongest evidence of a label: an override, the owner's word, a reference, then bands of confidence."""
-    return F.when(override, "override").when(owner, "owner").when(references > 0, "reference").when(confidence >= 0.9, "confident").when(confidence >= 0.6, "plausible").otherwise("unproven")
+#: Confidence from which a mapping is confirmed, and from which it is accepted (fixed values).
+CONFIRMED, ACCEPTED = 0.95, 0.90
+
+
+def evidence_status(override: Column, owner: Column, reference: Column, confidence: Column) -> Column:
+    """How well a mapping is proven: the status of an override, else the owner's word, else a reference by its own mapping confidence (null: none), else bands of confidence."""
+    seen = F.when(confidence >= CONFIRMED, "confirmed_visual_high_confidence").when(confidence >= ACCEPTED, "accepted_visual_medium_confidence").otherwise("needs_second_review")
+    told = F.when(reference == "high", "confirmed_online_reference").when(reference.isNotNull(), "accepted_with_reference_caution")
+    return F.coalesce(override, F.when(owner, "confirmed_owner_review"), told, seen)
+
+
+#: How ids of collected pictures look, and of those made from one of them (fixed values).
+_COLLECTED = r"(MAN01-[A-Z]+-\d{4})"
+_MADE_FROM = "controlled_from_" + _COLLECTED
+
+
+def _given(column: str) -> Column:
+    return F.nullif(F.trim(F.coalesce(column, F.lit(""))), F.lit(""))
+
+
+def _stem(name: Column) -> Column:
+    """The file's name without its last suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+
+
+def base_variant(label: str = "semantic_sign_id", name: str = "file_name") -> Column:
+    """The group of a picture and its variants: the id that it was made from or has, else its page's URL, else its key, else its file's stem; each behind the label."""
+    text = F.concat_ws(" ", name, F.coalesce("source_label", F.lit("")), F.coalesce("source_file_url", F.lit("")))
+    found = lambda where, pattern: F.nullif(F.regexp_extract(where, pattern, 1), F.lit(""))
+    key = F.coalesce(found(text, _MADE_FROM), found(F.col(name), _COLLECTED), _given("source_url"), _given("dedupe_key"), _stem(F.col(name)))
+    return F.concat(F.col(label), F.lit("::"), key)
+
+
+def leakage_group(label: str = "semantic_sign_id", name: str = "file_name") -> Column:
+    """The group that must stay in one split: source group (``unknown`` if null), label, and the key, else the digest, else the file's stem."""
+    return F.concat(F.coalesce("source_group", F.lit("unknown")), F.lit("::"), F.col(label), F.lit("::"), F.coalesce(_given("dedupe_key"), _given("crop_sha256"), _stem(F.col(name))))
+
+
+def require_whole_groups(rows: DataFrame, group: str, split: str) -> None:
+    """Raises if a group has rows of several splits, or there are no rows."""
+    if rows.isEmpty():
+        raise ValueError("no rows")
+    require_empty(rows.groupBy(group).agg(F.min(split).alias("one"), F.max(split).alias("other")).where(~F.col("one").eqNullSafe(F.col("other"))), "groups in several splits")
 
 
 def chosen_in_order(wanted: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import hamming
+from lodestar.sources.work import freed, written
 
 
 #: Bands for wide searches: more of them make parts too short to tell codes apart.
@@ -70,22 +71,33 @@ def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64)
     return found.select("a", "b", close.alias("distance")).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over the edges (a, b), for every row of ``nodes`` (node).
+def linked(links: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable, for every node of ``links`` (a, b: bigint) that has a link to another, a row each.
 
-    Each round takes the least label of a node's neighbours and then that
-    label's own label, and is checkpointed to the session's checkpoint folder.
+    A round points all greater neighbours of a node to its least neighbour,
+    then all smaller ones; the links shrink to stars in O(log² n) rounds, each
+    written to the shared folder and freed after the next. The minima are
+    pre-aggregated and the joins can be split on a hot node.
     """
-    # the search for edges runs once, not in every round
-    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    stars = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
     while True:
-        offered = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("offer"))
-        lower = labels.join(offered, labels.node == offered.a, "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("component"))
-        parents = lower.select(F.col("node").alias("parent"), F.col("component").alias("root"))
-        jumped = lower.join(parents, lower.component == parents.parent).select("node", F.least("component", "root").alias("component"))
-        fresh = jumped.checkpoint()
-        changed = fresh.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
-        labels = fresh
-        if changed:
-            return labels
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
+        older, stars = stars, written(small.distinct(), "stars")
+        freed(older)
+        told = stars.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if told == before:
+            break
+        before = told
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over the edges (a, b), for every row of ``nodes`` (node)."""
+    found = linked(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    named = nodes.join(found.withColumnsRenamed({"node": "_node", "component": "_component"}), F.col("node") == F.col("_node"), "left")
+    return named.select("node", F.coalesce("_component", "node").alias("component"))

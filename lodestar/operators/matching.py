@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.geometry import Box, center_distance, iou
+from lodestar.functions.geometry import Box, center_distance, iou, overlap
 from lodestar.functions.vectors import cosine_distance
 
 CORNERS = ["x1", "y1", "x2", "y2"]
@@ -33,6 +33,44 @@ def greedy_one_to_one(pairs: DataFrame, frame: str, threshold: float) -> DataFra
     return ordered.select(frame, F.explode(taken).alias("p")).select(frame, "p.l_id", "p.r_id", "p.iou")
 
 
+def detection_totals(truth: DataFrame, predicted: DataFrame, frame: str, bucket: Column, threshold: float = 0.5) -> DataFrame:
+    """(bucket, n_truth, n_hit, recall, n_predicted, n_false, precision, false_per_frame): one-to-one greedy matches of each frame.
+
+    Truth falls into buckets (a column of truth boxes); the row ``all`` has every box, and predictions and their
+    false ones, which have no bucket. Frames are those with a box of either kind.
+    """
+    taken = greedy_one_to_one(box_pairs(truth, predicted, frame), frame, threshold)
+    hits = truth.withColumn("bucket", bucket).join(taken.select(frame, F.col("l_id").alias("id"), F.lit(1).alias("hit")), [frame, "id"], "left")
+    # a row that counts nothing makes the total of no truth a row too
+    counted = hits.select("bucket", F.lit(1).alias("n"), F.coalesce("hit", F.lit(0)).alias("hit")).unionByName(truth.sparkSession.createDataFrame([(None, 0, 0)], "bucket string, n int, hit int"))
+    slices = counted.rollup("bucket").agg(F.sum("n").alias("n_truth"), F.sum("hit").alias("n_hit"), F.grouping("bucket").alias("_whole")).where("_whole = 1 OR n_truth > 0")
+    frames = truth.select(frame).unionByName(predicted.select(frame)).distinct().agg(F.count("*").alias("_frames"))
+    rest = predicted.agg(F.count("*").alias("n_predicted")).withColumn("_k", F.lit(1)).join(frames.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    rows = slices.join(F.broadcast(rest.withColumn("_whole", F.lit(1).cast("tinyint"))), "_whole", "left")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    wrong = F.when(F.col("_whole") == 1, F.greatest(F.lit(0), F.col("n_predicted") - F.col("n_hit")))
+    return rows.select(
+        F.when(F.col("_whole") == 1, "all").otherwise(F.col("bucket")).alias("bucket"), "n_truth", "n_hit", share(F.col("n_hit"), F.col("n_truth")).alias("recall"), "n_predicted", wrong.alias("n_false"),
+        F.when(F.col("_whole") == 1, share(F.col("n_hit"), F.col("n_predicted"))).alias("precision"), (wrong / F.greatest(F.lit(1), F.col("_frames"))).alias("false_per_frame"),
+    )
+
+
+def selected_profile(profiles: DataFrame, name: str, current: str) -> DataFrame:
+    """The one row of ``profiles`` (name, recall, precision, false_rate) with 0.95 of the current one's recall at least (a fixed value) that has fewest false boxes, then the highest precision, recall, and the least name."""
+    floor = profiles.where(F.col(name) == current).agg(F.max("recall").alias("_r")).withColumn("_k", F.lit(1))
+    good = profiles.withColumn("_k", F.lit(1)).join(F.broadcast(floor), "_k").where(F.col("recall") >= 0.95 * F.col("_r")).drop("_k", "_r")
+    return good.orderBy("false_rate", F.desc("precision"), F.desc("recall"), name).limit(1)
+
+
+def clear_of(candidates: DataFrame, signs: DataFrame, frame: str, most: float) -> DataFrame:
+    """The candidates (frame, id, corners) that hold the centre of no sign of their frame and cover no more than ``most`` of a sign's area."""
+    box, sign = Box(""), Box("s_")
+    told = signs.select(F.col(frame).alias("s_frame"), *[F.col(c).alias("s_" + c) for c in CORNERS])
+    cx, cy = sign.center
+    covered = F.coalesce(F.try_divide(overlap(box, sign), sign.area) > most, F.lit(False))
+    return candidates.join(told, (F.col(frame) == F.col("s_frame")) & (cx.between(box.x1, box.x2) & cy.between(box.y1, box.y2) | covered), "left_anti")
+
+
 def suppressed(boxes: DataFrame, frame: str, most: float = 0.45) -> DataFrame:
     """The boxes (frame, id, corners, score) that non-maximum suppression keeps: by falling score (then id), those under ``most`` with all kept.
 

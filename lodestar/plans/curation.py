@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions.hashing import fold
-from lodestar.operators import merges, selection, splits
+from lodestar.operators import gaps, merges, selection, splits
 from lodestar.plans.registry import query, read
 
 _FRACTION = "(('0x' || substr(sha256('42:' || {0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
@@ -173,14 +173,32 @@ def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.with_gap(_targets(spark, sf_dir))
 
 
-@query(f"""SELECT p_brand, gap::BIGINT AS gap, CASE WHEN gap = 0 THEN 'none' WHEN gap >= 25 THEN 'must' WHEN gap >= 10 THEN 'should' ELSE 'could' END AS priority,
-array_to_string(list_filter([CASE WHEN total < 20 THEN 'few rows' END, CASE WHEN gap > total THEN 'gap above total' END, CASE WHEN minimum > 50 THEN 'high target' END], lambda x: x IS NOT NULL), ';') AS limitation
-FROM (SELECT *, greatest(0, minimum - total) AS gap FROM ({_TARGETS}))""")
+_CLASSES = """c AS (SELECT p_size % 25 AS k, count(*) FILTER (WHERE p_partkey % 5 > 0 OR p_size % 25 < 20) AS total, count(*) FILTER (WHERE p_partkey % 5 IN (1, 2, 3)) AS train, count(*) FILTER (WHERE p_partkey % 5 = 4 AND p_size % 25 <> 7) AS validation, count(*) FILTER (WHERE p_partkey % 5 = 0) AS test,
+count(*) FILTER (WHERE p_partkey % 5 > 0 AND p_partkey % 4 <= p_size % 25 % 2) AS tiny FROM part GROUP BY 1),
+h AS (SELECT k, CASE WHEN k = 24 THEN 0 ELSE total END AS total, train, validation, test, tiny, k = 1 AS assignment, k IN (2, 7, 9) AS common_must, k = 3 AS demo, k IN (4, 5) AS common_should, k IN (4, 6, 24) AS value_class, k = 8 AS text_class, k = 9 AS known_risk FROM c)"""
+
+
+@query(f"""WITH {_CLASSES},
+g AS (SELECT *, list_filter([CASE WHEN assignment THEN 'assignment' END, CASE WHEN common_must THEN 'common_malaysia' END, CASE WHEN demo THEN 'demo_default' END, CASE WHEN common_should THEN 'secondary_malaysia' END, CASE WHEN value_class THEN 'ocr_value' END, CASE WHEN text_class THEN 'multilingual_text' END, CASE WHEN total > 0 THEN 'current_p5_dataset' END], lambda x: x IS NOT NULL) AS found,
+  CASE WHEN assignment OR common_must OR demo THEN 'must' WHEN common_should OR total > 0 THEN 'should' ELSE 'optional' END AS priority FROM h),
+t AS (SELECT *, CASE WHEN len(found) = 0 THEN 'future_catalogue' ELSE array_to_string(found, ';') END AS groups, CASE WHEN assignment OR demo THEN [50, 150, 300] WHEN common_must THEN [50, 100, 200] WHEN value_class AND priority <> 'optional' THEN [50, 100, 300] WHEN priority = 'should' THEN [30, 80, 150] ELSE [10, 30, 50] END AS aims,
+  CASE WHEN known_risk AND total > 0 AND tiny / total >= 0.25 THEN 'known_noise_history;high_tiny_crop_rate' WHEN known_risk THEN 'known_noise_history' WHEN total > 0 AND tiny / total >= 0.25 THEN 'high_tiny_crop_rate' ELSE 'none' END AS risk,
+  CASE WHEN total = 0 THEN 'no_samples' WHEN train > 0 AND validation > 0 AND test > 0 THEN 'ok' ELSE 'missing_' || array_to_string(list_filter([CASE WHEN train = 0 THEN 'train' END, CASE WHEN validation = 0 THEN 'validation' END, CASE WHEN test = 0 THEN 'test' END], lambda x: x IS NOT NULL), '_') END AS split_status FROM g),
+s AS (SELECT *, CASE WHEN total = 0 AND priority = 'optional' THEN 'optional_no_data' WHEN total = 0 THEN 'missing_data' WHEN total < aims[1] THEN 'below_minimum' WHEN train = 0 OR validation = 0 THEN 'split_gap' WHEN risk <> 'none' THEN 'ready_count_qc_risk' WHEN total >= aims[3] THEN 'ready_strong' WHEN total >= aims[2] THEN 'ready_good' ELSE 'ready_minimum' END AS status FROM t)
+SELECT k, groups, priority, aims[1] AS minimum, aims[2] AS good, aims[3] AS strong, risk, split_status, status,
+CASE WHEN priority = 'must' AND status IN ('missing_data', 'below_minimum') THEN 'P0_collect_now' WHEN priority = 'must' AND status IN ('ready_count_qc_risk', 'split_gap') THEN 'P1_fix_before_training' WHEN priority = 'should' AND status IN ('missing_data', 'below_minimum') THEN 'P2_collect_after_P0' WHEN priority = 'should' AND status IN ('ready_count_qc_risk', 'split_gap') THEN 'P3_fix_if_claimed' WHEN priority = 'optional' THEN 'P4_optional' ELSE 'P5_ready_queue' END AS rank,
+CASE WHEN status IN ('missing_data', 'below_minimum') THEN 'Collect and annotate at least ' || greatest(aims[1] - total, 0) || ' more clean crops; aim for ' || aims[2] || ' total.' || CASE WHEN assignment THEN ' Keep coursework images as external test unless explicitly moved into training.' ELSE '' END || CASE WHEN demo THEN ' Capture phone/laptop-camera examples from real or printed demo signs.' ELSE '' END || CASE WHEN value_class THEN ' Store OCR transcript/value/unit for each sample.' ELSE '' END
+  WHEN status = 'optional_no_data' THEN 'Do not collect now; exclude from final claims unless later promoted.' WHEN status = 'ready_count_qc_risk' THEN 'Run targeted QC/final split audit before training claim; collect only if QC removes too many samples.' WHEN status = 'split_gap' THEN 'Rebuild leakage-safe train/validation/test split before training.' ELSE 'Can be included in next classifier training after dataset freeze.' END AS plan,
+CASE WHEN status = 'optional_no_data' THEN 'No final limitation if excluded from claims.' WHEN status IN ('missing_data', 'below_minimum') THEN 'Likely unknown or wrong in the live app until data is collected and the classifier is retrained.' WHEN status = 'ready_count_qc_risk' THEN 'May train a noisy decision boundary unless QC confirms labels.' WHEN status = 'split_gap' THEN 'Metrics may be unreliable until split coverage is fixed.' ELSE 'No major data-count limitation for the next training pass.' END AS limitation FROM s""")
 def gap_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = merges.with_gap(_targets(spark, sf_dir))
-    priority = F.when(F.col("gap") == 0, "none").when(F.col("gap") >= 25, "must").when(F.col("gap") >= 10, "should").otherwise("could")
-    notes = [F.when(F.col("total") < 20, "few rows"), F.when(F.col("gap") > F.col("total"), "gap above total"), F.when(F.col("minimum") > 50, "high target")]
-    return rows.select("p_brand", "gap", priority.alias("priority"), F.array_join(F.array_compact(F.array(*notes)), ";").alias("limitation"))
+    """What each class lacks, by part sizes as classes and part keys as splits."""
+    k, key = F.col("k"), F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("k")).groupBy("k").agg(
+        F.count_if((key % 5 > 0) | (k < 20)).alias("total"), F.count_if((key % 5).isin(1, 2, 3)).alias("train"), F.count_if((key % 5 == 4) & (k != 7)).alias("validation"), F.count_if(key % 5 == 0).alias("test"), F.count_if((key % 5 > 0) & (key % 4 <= k % 2)).alias("tiny"),
+    )
+    flags = {"assignment": k == 1, "common_must": k.isin(2, 7, 9), "demo": k == 3, "common_should": k.isin(4, 5), "value_class": k.isin(4, 6, 24), "text_class": k == 8, "known_risk": k == 9}
+    done = gaps.classified(rows.withColumn("total", F.when(k == 24, 0).otherwise(F.col("total"))).withColumns(flags))
+    return done.select("k", F.array_join("groups", ";").alias("groups"), "priority", "minimum", "good", "strong", "risk", "split_status", "status", "rank", "plan", "limitation")
 
 
 @query(f"""SELECT priority, count(*) AS n, count(*) FILTER (WHERE gap = 0) AS n_complete, sum(gap)::BIGINT AS gap
@@ -237,6 +255,14 @@ def corrections_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.corrected(rows, told, "p_partkey", "p_brand")[0]
 
 
+@query("""SELECT p_partkey AS partkey, side FROM (SELECT DISTINCT p_partkey, 'left' AS side FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 10) UNION ALL
+SELECT DISTINCT l_partkey, 'right' FROM lineitem WHERE l_quantity <= 10 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25))""")
+def one_sided_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small parts that no small order names, and parts of small orders that are not small."""
+    small = read(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("partkey"))
+    return merges.one_sided(small, read(spark, sf_dir, "lineitem").where("l_quantity <= 10").select(F.col("l_partkey").alias("partkey")), "partkey")
+
+
 @query("""SELECT n_nationkey::BIGINT AS nationkey, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL
 SELECT DISTINCT s_nationkey::BIGINT, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)""")
 def coverage_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,11 +161,34 @@ def decision_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.back_filled(rows, told, "o_orderkey").select("o_orderkey", "decision")
 
 
-@query("""SELECT grade, count(*) AS n FROM (SELECT CASE WHEN event_id % 13 = 0 THEN 'override' WHEN event_id % 11 = 0 THEN 'owner' WHEN event_id % 7 > 5 THEN 'reference' WHEN value / 50 >= 0.9 THEN 'confident' WHEN value / 50 >= 0.6 THEN 'plausible' ELSE 'unproven' END AS grade FROM events) GROUP BY grade""")
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 13 = 0 THEN 'confirmed_by_hand' WHEN event_id % 11 = 0 THEN 'confirmed_owner_review' WHEN event_id % 7 = 6 THEN 'confirmed_online_reference' WHEN event_id % 7 = 5 THEN 'accepted_with_reference_caution'
+WHEN value / 50 >= 0.95 THEN 'confirmed_visual_high_confidence' WHEN value / 50 >= 0.9 THEN 'accepted_visual_medium_confidence' ELSE 'needs_second_review' END AS status FROM events) GROUP BY status""")
 def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    grade = decisions.evidence_grade(n % 13 == 0, n % 11 == 0, F.when(n % 7 > 5, 1).otherwise(0), F.col("value") / 50)
-    return read(spark, sf_dir, "events").select(grade.alias("grade")).groupBy("grade").agg(F.count("*").alias("n"))
+    reference = F.when(n % 7 == 6, "high").when(n % 7 == 5, "medium")
+    status = decisions.evidence_status(F.when(n % 13 == 0, "confirmed_by_hand"), n % 11 == 0, reference, F.col("value") / 50)
+    return read(spark, sf_dir, "events").select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_MANIFEST = """m AS (SELECT page_id, 'l' || page_id % 9 AS label, CASE page_id % 5 WHEN 0 THEN 'controlled_from_MAN01-AB-' || lpad((page_id % 40)::VARCHAR, 4, '0') || '.v' || page_id || '.jpg' WHEN 1 THEN 'MAN01-CD-' || lpad((page_id % 30)::VARCHAR, 4, '0') || '.png' ELSE 'crop_' || page_id % 50 || '.jpg' END AS file_name,
+CASE WHEN page_id % 5 = 2 THEN ' ' || regexp_extract(url, '://([^/?#]*)', 1) || ' ' ELSE ' ' END AS source_url, CASE WHEN page_id % 4 = 0 THEN 'k' || page_id % 20 ELSE '' END AS dedupe_key, CASE WHEN page_id % 3 = 0 THEN md5('c' || page_id % 60) END AS crop_sha256, CASE WHEN page_id % 7 > 0 THEN 'g' || page_id % 7 END AS source_group FROM pages)"""
+
+
+def manifest(pages: DataFrame) -> DataFrame:
+    """Pages as rows of a manifest of pictures: collected ones, ones made from them, and others, with some cells empty."""
+    k = F.col("page_id")
+    text = lambda x, n: F.concat(F.lit(x), (k % n).cast("string"))
+    four = lambda n: F.lpad((k % n).cast("string"), 4, "0")
+    name = F.when(k % 5 == 0, F.concat(F.lit("controlled_from_MAN01-AB-"), four(40), F.lit(".v"), k.cast("string"), F.lit(".jpg"))).when(k % 5 == 1, F.concat(F.lit("MAN01-CD-"), four(30), F.lit(".png"))).otherwise(F.concat(text("crop_", 50), F.lit(".jpg")))
+    host = F.concat(F.lit(" "), F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")), F.lit(" "))
+    return pages.select("page_id", text("l", 9).alias("semantic_sign_id"), name.alias("file_name"), F.lit(None).cast("string").alias("source_label"), F.lit("").alias("source_file_url"), F.when(k % 5 == 2, host).otherwise(" ").alias("source_url"), F.when(k % 4 == 0, text("k", 20)).otherwise("").alias("dedupe_key"), F.when(k % 3 == 0, F.md5(text("c", 60))).alias("crop_sha256"), F.when(k % 7 > 0, text("g", 7)).alias("source_group"))
+
+
+@query(f"""WITH {_MANIFEST} SELECT page_id, label || '::' || coalesce(nullif(regexp_extract(file_name, 'controlled_from_(MAN01-[A-Z]+-[0-9]{{4}})', 1), ''), nullif(regexp_extract(file_name, '(MAN01-[A-Z]+-[0-9]{{4}})', 1), ''), nullif(trim(coalesce(source_url, '')), ''), nullif(trim(dedupe_key), ''), regexp_replace(file_name, '[.][^.]+$', '')) AS base,
+coalesce(source_group, 'unknown') || '::' || label || '::' || coalesce(nullif(trim(dedupe_key), ''), nullif(trim(coalesce(crop_sha256, '')), ''), regexp_replace(file_name, '[.][^.]+$', '')) AS leakage FROM m""")
+def manifest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant group and the leakage group of each row of a manifest."""
+    return manifest(read(spark, sf_dir, "pages")).select("page_id", decisions.base_variant().alias("base"), decisions.leakage_group().alias("leakage"))
 
 
 @query("""WITH c AS (SELECT l_returnflag AS target, CASE WHEN l_linenumber % 4 = 0 THEN 'A' ELSE l_returnflag END AS predicted FROM lineitem), k AS (SELECT DISTINCT target AS x FROM c UNION SELECT DISTINCT predicted FROM c)

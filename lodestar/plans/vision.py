@@ -11,7 +11,6 @@ from lodestar.functions import vectors as V
 from lodestar.functions.hashing import difference_hash
 from lodestar.operators import duplicates, matching, metrics, ranges
 from lodestar.plans.registry import query, read
-from lodestar.sources.work import ensure_checkpoints
 
 _SQL_BOXES = """b AS (SELECT l_orderkey, l_linenumber AS id, (l_partkey * 37) % 40 AS x1, (l_suppkey * 13) % 40 AS y1,
 (l_partkey * 37) % 40 + 20 + l_suppkey % 30 AS x2, (l_suppkey * 13) % 40 + 20 + l_partkey % 30 AS y2, l_quantity::DOUBLE AS score FROM lineitem)"""
@@ -42,12 +41,23 @@ def box_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).where("iou >= 0.3").select("l_orderkey", "l_id", "r_id", F.round("iou", 6).alias("iou"))
 
 
-@query()
+#: Pairs of a frame by falling (iou, l_id, r_id), taken one after another where both sides are free.
+_SQL_GREEDY = f"""{_SQL_PAIRS}, o AS (SELECT l_orderkey, l_id, r_id, iou, row_number() OVER (PARTITION BY l_orderkey ORDER BY iou DESC, l_id DESC, r_id DESC) AS i FROM (SELECT l_orderkey, l_id, r_id, {_SQL_IOU} AS iou FROM p) WHERE iou >= 0.3),
+r AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS i, 0 AS l_id, 0 AS r_id, 0.0::DOUBLE AS iou, false AS kept, []::INTEGER[] AS ls, []::INTEGER[] AS rs FROM o UNION ALL
+SELECT o.l_orderkey, o.i, o.l_id, o.r_id, o.iou, NOT list_contains(ls, o.l_id) AND NOT list_contains(rs, o.r_id), CASE WHEN list_contains(ls, o.l_id) OR list_contains(rs, o.r_id) THEN ls ELSE list_append(ls, o.l_id) END, CASE WHEN list_contains(ls, o.l_id) OR list_contains(rs, o.r_id) THEN rs ELSE list_append(rs, o.r_id) END FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.i = r.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_SQL_GREEDY} SELECT l_orderkey, l_id, r_id, round(iou, 6) AS iou FROM r WHERE kept")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.greedy_one_to_one(_pairs(spark, sf_dir), "l_orderkey", 0.3)
+    return matching.greedy_one_to_one(_pairs(spark, sf_dir), "l_orderkey", 0.3).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, id, x1, y1, x2, y2) AS i FROM b),
+r AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS i, 0 AS id, 0::BIGINT AS x1, 0::BIGINT AS y1, 0::BIGINT AS x2, 0::BIGINT AS y2, 0.0::DOUBLE AS score, false AS stays, []::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] AS kept FROM b UNION ALL
+SELECT l_orderkey, i, id, x1, y1, x2, y2, score, stays, CASE WHEN stays THEN list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE kept END FROM (SELECT o.l_orderkey, o.i, o.id, o.x1, o.y1, o.x2, o.y2, o.score, r.kept,
+  len([k FOR k IN r.kept IF greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)) >= 0.45 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)))]) = 0 AS stays
+  FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.i = r.i + 1))
+SELECT l_orderkey, id, x1, y1, x2, y2, score FROM r WHERE stays""")
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.suppressed(_boxes(spark, sf_dir), "l_orderkey")
 
@@ -65,14 +75,32 @@ def recall_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SQL_BOXES} SELECT l_orderkey, id FROM b c WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b a WHERE a.l_orderkey = c.l_orderkey AND a.id % 2 = 1
-AND (a.x1 + a.x2) / 2.0 BETWEEN c.x1 AND c.x2 AND (a.y1 + a.y2) / 2.0 BETWEEN c.y1 AND c.y2)""")
+AND ((a.x1 + a.x2) / 2.0 BETWEEN c.x1 AND c.x2 AND (a.y1 + a.y2) / 2.0 BETWEEN c.y1 AND c.y2 OR greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1))::DOUBLE > 0.05))""")
 def overlap_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even boxes that hold the centre of no odd box of their order."""
+    """Even boxes that hold the centre of no odd box of their order and cover a twentieth of none."""
     boxes = _boxes(spark, sf_dir)
-    signs = boxes.where("id % 2 = 1").select("l_orderkey", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    inside = F.expr("cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2")
-    even = boxes.where("id % 2 = 0").withColumnRenamed("l_orderkey", "k")
-    return even.join(signs, (F.col("k") == F.col("l_orderkey")) & inside, "left_anti").select(F.col("k").alias("l_orderkey"), "id")
+    return matching.clear_of(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), "l_orderkey", 0.05).select("l_orderkey", "id")
+
+
+@query(f"""WITH RECURSIVE {_SQL_GREEDY}, t AS (SELECT b.l_orderkey, b.id, CASE WHEN (x2 - x1) * (y2 - y1) <= 0.01 * 90000 THEN 'small' ELSE 'large' END AS bucket, kept IS NOT NULL AS hit FROM b LEFT JOIN (SELECT l_orderkey, l_id, kept FROM r WHERE kept) m ON m.l_orderkey = b.l_orderkey AND m.l_id = b.id WHERE b.id % 2 = 1),
+n AS (SELECT count(*) FILTER (WHERE id % 2 = 0) AS n_predicted, count(DISTINCT l_orderkey) AS frames FROM b),
+s AS (SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n_truth, count(*) FILTER (WHERE hit) AS n_hit FROM t GROUP BY ROLLUP (bucket))
+SELECT bucket, n_truth, n_hit, round(n_hit / n_truth, 6) AS recall, CASE WHEN bucket = 'all' THEN n_predicted END AS n_predicted, CASE WHEN bucket = 'all' THEN n_predicted - n_hit END AS n_false, CASE WHEN bucket = 'all' THEN round(n_hit / n_predicted, 6) END AS "precision", CASE WHEN bucket = 'all' THEN round((n_predicted - n_hit) / frames, 6) END AS false_per_frame FROM s, n""")
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, precision and false boxes of one-to-one matches, small and large truth apart."""
+    boxes = _boxes(spark, sf_dir)
+    bucket = F.when(G.Box().area <= 0.01 * 90_000, "small").otherwise("large")
+    done = matching.detection_totals(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"), "l_orderkey", bucket, 0.3)
+    return done.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "false_per_frame")})
+
+
+@query("""WITH p AS (SELECT p_brand AS profile, round(avg(p_size / 50.0), 6) AS recall, round(avg((p_partkey % 7) / 6.0), 6) AS "precision", round(100.0 * count(*) FILTER (WHERE p_size > 40) / count(*), 6) AS false_rate FROM part GROUP BY p_brand)
+SELECT profile, recall, "precision", false_rate FROM p WHERE recall >= 0.95 * (SELECT recall FROM p WHERE profile = 'Brand#11') ORDER BY false_rate, "precision" DESC, recall DESC, profile LIMIT 1""")
+def detector_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile with fewest false boxes among those near the current one's recall."""
+    six = lambda c, n: F.round(c, 6).cast("double").alias(n)
+    profiles = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("profile")).agg(six(F.avg(F.col("p_size") / 50), "recall"), six(F.avg(F.col("p_partkey") % 7 / 6), "precision"), six(100 * F.count_if(F.col("p_size") > 40) / F.count("*"), "false_rate"))
+    return matching.selected_profile(profiles, "profile", "Brand#11")
 
 
 @query(f"""WITH {_SQL_BOXES} SELECT l_orderkey, id, greatest(0, x1 - round_even(greatest(x2 - x1, y2 - y1) * 0.08, 0))::DOUBLE AS px1, greatest(0, y1 - round_even(greatest(x2 - x1, y2 - y1) * 0.08, 0))::DOUBLE AS py1,
@@ -87,20 +115,23 @@ def center_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).select("l_orderkey", "id", *[F.round(c, 8).alias(n) for c, n in zip(G.to_center_format(G.Box(), F.lit(90.0), F.lit(90.0)), ("cx", "cy", "w", "h"), strict=True)])
 
 
-@query("""WITH q AS (SELECT o_custkey, o_orderkey, [o_orderkey % 50, o_orderkey % 50 + 10 + o_custkey % 20, o_orderkey % 50 + 5]::DOUBLE[] AS xs, [o_custkey % 40, o_custkey % 40 + o_orderkey % 7, o_custkey % 40 + 12]::DOUBLE[] AS ys FROM orders),
-a AS (SELECT *, abs(xs[1] * ys[2] - xs[2] * ys[1] + xs[2] * ys[3] - xs[3] * ys[2] + xs[3] * ys[1] - xs[1] * ys[3]) / 2 AS area, list_max(xs) AS far FROM q),
-r AS (SELECT *, CASE WHEN far > 70 THEN 'outside' WHEN area < 40 THEN 'small' END AS reason FROM a)
-SELECT o_custkey, o_orderkey, area, coalesce(reason, 'ok') AS reason, bool_and(reason IS NULL) OVER (PARTITION BY o_custkey) AS whole_ok FROM r""")
+@query("""WITH q AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN [1.0, 2.0] ELSE [o_orderkey % 50, o_orderkey % 50 + 10 + o_custkey % 20, o_orderkey % 50 + 5] END::DOUBLE[] AS xs,
+  CASE WHEN o_orderkey % 17 = 0 THEN [1.0, 2.0] ELSE [o_custkey % 40, o_custkey % 40 + o_orderkey % 7, CASE WHEN o_orderkey % 19 = 0 THEN 'NaN'::DOUBLE ELSE o_custkey % 40 + 12 END] END::DOUBLE[] AS ys, (o_orderkey % 50)::DOUBLE AS x1, (o_custkey % 40)::DOUBLE AS y1, (o_orderkey % 50 + 12 + o_custkey % 20)::DOUBLE AS x2, (o_custkey % 40 + 10 + o_orderkey % 5)::DOUBLE AS y2 FROM orders),
+a AS (SELECT *, CASE WHEN len(xs) < 3 THEN 0 ELSE abs(xs[1] * ys[2] - xs[2] * ys[1] + xs[2] * ys[3] - xs[3] * ys[2] + xs[3] * ys[1] - xs[1] * ys[3]) / 2 END AS area, greatest(0, least(list_max(xs), x2) - greatest(list_min(xs), x1)) * greatest(0, least(list_max(ys), y2) - greatest(list_min(ys), y1)) AS inner_area FROM q),
+r AS (SELECT o_custkey, o_orderkey, round(CASE WHEN isnan(list_max(ys)) THEN 0 ELSE area END, 6) AS area, CASE WHEN len(xs) < 3 THEN 'fewer than three points' WHEN isnan(list_max(ys)) THEN 'not finite' WHEN list_max(xs) > 75 OR list_max(ys) > 50 THEN 'outside the image' WHEN area / greatest(1, (x2 - x1) * (y2 - y1)) NOT BETWEEN 0.3 AND 0.48 THEN 'area ratio'
+  WHEN inner_area / ((list_max(xs) - list_min(xs)) * (list_max(ys) - list_min(ys)) + (x2 - x1) * (y2 - y1) - inner_area) < 0.85 THEN 'box overlap' END AS reason FROM a)
+SELECT o_custkey, o_orderkey, area, coalesce(reason, 'ok') AS reason, bool_and(reason IS NULL) OVER (PARTITION BY o_custkey, o_orderkey // 400) AS whole_ok FROM r""")
 def polygon_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons with a reason each; a customer is fine only if all of theirs are."""
+    """Mask polygons with a reason each; a picture (some orders of a customer) is fine only if all of its polygons are."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    xs = F.array(*[x.cast("double") for x in (k % 50, k % 50 + 10 + c % 20, k % 50 + 5)])
-    ys = F.array(*[y.cast("double") for y in (c % 40, c % 40 + k % 7, c % 40 + 12)])
-    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", xs.alias("xs"), ys.alias("ys"))
-    rows = rows.withColumn("area", G.polygon_area(F.col("xs"), F.col("ys")))
-    reason = F.when(F.array_max("xs") > 70, "outside").when(F.col("area") < 40, "small")
-    ok = F.bool_and(reason.isNull()).over(W.partitionBy("o_custkey"))
-    return rows.select("o_custkey", "o_orderkey", "area", F.coalesce(reason, F.lit("ok")).alias("reason"), ok.alias("whole_ok"))
+    few, odd = k % 17 == 0, k % 19 == 0
+    double = lambda *v: F.array(*[F.lit(x).cast("double") if not isinstance(x, F.Column) else x.cast("double") for x in v])
+    xs = F.when(few, double(1.0, 2.0)).otherwise(double(k % 50, k % 50 + 10 + c % 20, k % 50 + 5))
+    ys = F.when(few, double(1.0, 2.0)).otherwise(double(c % 40, c % 40 + k % 7, F.when(odd, float("nan")).otherwise(c % 40 + 12)))
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", xs.alias("xs"), ys.alias("ys"), *[x.cast("double").alias(n) for x, n in ((k % 50, "x1"), (c % 40, "y1"), (k % 50 + 12 + c % 20, "x2"), (c % 40 + 10 + k % 5, "y2"))])
+    rows = rows.withColumns({"area": F.round(F.nanvl(G.polygon_area(F.col("xs"), F.col("ys")), F.lit(0.0)), 6), "fault": G.polygon_fault(F.col("xs"), F.col("ys"), G.Box(), F.lit(75), F.lit(50), 0.85, 0.3, 0.48)})
+    ok = F.bool_and(F.col("fault").isNull()).over(W.partitionBy("o_custkey", F.floor(k / 400)))
+    return rows.select("o_custkey", "o_orderkey", "area", F.coalesce("fault", F.lit("ok")).alias("reason"), ok.alias("whole_ok"))
 
 
 _SQL_HASH = "h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > embedding[i + 2] THEN 1::HUGEINT << i ELSE 0 END FOR i IN range(63)])::BIGINT AS code FROM embeddings)"
@@ -118,7 +149,6 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_SQL_HASH}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id <> b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 16),
 r AS (SELECT vec_id AS node, vec_id AS seen FROM h UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoints(spark)
     codes = _codes(spark, sf_dir)
     return duplicates.components(duplicates.hamming_pairs(codes, "vec_id", "code", 16, 63), codes.select(F.col("vec_id").alias("node")))
 

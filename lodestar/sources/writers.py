@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,21 @@ def report(df: DataFrame) -> str:
     return row["j"] if row else "{}"
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """The table as Markdown; raises if it has more than ``most`` rows, which a report for readers should not."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows for a Markdown table")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+def _cell(column: str) -> Column:
+    text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
+
+
+def markdown_lines(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """(value) the lines of the table as Markdown, head first, rows by ``order``; bars are escaped, line breaks become spaces."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(_cell, df.columns)), F.lit(" |"))
+    heads = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    head = df.sparkSession.createDataFrame(list(enumerate(heads)), "_turn int, value string")
+    rows = df.select(F.lit(2).alias("_turn"), line.alias("value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    both = head.unionByName(rows, allowMissingColumns=True)
+    return both.orderBy("_turn", *[f"_o{i}" for i in range(len(order))]).select("value")
+
+
+def markdown(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """A table of any length as Markdown text; the lines are in order over the part files by name."""
+    markdown_lines(df, order).write.mode("overwrite").text(path)

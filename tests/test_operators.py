@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lodestar.functions import geometry, hashing, text
 from lodestar.operators import decisions, duplicates, matching, merges, metrics, ranges, rules, selection, splits, tracking
 from lodestar.plans import language
-from lodestar.sources.work import ensure_checkpoints
 
 
 def test_stable_fraction_is_the_digest(spark):
@@ -30,7 +29,6 @@ def test_bands_find_all_close_codes(spark):
 
 
 def test_components_follow_long_chains(spark):
-    ensure_checkpoints(spark)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(31), 40, 50, 60]], "node long")
     found = {r["node"]: r["component"] for r in duplicates.components(edges, nodes).collect()}
