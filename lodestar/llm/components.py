@@ -1,32 +1,5 @@
-"""Connected components by alternating star operations, each a grouped minimum and a join."""
+"""Connected components of links."""
 
-from __future__ import annotations
+from lodestar.operators.duplicates import linked as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodestar.llm.shared import freed, written
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for every node of ``links`` (a, b: bigint), a row each.
-
-    A round points all greater neighbours of a node to its least neighbour,
-    then all smaller ones; the links shrink to stars in O(log² n) rounds. The
-    minima are pre-aggregated and the joins can be split on a hot node.
-    """
-    stars = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        older, stars = stars, written(small.distinct(), "stars")
-        freed(older)
-        told = stars.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if told == before:
-            break
-        before = told
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]

@@ -1,20 +1,18 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Each document keeps the least hash of every ``GUARD`` consecutive ``GRAM``-word
-runs (GRAM + GUARD - 1 = WINDOW words), so any shared span of WINDOW words
-leaves a common fingerprint in the document and in the item. Fingerprints are
-joined; hits are extended: in the documents found, the windows of their items
-are matched word by word, and overlapping windows merge into spans. Items
-shorter than a window are one window each; their longest word leads to the
-documents to look at.
-
-Tables of the benchmark side are broadcast only when their counted rows are
-under ``BROADCAST_ROWS``; otherwise the same joins shuffle both sides.
+runs (GRAM + GUARD - 1 = WINDOW words) with its position, so any shared span of
+WINDOW words leaves a common fingerprint in the document and in the item, at
+the same word. Fingerprints are joined, and their positions put the item's words
+on a place in the document. Each such placing is extended both ways, word by
+word, to the longest stretches that agree; those of WINDOW words or more are hits.
+Items shorter than a window are one window each, placed by their longest word.
 
 Defined cases: null or wordless texts have no words, no hits and no items;
 rows keep their number, repeated and null ids included (rows are told apart by
-id and text); extra columns are left alone; an empty benchmark leaves all
-documents clean.
+id and text); items without an id count as one item, null in the list; extra
+columns are left alone; an empty benchmark leaves all documents clean; a text of
+any length is worked on whole, and its windows are rows only if a fingerprint was found.
 """
 
 from __future__ import annotations
@@ -24,15 +22,13 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import written
+from lodestar.llm.shared import freed, written
 
 WINDOW = 10
 GRAM = 4
 GUARD = WINDOW - GRAM + 1
-#: Rows of the benchmark side that may be broadcast (under 100 bytes each).
+#: Rows of an item's fingerprints (24 bytes each) that may be broadcast; beyond, the same join shuffles both sides.
 BROADCAST_ROWS = 500_000
-#: Short items whose longest words may stand in the plan.
-ANCHORS = 2_000
 
 #: Everything below 0x80 but digits and small letters.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,73 +51,78 @@ def _hashes(words: Column) -> Column:
 
 
 def _least(hashes: Column) -> Column:
-    """The least of each GUARD consecutive hashes, once each."""
+    """The least of each GUARD consecutive hashes as (print, at), the first of equals, once each; at: the number (from 0) of the gram."""
     n = F.size(hashes) - GUARD + 1
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(hashes, i + j) for j in range(GUARD)])))
+    return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.struct(F.get(hashes, i + j).alias("print"), (i + j).alias("at")) for j in range(GUARD)])))
 
 
 def fingerprints(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., n_words, prints) for rows with ``text``."""
+    """(keep..., n_words, prints) for rows with ``text``; prints: array of (print, at)."""
     words = rows.select(*keep, words_of(F.col("text")).alias("words"))
     hashed = words.select(*keep, F.size("words").cast("long").alias("n_words"), _hashes(F.col("words")).alias("hashes"))
     return hashed.select(*keep, "n_words", _least(F.col("hashes")).alias("prints"))
 
 
-def _places(words: Column, size: int) -> Column:
-    """(first, size, gram) of each run of ``size`` words."""
-    return F.transform(_runs(words, size), lambda i: F.struct(i.alias("first"), F.lit(size).alias("size"), F.array_join(F.slice(words, i, size), " ").alias("gram")))
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, as broadcast if its rows, all of numbers, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _matching(words: Column, own: Column, least: Column) -> Column:
+    """(first, past), from 0, of the longest stretches of ``least`` or more places at which the two arrays of words are equal."""
+    n = F.least(F.size(words), F.size(own))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    breaks = F.concat(F.array(F.lit(-1)), F.filter(places, lambda i: F.get(words, i) != F.get(own, i)), F.array(n))
+    stretches = F.transform(F.slice(breaks, F.lit(1), F.size(breaks) - 1), lambda x, k: F.struct((x + 1).alias("first"), F.get(breaks, k + 1).alias("past")))
+    return F.filter(stretches, lambda r: r["past"] - r["first"] >= least)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(base, hits): base has key, doc_id, n_words for each row; hits has key, doc_id, first, past, item_id."""
+    """(base, hits): base has key, doc_id, n_words for each row; hits has key, doc_id, first, past (from 1), item_id: the longest stretches of an item's words."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     base = written(fingerprints(keyed, "key", "doc_id"), "prints")
 
-    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct(), "items")
-    whole = F.size("words") >= WINDOW
-    windows = items.select("item_id", F.when(whole, WINDOW).otherwise(F.size("words")).alias("size"), "words")
-    grams = windows.select("item_id", "size", F.explode(F.when(whole, F.transform(_runs(F.col("words"), WINDOW), lambda i: F.slice("words", i, WINDOW))).otherwise(F.array("words"))).alias("words"))
-    grams = written(grams.select("item_id", "size", F.array_join("words", " ").alias("gram")).distinct(), "windows")
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # WINDOW values at most
-    n_grams = grams.count()
-
-    prints = items.where(whole).select("item_id", _hashes(F.col("words")).alias("hashes")).select("item_id", F.explode(_least(F.col("hashes"))).alias("print")).distinct()
-    pairs = base.select("key", "doc_id", F.explode("prints").alias("print")).join(_small(prints, n_grams), "print").select("key", "doc_id", "item_id").distinct()
-
-    short = items.where(~whole)
-    if any(size < WINDOW for size in sizes):
-        pairs = pairs.unionByName(_short_pairs(keyed, short))
-    pairs = written(pairs, "candidates")
-
-    found = keyed.join(pairs.select(F.col("key").alias("k"), F.col("doc_id").alias("d")).distinct(), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["key", "doc_id"])
-    found = found.select("key", "doc_id", words_of(F.col("text")).alias("words"))
-    places = found.select("key", "doc_id", F.explode(F.flatten(F.array(*[_places(F.col("words"), size) for size in sizes or [WINDOW]]))).alias("place")).select("key", "doc_id", "place.*")
-    matched = places.join(_small(grams.withColumnRenamed("size", "item_size"), n_grams), "gram").where("size = item_size")
-    hits = matched.select("key", "doc_id", F.col("first"), (F.col("first") + F.col("size")).alias("past"), "item_id")
-    return base.select("key", "doc_id", "n_words"), hits
-
-
-def _short_pairs(keyed: DataFrame, short: DataFrame) -> DataFrame:
-    """Documents that hold the longest word of an item shorter than a window."""
-    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchors = short.select("item_id", longest.alias("word"))
-    distinct = anchors.select("word").distinct()
-    few = [r["word"] for r in distinct.limit(ANCHORS + 1).collect()]
-    words = keyed.select("key", "doc_id", words_of(F.col("text")).alias("words"))
-    if len(few) <= ANCHORS:
-        words = words.where(F.arrays_overlap("words", F.array(*map(F.lit, few))))
-    return words.select("key", "doc_id", F.explode(F.array_distinct("words")).alias("word")).join(anchors, "word").select("key", "doc_id", "item_id").distinct()
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    items = written(items.withColumns({"item": F.monotonically_increasing_id(), "size": F.size("words")}), "items")
+    whole = items.where(F.col("size") >= WINDOW)
+    prints = whole.select("item", "size", F.explode(_least(_hashes(F.col("words")))).alias("p")).select("item", "size", "p.print", F.col("p.at").alias("item_at"))
+    prints = written(prints, "item-prints")
+
+    # a fingerprint that both have puts the item's words on a place in the document; fingerprints of one placing agree
+    seen = base.select("key", "doc_id", F.explode("prints").alias("p")).select("key", "doc_id", "p.print", "p.at")
+    placed = seen.join(_bounded(prints), "print").select("key", "doc_id", "item", "size", (F.col("at") - F.col("item_at")).alias("begin"))
+    short = _short_places(keyed, items.where(F.col("size") < WINDOW))
+    placed = written(placed.unionByName(short).distinct(), "places")
+    freed(prints)
+
+    # each placing is extended both ways: the document's words there against the item's
+    place = F.struct("item", "size", "begin")
+    by_document = placed.groupBy("key", "doc_id").agg(F.collect_set(place).alias("places")).withColumnsRenamed({"key": "k", "doc_id": "d"})
+    texts = keyed.join(by_document, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["key", "doc_id"])
+    there = texts.select("key", "doc_id", words_of(F.col("text")).alias("text_words"), "places").select("key", "doc_id", "text_words", F.explode("places").alias("p"))
+    # from the item's first word that lies in the text; a slice of the item's length only
+    lost = F.greatest(F.lit(0), -F.col("p.begin"))
+    part = F.slice("text_words", F.greatest(F.lit(0), F.col("p.begin")) + 1, F.col("p.size") - lost)
+    parts = there.select("key", "doc_id", "p.item", "p.begin", lost.alias("lost"), part.alias("part"))
+    told = parts.join(items.select("item", "item_id", "size", "words"), "item")
+    own = F.slice("words", F.col("lost") + 1, F.col("size"))
+    stretches = told.select("key", "doc_id", "item_id", (F.col("begin") + F.col("lost") + 1).alias("at"), F.explode(_matching(F.col("part"), own, F.least("size", F.lit(WINDOW)))).alias("s"))
+    return base.select("key", "doc_id", "n_words"), stretches.select("key", "doc_id", (F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.past")).alias("past"), "item_id")
+
+
+def _short_places(keyed: DataFrame, short: DataFrame) -> DataFrame:
+    """(key, doc_id, item, size, begin): where a document holds the longest word of an item shorter than a window."""
+    longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))))
+    anchors = short.select("item", "size", longest["w"].alias("word"), longest["i"].alias("item_at"))
+    words = keyed.select("key", "doc_id", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
+    return words.join(anchors, "word").select("key", "doc_id", "item", "size", (F.col("at") - F.col("item_at")).alias("begin"))
 
 
 def spans_by_document(hits: DataFrame) -> DataFrame:
     """(key, doc_id, n_hit, items, spans): hits of a document merged, bounded by its length."""
-    places = hits.groupBy("key", "doc_id", "first").agg(F.max("past").alias("past"), F.collect_set("item_id").alias("items"))
-    rows = places.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    places = hits.groupBy("key", "doc_id", "first").agg(F.max("past").alias("past"), F.collect_set(F.struct("item_id")).alias("items"))
+    rows = places.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items")))["item_id"].alias("items"))
     covered = F.aggregate(
         "places",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -136,7 +137,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = spans_by_document(hits).withColumnsRenamed({"key": "k", "doc_id": "d"})
     done = base.join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return done.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,past:int>>")).alias("spans"), F.col("n_hit").isNotNull().alias("contaminated")
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,past:int>>")).alias("spans"), F.col("n_hit").isNotNull().alias("contaminated")
     )
 
 

@@ -25,13 +25,14 @@ the scan is a map without a shuffle.
 
 Defined cases: null texts match nothing; texts under five words match one-line
 wordings only; rows stay as they are, repeated or null ids included; an empty
-input gives no rows.
+input gives no rows; a text of many notices takes time in proportion to them.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestar.llm.arrowtext import Words, chunks, mix, sliding_min
+from lodestar.llm.shared import bounded_batches
 
 WORDS = 5
 LEAST_CONTAINED = 0.8
@@ -233,27 +235,33 @@ class Templates:
         """(template, first word, past word, containment) in a text's shingles in order; of overlapping places of a template the best, then the first."""
         found: dict[int, list[tuple[float, int, int]]] = {}
         possible = self.possible(np.unique(hashes[self.touched(hashes)]))
+        inside: dict[int, np.ndarray] = {}  # places of a template's shingles, and of its marks: one pass a template
+        marked: dict[int, list[np.ndarray]] = {}
         for size in sorted({len(self.sets[i]) for i in possible}):
             table = self.sizes[size]
             width, step = min(size, len(hashes)), max(1, size // 8)
             starts = np.unique(np.append(np.arange(0, len(hashes) - width + 1, step), len(hashes) - width))
             keys = _bands([sliding_min(mix(hashes ^ k), width)[starts] for k in _KEYS])
             near = self.keys[size][np.minimum(np.searchsorted(self.keys[size], keys), len(self.keys[size]) - 1)] == keys
-            for band, at in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                for template in table[int(keys[band, at])]:
-                    if template not in possible:
-                        continue
-                    low, high = max(0, int(starts[at]) - step), min(len(hashes), int(starts[at]) + width + step)
-                    inside = np.flatnonzero(np.isin(hashes[low:high], self.sets[template]))
-                    share = len(np.unique(hashes[low:high][inside])) / size
-                    if share >= LEAST_CONTAINED and all(np.isin(mark, hashes[low:high]).any() for mark in self.marks[template]):
-                        found.setdefault(template, []).append((-share, low + int(inside[0]), low + int(inside[-1]) + WORDS))
+            bands, ats = np.nonzero(near)
+            hits = {(template, at) for key, at in set(zip(keys[bands, ats].tolist(), ats.tolist(), strict=True)) for template in table[int(key)] if template in possible}
+            for template, at in sorted(hits):
+                if template not in inside:
+                    inside[template] = np.flatnonzero(np.isin(hashes, self.sets[template]))
+                    marked[template] = [np.flatnonzero(np.isin(hashes, mark)) for mark in self.marks[template]]
+                low, high = max(0, int(starts[at]) - step), min(len(hashes), int(starts[at]) + width + step)
+                a, b = np.searchsorted(inside[template], [low, high])
+                held = inside[template][a:b]
+                share = len(np.unique(hashes[held])) / size
+                if share >= LEAST_CONTAINED and all(np.searchsorted(m, low) < np.searchsorted(m, high) for m in marked[template]):
+                    found.setdefault(template, []).append((-share, int(held[0]), int(held[-1]) + WORDS))
         out = []
         for template, places in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # apart, in order
             for share, first, past in sorted(set(places)):
-                if all(past <= a or b <= first for a, b in taken):
-                    taken.append((first, past))
+                at = bisect_left(taken, (first, past))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or past <= taken[at][0]):
+                    taken.insert(at, (first, past))
                     out.append((template, first, past, -share))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
@@ -333,16 +341,17 @@ def best_of(found: list[tuple[int, int, int, float, int, np.ndarray]]) -> list[t
 
     Better is more shingles found less those missing; a match goes if better ones hold half of its words.
     """
-    kept, taken = [], np.zeros(0, np.int64)
+    kept, taken = [], np.zeros(max((int(x[5][-1]) + 1 for x in found if len(x[5])), default=0), bool)
     for template, first, past, share, size, words in sorted(found, key=lambda x: (round(x[4] - 2 * x[4] * x[3]), x[1], x[2], x[0])):
-        if 2 * np.isin(words, taken).sum() < len(words):
+        if 2 * int(taken[words].sum()) < len(words):
             kept.append((template, first, past, share))
-            taken = np.union1d(taken, words)
+            taken[words] = True
     return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = CATALOGUE, key: str = "doc_id", wordings: dict[str, str] = NAMES) -> DataFrame:
     """(key, licenses, matches) for each row: license names in order of text, and (license, template, first, past, containment) by words."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((list(templates), dict(wordings)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

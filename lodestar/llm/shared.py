@@ -1,52 +1,15 @@
-"""Where intermediate tables go, and the tables' readers."""
+"""Intermediate tables of the operators, the bound on Arrow batches, and the tables' reader."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.sources.work import freed, shared_dir, work_path, written
+
+__all__ = ["BATCH_BYTES", "bounded_batches", "freed", "shared_dir", "table", "work_path", "written"]
+
 #: Bytes of an Arrow batch; a longer row forms a batch of its own.
 BATCH_BYTES = 4 << 20
-#: Folders of ``work_path``.
-_OURS = re.compile("/lodestar/[a-z-]+-[0-9a-f]{32}$")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset: in local mode a temporary one, set for the session; on a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: cuts the lineage and outlives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def freed(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing yet to be computed reads; files that are no such tables stay."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            if _OURS.search(folder):
-                path = context._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

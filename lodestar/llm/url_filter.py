@@ -26,7 +26,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import written
+from lodestar.llm.shared import freed, written
 
 #: Characters of the longest context.
 ORDER = 4
@@ -64,10 +64,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def _grams(text: Column) -> Column:
-    """Each character with the ORDER before it."""
-    padded = F.concat(F.lit(_PAD), text)
-    n = F.length(text)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, ORDER + 1))).otherwise(F.array().cast("array<string>"))
+    """Each character with the ORDER before it; cut into characters once, so that time grows with the text's length only."""
+    letters = F.concat(F.lit([*_PAD]), F.filter(F.split(text, ""), lambda x: x != ""))
+    n = F.size(letters) - len(_PAD)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(letters, i, ORDER + 1), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def gram_model(grams: DataFrame) -> DataFrame:
@@ -103,14 +103,16 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, key:
     ruled = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).select(
         F.col(key).alias("id"), "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("told"), F.coalesce("url", F.lit("")).alias("url")
     )
-    distinct = ruled.groupBy("url", "told").agg(F.count("*").alias("n"))
-    grams = distinct.select("url", "told", "n", F.explode(_grams(F.col("url"))).alias("gram"))
+    # a number stands for each distinct url on the rows of its characters
+    distinct = written(ruled.groupBy("url", "told").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "urls")
+    grams = distinct.select("number", "told", "n", F.explode(_grams(F.col("url"))).alias("gram"))
     counts = written(grams.groupBy("gram").agg(F.sum(F.when(F.col("told") == "allow", F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("told") == "block", F.col("n")).otherwise(0)).alias("bad")), "url-grams")
     model = gram_model(counts)
-    sums = grams.join(model, "gram").groupBy("url", "told").agg(F.sum("ratio").alias("sum"))
-    scores = written(sums, "url-scores")
+    sums = grams.join(model, "gram").groupBy("number").agg(F.sum("ratio").alias("sum"))
+    scores = written(distinct.join(sums, "number").select("url", "told", "n", "sum"), "url-scores")
+    freed(counts, distinct)
     per_character = F.col("sum") / F.greatest(F.length("url"), F.lit(1)) / MICRO
-    told = scores.where("told IS NOT NULL").join(distinct.where("told IS NOT NULL").select("url", "n"), "url")
+    told = scores.where("told IS NOT NULL")
     # two totals of whole numbers for each kind
     means = {r["told"]: r["mean"] for r in told.select("told", "n", F.round(per_character * MICRO).cast("long").alias("s")).groupBy("told").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
     threshold = sum(means.get(kind, 0.0) for kind in ("allow", "block")) / 2 / MICRO

@@ -20,18 +20,19 @@ least id; an empty table gives no records; extra columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import work_path
+from lodestar.llm.shared import bounded_batches, work_path
 
 LEAST_REVISIT = 100
-#: Records of an archive file at most.
-RECORDS = 2_000
+#: Folders of archives by bytes of the payload: (name, from, below, records of a file). So files are read whole and stay under 512 MB, or one payload's size.
+SIZES = [("small", 0, 256 << 10, 2_000), ("large", 256 << 10, 8 << 20, 64), ("huge", 8 << 20, 1 << 62, 1)]
 #: Parts that the rows of one payload are dealt to.
 SALTS = 32
 #: Bytes given to zlib at once.
@@ -39,6 +40,7 @@ PIECE = 64 << 10
 
 #: Fixed names of the format.
 VERSION = b"WARC/1.1"
+DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
@@ -50,50 +52,60 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of a response or revisit record; a revisit has no payload but names its length and digest."""
+def _one_line(url: str) -> str:
+    return "".join(c if c.isprintable() else " " for c in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None = None) -> bytes:
+    """The bytes of a response or revisit record with an id of its own; a revisit has no payload but names its length and digest, and the URL and date of the response."""
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
-    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}:{digest}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Length", str(len(payload)))]
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Length", str(len(payload)))]
     if url is not None:
-        headers.append(("WARC-Target-URI", "".join(c if c.isprintable() else " " for c in url)))
+        headers.append(("WARC-Target-URI", _one_line(url)))
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>"), ("X-Refers-To-Page", str(refers_to))]
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page", str(refers_to))]
+        if refers_to_url is not None:
+            headers += [("WARC-Refers-To-Target-URI", _one_line(refers_to_url)), ("WARC-Refers-To-Date", DATE)]
     headers.append(("Content-Length", str(len(block))))
     head = b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in headers)])
     return head + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_references(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): a payload's rows are dealt to SALTS parts, so none gathers them all."""
+def with_references(pages: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to, refers_to_url): a payload's rows are dealt to SALTS parts, so none gathers them all; ``wanted`` picks rows."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
-    firsts = narrow.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    rows = (pages if wanted is None else pages.where(wanted)).select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    narrow = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
+    firsts = narrow.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     dealt = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = salted.join(dealt, ["digest", "salt"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_to_url"))
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages`` (page_id, url, html) under ``path``."""
+    """Archives of ``pages`` (page_id, url, html) under ``path``, in a folder for each of ``SIZES``: of large payloads an archive holds few."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = zip(*(batch.slice(at, 256).column(i).to_pylist() for i in range(5)), strict=True)
+                rows = zip(*(batch.slice(at, 256).column(i).to_pylist() for i in range(6)), strict=True)
                 out = []
-                for page_id, url, payload, digest, refers_to in rows:
-                    packed = member(record(page_id, url, payload, digest, refers_to))
+                for row in rows:
+                    packed = member(record(*row))
                     out.append(packed if packed[-1] == 0 else packed + _EMPTY_MEMBER)
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], ["value"])
 
-    members = with_references(pages).mapInArrow(run, "value binary")
-    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS).text(path)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    for name, low, high, records in SIZES:
+        rows = with_references(pages, (size >= low) & (size < high))
+        members = rows.mapInArrow(run, "value binary")
+        members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(f"{path}/{name}")
 
 
 def members_of(archive: bytes) -> Iterator[bytes]:
@@ -160,7 +172,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield _batch(rows, kinds, names)
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    bounded_batches(spark)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path).select("content")
     return archives.mapInArrow(run, schema)
 
 
