@@ -64,10 +64,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def _grams(text: Column) -> Column:
-    """Each character with the ORDER before it; cut into characters once, so that time grows with the text's length only."""
+    """Each character with the ORDER before it; the text is cut into characters once and held as a variable, so that time grows with its length only."""
     letters = F.concat(F.lit([*_PAD]), F.filter(F.split(text, ""), lambda x: x != ""))
-    n = F.size(letters) - len(_PAD)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(letters, i, ORDER + 1), ""))).otherwise(F.array().cast("array<string>"))
+
+    def runs(held: Column) -> Column:
+        n = F.size(held) - len(_PAD)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(*[F.get(held, i + j) for j in range(ORDER + 1)]))
+
+    return F.flatten(F.transform(F.array(letters), runs))
 
 
 def gram_model(grams: DataFrame) -> DataFrame:
