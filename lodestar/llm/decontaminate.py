@@ -47,14 +47,17 @@ def _runs(words: Column, size: int) -> Column:
 
 
 def _hashes(words: Column) -> Column:
-    return F.transform(_runs(words, GRAM), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
+    return F.transform(_runs(words, GRAM), lambda i: F.xxhash64(*[F.get(words, i + j - 1) for j in range(GRAM)]))
 
 
 def _least(hashes: Column) -> Column:
     """The least of each GUARD consecutive hashes as (print, at), the first of equals, once each; at: the number (from 0) of the gram."""
     n = F.size(hashes) - GUARD + 1
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.struct(F.get(hashes, i + j).alias("print"), (i + j).alias("at")) for j in range(GUARD)])))
+    least = F.transform(starts, lambda i: F.least(*[F.struct(F.get(hashes, i + j).alias("print"), (i + j).alias("at")) for j in range(GUARD)]))
+    # places never go back, so that equal ones stand side by side
+    once = lambda held: F.filter(held, lambda x, k: (k == 0) | (x["at"] != F.get(held, k - 1)["at"]))
+    return F.flatten(F.transform(F.array(least), once))
 
 
 def fingerprints(rows: DataFrame, *keep: str) -> DataFrame:
@@ -92,8 +95,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     # a fingerprint that both have puts the item's words on a place in the document; fingerprints of one placing agree
     seen = base.select("key", "doc_id", F.explode("prints").alias("p")).select("key", "doc_id", "p.print", "p.at")
     placed = seen.join(_bounded(prints), "print").select("key", "doc_id", "item", "size", (F.col("at") - F.col("item_at")).alias("begin"))
-    short = _short_places(keyed, items.where(F.col("size") < WINDOW))
-    placed = written(placed.unionByName(short).distinct(), "places")
+    short = items.where(F.col("size") < WINDOW)
+    if not short.isEmpty():
+        placed = placed.unionByName(_short_places(keyed, short))
+    placed = written(placed.distinct(), "places")
     freed(prints)
 
     # each placing is extended both ways: the document's words there against the item's
