@@ -17,20 +17,6 @@ def rank_percentile(value: Column, share: float) -> Column:
     return F.element_at(ordered, (F.bround(F.lit(share) * (F.count(value) - 1)) + 1).cast("int"))
 
 
-def rank_percentile_by(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
-    """One row: as ``rank_percentile`` over all rows, from counts by distinct value instead of a list of all values."""
-    from pyspark.sql import Window as W
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rank = round(share * (total - 1))
-    # ranges of the values give each value's rank: sums by range first, so that no task sees all values
-    ranged = counts.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "before")
-    placed = ranged.join(F.broadcast(sums), "_p").withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("_p").orderBy(value)))
-    return placed.where(F.col("upto") > rank).agg(F.min(value).alias(name))
-
-
 def confusion(rows: DataFrame, target: str = "target", predicted: str = "predicted") -> DataFrame:
     """(target, predicted, n), a row for each pair that occurs."""
     return rows.groupBy(target, predicted).agg(F.count("*").alias("n"))

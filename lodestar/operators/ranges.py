@@ -27,6 +27,16 @@ def _before(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.withColumn("_before", F.coalesce(F.sum("_s").over(order), F.lit(0)))
 
 
+def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., value, n, _upto): each distinct value that is not null, how many values its key has, and how many up to it."""
+    held = df.where(F.col(value).isNotNull())
+    counts = held.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_range", range_of(held, value))
+    sums = _before(counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s")), keys)
+    totals = sums.groupBy(*keys).agg(F.sum("_s").alias("n"))
+    told = _same(_same(counts, sums, [*keys, "_range"]), totals, list(keys))
+    return told.withColumn("_upto", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy(value)))
+
+
 def percentiles_by(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(keys..., n, and a column for each of ``shares``): linear percentiles of the values that are not null, exact.
 
@@ -34,13 +44,7 @@ def percentiles_by(df: DataFrame, keys: Sequence[str], value: str, shares: dict[
     ranges and of the smaller values of its own. Without keys there is one row,
     also for no values.
     """
-    held = df.where(F.col(value).isNotNull())
-    counts = held.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_range", range_of(held, value))
-    sums = _before(counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s")), keys)
-    totals = sums.groupBy(*keys).agg(F.sum("_s").alias("n"))
-    told = _same(_same(counts, sums, [*keys, "_range"]), totals, list(keys))
-    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy(value))
-    placed = told.withColumn("_upto", upto)
+    placed = _ranked(df, keys, value)
     aggregates = [F.max("n").alias("n")]
     for name, share in shares.items():
         place = F.lit(share) * (F.col("n") - 1)
@@ -55,6 +59,12 @@ def percentiles_by(df: DataFrame, keys: Sequence[str], value: str, shares: dict[
     return done.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), *outs)
 
 
+def rank_percentile_by(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """(keys..., name): the value at rank round(share (n - 1)), halves to even; without keys one row, null for no values."""
+    rank = F.bround(F.lit(share) * (F.col("n") - 1))
+    return _ranked(df, keys, value).where(F.col("_upto") > rank).groupBy(*keys).agg(F.min(value).alias(name))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """An inner join on keys that may be null; without keys, with the one row on the right."""
     if not keys:

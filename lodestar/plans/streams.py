@@ -104,7 +104,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT value AS p95 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i = round_even(0.95 * (n - 1), 0)::BIGINT")
 def rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rank_percentile_by(read(spark, sf_dir, "events"), "value", 0.95, "p95")
+    return ranges.rank_percentile_by(read(spark, sf_dir, "events"), [], "value", 0.95, "p95")
 
 
 @query("""SELECT round(max(abs(l_discount - round(l_discount, 1)))::DOUBLE, 9) AS max_diff, round(avg(abs(l_discount - round(l_discount, 1)))::DOUBLE, 9) AS mean_diff, avg((l_discount = round(l_discount, 1))::INT) AS agreement FROM lineitem""")
