@@ -123,5 +123,6 @@ s AS (SELECT event_id, [x.score FOR x IN scores] AS v, scores FROM r WHERE i > 0
 SELECT event_id, scores[list_position(v, list_max(v))].label AS leader, round(list_max(v) / list_sum(v), 6) AS share FROM s""")
 def leading_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading label of each user after each event, and its share."""
-    done = machines.fused(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type"), F.col("value"))
-    return done.select("event_id", "leader", F.round("share", 6).alias("share"))
+    done = machines.fused(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type"), F.col("value"), quotient=True)
+    # SQL rounds the product as a float; Spark's round at six digits goes by the decimal form
+    return done.select("event_id", "leader", (F.round(F.col("share") * 1e6) / 1e6).alias("share"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import machines
+from lodestar.plans import SQL as plans_sql
 from lodestar.plans import machines as plans
 from lodestar.streaming import stateful
 
@@ -79,6 +80,26 @@ def test_queue_and_votes():
     assert steps(machines.Votes(), [("a", 0.0)]) == [("a", 0.0)]
 
 
+def events_table(spark, path, rows):
+    """A table of events (event_id, minute, user_id, event_type, value) and a connection that sees it."""
+    import duckdb
+
+    frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    frame.select("event_id", F.timestamp_seconds(F.col("s") * 60).cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return duck
+
+
+def test_leading_label_of_nothing_and_of_ties(spark, tmp_path):
+    """Scores that sum to 0 give SQL's nan; shares between two roundings (0.5203125) are rounded as SQL does."""
+    rows = [(1, 1, 1, "view", 0.0), (2, 2, 1, "click", 0.0), (3, 3, 1, "view", 2.0), (4, 1, 2, "view", 4.44), (5, 2, 2, "click", 3.07), (6, 1, 3, "view", 12.68), (7, 2, 3, "error", 9.69)]
+    duck = events_table(spark, tmp_path, rows)
+    got = sorted(map(tuple, plans.leading_label(spark, str(tmp_path)).select("event_id", "leader", "share").collect()))
+    assert list(map(repr, got)) == list(map(repr, sorted(duck.execute(plans_sql["leading_label"]).fetchall())))
+    assert [str(r[2]) for r in got] == ["nan", "nan", "1.0", "1.0", "0.520312", "1.0", "0.504687"]
+
+
 def test_queries_show_every_outcome(spark, small):
     found = {r.outcome: r.n for r in plans.registry_admissions(spark, "/root/testdata/sf0.01").groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     assert set(found) == {"admitted", "replaced", "refused", "taken", "left", "stale"}
