@@ -102,10 +102,9 @@ UNION ALL SELECT e.user_id, e.i, message IS NOT NULL, CASE WHEN message IS NULL
 SELECT user_id, count(*) FILTER (WHERE sent) AS sent, count(taken) AS taken, count(dropped) AS dropped, sum(taken)::BIGINT AS taken_sum, sum(dropped)::BIGINT AS dropped_sum FROM r WHERE i > 0 GROUP BY user_id""")
 def queue_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of a topic to the queues of its users: how many each took, and how many were dropped as the oldest of a full queue."""
-    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("user_id") % 50).alias("topic"))
+    rows = read(spark, sf_dir, "events").where("user_id IS NOT NULL").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("user_id") % 50).alias("topic"))
     sent = rows.where("event_type = 'purchase'").select("topic", "at", F.col("event_id").alias("message"))
-    done = machines.delivered(sent, rows.select("topic", "user_id").distinct(), rows.where("event_type IN ('view', 'click')").select("user_id", "at"), "topic", "user_id")
-    return done.groupBy("user_id").agg(F.count("message").alias("sent"), F.count("taken").alias("taken"), F.count("dropped").alias("dropped"), F.sum("taken").alias("taken_sum"), F.sum("dropped").alias("dropped_sum"))
+    return machines.delivery_totals(sent, rows.select("topic", "user_id"), rows.where("event_type IN ('view', 'click')").select("topic", "user_id", "at"), "topic", "user_id")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS tick, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 6 HOURS, ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

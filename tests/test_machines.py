@@ -100,6 +100,24 @@ def test_leading_label_of_nothing_and_of_ties(spark, tmp_path):
     assert [str(r[2]) for r in got] == ["nan", "nan", "1.0", "1.0", "0.520312", "1.0", "0.504687"]
 
 
+def test_queue_drops_copies_no_message(spark, tmp_path):
+    """Totals are those of the queues, step by step and by SQL, with equal times; and no message is joined to the users of its topic."""
+    import random
+
+    dice = random.Random(5)
+    rows = [(i, dice.randrange(60), dice.choice([0, 1, 50, 51, 100, 101, 150, 52, 202]), dice.choices(["view", "click", "purchase", "error"], [2, 1, 3, 1])[0], 1.0) for i in range(400)]
+    rows += [(1000, 5, 3, "error", 1.0), (1001, 5, 4, "view", 1.0), (1002, 5, 6, "purchase", 1.0), (1003, 5, 7, "purchase", 1.0), (1004, 5, 7, "purchase", 1.0), (1005, 6, 7, "purchase", 1.0), (1006, 6, None, "purchase", 1.0), (1007, 6, None, "view", 1.0)]
+    duck = events_table(spark, tmp_path, rows)
+    done = plans.queue_drops(spark, str(tmp_path))
+    got = {tuple(r) for r in done.collect()}
+    assert got == set(duck.execute(plans_sql["queue_drops"]).fetchall()) and len(got) == 12
+    events = spark.createDataFrame(rows, "message long, at long, user long, kind string, value double").where("user IS NOT NULL").withColumn("topic", F.col("user") % 50)
+    queues = machines.delivered(events.where("kind = 'purchase'"), events.select("topic", "user").distinct(), events.where("kind IN ('view', 'click')"), "topic", "user")
+    counts = queues.groupBy("user").agg(*[F.count(c) for c in ("message", "taken", "dropped")], *[F.sum(c) for c in ("taken", "dropped")])
+    assert {tuple(r) for r in counts.collect()} == got
+    assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_queries_show_every_outcome(spark, small):
     found = {r.outcome: r.n for r in plans.registry_admissions(spark, "/root/testdata/sf0.01").groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     assert set(found) == {"admitted", "replaced", "refused", "taken", "left", "stale"}
