@@ -132,6 +132,46 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
+def assignments(cost: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``assignment`` of many problems at once: the row of each column, -1 for none.
+
+    ``cost`` is (problem, row, column). Problem k has ``rows[k]`` rows and at least as many columns; cells beyond its own columns are inf.
+    """
+    problems, n, m = cost.shape
+    row_price, column_price = np.zeros((problems, n)), np.zeros((problems, m))
+    owner = np.full((problems, m), -1)
+    for row in range(n):
+        who = np.flatnonzero(rows > row)
+        reach, parent, done = np.full((len(who), m), np.inf), np.full((len(who), m), -1), np.zeros((len(who), m), bool)
+        at, column, far = np.full(len(who), row), np.full(len(who), -1), np.zeros(len(who))
+        live = np.arange(len(who))
+        while live.size:
+            k, i = who[live], at[live]
+            through = far[live, None] + cost[k, i] - row_price[k, i, None] - column_price[k]
+            was, taken = reach[live], done[live]
+            better = ~taken & (through < was)
+            was = np.where(better, through, was)
+            reach[live], parent[live] = was, np.where(better, column[live, None], parent[live])
+            j = np.where(taken, np.inf, was).argmin(1)
+            far[live], column[live] = was[np.arange(len(j)), j], j
+            done[live, j] = True
+            at[live] = owner[k, j]
+            live = live[at[live] >= 0]
+        change = np.where(done, far[:, None] - reach, 0.0)
+        k, j = np.nonzero(done & (owner[who] >= 0))
+        row_price[who[k], owner[who[k], j]] += change[k, j]
+        column_price[who] -= change
+        row_price[who, row] += far
+        live = np.arange(len(who))
+        while live.size:
+            k, j = who[live], column[live]
+            before = parent[live, j]
+            owner[k, j] = np.where(before >= 0, owner[k, before], row)
+            column[live] = before
+            live = live[before >= 0]
+    return owner
+
+
 def prototypes(vectors: DataFrame, label: str, vector: str, digits: int = 9) -> DataFrame:
     """(label, prototype): the mean vector of each label, rounded, at unit length. One partial aggregate for each element."""
     cells = vectors.select(label, F.posexplode(vector).alias("i", "v"))

@@ -269,6 +269,54 @@ def test_tracks_over_batches(spark):
     assert got == sorted(want)
 
 
+def test_assignments_of_many_problems():
+    """Problems of all shapes together, with many ties and pairs outside the gate, each as by itself."""
+    dice = np.random.default_rng(4)
+    costs = [np.where(dice.random((n, m)) < 0.2, 1e6, dice.integers(0, 4, (n, m)) / 3) for _ in range(60) for n, m in [dice.integers(1, 7, 2)]]
+    costs = [c if c.shape[0] <= c.shape[1] else c.T for c in costs]
+    block = np.full((len(costs), 6, 6), np.inf)
+    for c, cells in zip(costs, block, strict=True):
+        cells[: c.shape[0], : c.shape[1]] = c
+    owner = matching.assignments(block, np.array([len(c) for c in costs]))
+    assert [[(i, j) for j, i in enumerate(o) if i >= 0] for o in owner.tolist()] == [sorted(matching.assignment(c), key=lambda p: p[1]) for c in costs]
+
+
+@pytest.mark.parametrize("pairs, few", [(1 << 16, 3), (40, 1), (1, 5)])
+def test_trackers_in_step(monkeypatch, pairs, few):
+    """Keys of all lengths in step, also cut in the midst of a key, give what a tracker of each key gives: ids, hits and all that is carried on."""
+    monkeypatch.setattr(tracking, "PAIRS_AT_ONCE", pairs)
+    monkeypatch.setattr(tracking, "FEW", few)
+    dice = np.random.default_rng(6)
+    lengths = [*dice.integers(1, 9, 12), 60, 25]
+    sizes = [dice.integers(1, 7, n) for n in lengths]
+    corner = dice.integers(0, 8, (sum(map(sum, sizes)), 2)) * 30.0
+    boxes = np.hstack([corner, corner + 40])
+    boxes[::17] = np.nan
+    boxes[5::29, 2] = np.inf
+    frames = np.append(0, np.cumsum(np.concatenate(sizes)))
+    keys = np.append(0, np.cumsum(lengths))
+    want, trackers = [], []
+    for begin, end in zip(keys[:-1], keys[1:], strict=True):
+        trackers.append(tracking.Tracker())
+        for f in range(begin, end):
+            want += [x[:2] for x in trackers[-1].step(boxes[frames[f] : frames[f + 1]])]
+    cut = keys[-3] + 31  # amid the key of 60 frames
+    nothing = tracking.Tracks.of_one(0, [])
+    *first, tracks, last_id = tracking.steps(boxes[: frames[cut]], frames[: cut + 1], np.append(keys[:-2], cut), nothing, 0)
+    *second, tracks, last_id = tracking.steps(boxes[frames[cut] :], frames[cut:] - frames[cut], np.append(0, keys[-2:] - cut), tracks, last_id)
+    assert [tuple(x) for part in (first, second) for x in zip(*map(np.ndarray.tolist, part), strict=True)] == want
+    told = lambda t: repr((int(t.id), t.box.tolist(), t.velocity.tolist(), int(t.hits), int(t.missed)))
+    assert list(map(told, tracks.as_list())) == list(map(told, trackers[-1].tracks)) and last_id == trackers[-1].last_id
+
+
+def test_tracks_of_equal_ids(spark):
+    """Boxes of one id in a frame go by their corners, however the rows come; null keys and frames are keys and frames."""
+    rows = [(k, f, 1, 30.0 * i, 0.0, 30.0 * i + 40, 40.0) for k in (None, 1, 2) for f in (None, 1, 2, 3) for i in range(4)]
+    schema = "key int, frame int, id int, x1 double, y1 double, x2 double, y2 double"
+    one, other = (sorted(map(tuple, tracking.tracked(spark.createDataFrame(r, schema).repartition(n), "key", "frame").collect()), key=repr) for r, n in ((rows, 1), (rows[::-1], 3)))
+    assert one == other == sorted([(k, f, 1, i + 1, h, h >= 3) for k in (None, 1, 2) for h, f in enumerate((None, 1, 2, 3), 1) for i in range(4)], key=repr)
+
+
 def test_hamming_pairs_at_every_distance(spark):
     rng = random.Random(9)
     codes = [(i, rng.getrandbits(63)) for i in range(150)]
