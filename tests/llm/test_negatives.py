@@ -77,3 +77,52 @@ def test_whole_table(spark, small, duck):
     rows = queries.op12_hard_negatives(spark, small)
     assert sorted(map(tuple, rows.collect())) == sorted(told)
     assert told
+
+
+def test_search_broadcasts_no_anchors(spark, monkeypatch):
+    """Files of anchors are far smaller than their rows, so a join chosen by file size would send all of these through the driver."""
+    plans = []
+
+    def seen(frame, name, write=negatives.written):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, name)
+
+    monkeypatch.setattr(negatives, "written", seen)
+    rng = random.Random(6)
+    rows = [(i, v, rng.randrange(3)) for i, v in enumerate(vectors(rng, 600, 4, 3.0))]
+    mined = negatives.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)
+    plans.append(mined._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_an_anchor_goes_once_to_a_shelf(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(negatives, "SHELVES", 8)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)], rng.randrange(3)) for i in range(1200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index = negatives.Index(frame, "vec_id", "embedding", "label")
+    placed = index.blocks.groupBy("list", "block").agg(F.count_distinct("shelf").alias("n"), F.max("shelf").alias("shelf")).collect()
+    assert {p.n for p in placed} == {1}
+    assert {p.shelf for p in placed} == set(range(len(index.shelves)))
+    assert all(p.list in index.shelves[p.shelf] for p in placed)
+    assert len(placed) > 2 * len(index.shelves)
+    one = np.full(16, 3, "<i2").tobytes()
+    state = spark.createDataFrame([(i, i, 0, one, 2, [(0, -(2**62), 2**62), (1, 5, 9)]) for i in range(300)], "uid long, id long, label long, vector binary, width int, windows array<struct<w: long, low: long, high: long>>")
+    asks = negatives._asks(state, index, 0, len(index.centroids)).groupBy("shelf", "uid").count().collect()
+    assert {a["count"] for a in asks} == {1}
+    assert len(asks) == 300 * len(index.shelves)
+
+
+@pytest.mark.parametrize("most", [2**8, 2**11, 2**20, 2**26, 2**40])
+def test_scores_are_exact(most):
+    rng = random.Random(most)
+    rows = [[[rng.randint(-most, most) for _ in range(d)] for _ in range(n)] for n, d in ((7, 5), (9, 5), (4, 3))]
+    packed = [(k, *(np.zeros(len(x), "<i8").tobytes() for _ in range(2)), np.array(x, "<i8").tobytes(), 8) for k, x in zip((2, 5), rows, strict=False)]
+    shelf = negatives._Shelf(np.array([2, 3, 5]), packed)
+    anchors = np.array(rows[2], np.int64)
+    for k, list_rows in ((0, rows[0]), (1, []), (2, rows[1])):
+        told = shelf.scores(anchors, negatives._norms(anchors).max(), k)
+        cut = 2**63 - 1
+        assert [[int(x) for x in row] for row in told] == [[max(-cut, min(cut, sum(a * b for a, b in zip(x, y, strict=False)))) for y in list_rows] for x in rows[2]]
