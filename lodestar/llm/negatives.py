@@ -55,12 +55,15 @@ CENTROID_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 500
 BLOCKS = 200
-#: Bytes of a shelf of blocks (at eight bytes a component), shelves that all rows should give at least if each has ``BLOCK_ROWS``.
-SHELF_BYTES = 64 << 20
+#: Bytes of a shelf of blocks (as stored), shelves that all rows should give at least if each has ``BLOCK_ROWS``.
+SHELF_BYTES = 32 << 20
 SHELVES = 64
-#: Anchors that are scored together, and candidates from which on the best of them are taken.
-PACK = 256
+#: Anchors and rows that are scored together, and candidates from which on the best of them are taken.
+PACK = 512
+TILE = 1024
 CANDIDATES = 50_000
+#: Labels of a pack up to which rows of its labels are scored one label at a time, others not at all.
+FEW_LABELS = 4
 #: Lists visited after each round.
 ROUNDS = (4, 16, 64)
 #: Results of a search, and the percent of a positive's score that a negative has at least.
@@ -172,14 +175,15 @@ class Index:
 
         told = rows.select(F.col(key).cast("long"), vector, F.col(label).cast("long")).mapInArrow(assign, "list int, distance double, id bigint, label bigint, vector binary, width int")
         assigned = written(told.withColumn("row", F.monotonically_increasing_id()), "assigned")
-        stats = assigned.groupBy("list").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()  # a row a list
+        stats = assigned.groupBy("list").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("width").alias("width")).collect()  # a row a list
         self.radii, self.counts, per_block = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
         size = max(1, min(BLOCK_BYTES // (8 * width), max(BLOCK_ROWS, n // BLOCKS)))
         for row in stats:
             self.radii[row["list"]], self.counts[row["list"]] = row["radius"], (blocks := -(-row["n"] // size))
             per_block[row["list"]] = row["n"] / blocks
         # blocks in the order of their lists, as many to a shelf as make up its rows
-        most, of_block = max(1, min(SHELF_BYTES // (8 * width), max(BLOCK_ROWS, n // SHELVES))), np.repeat(per_block, self.counts)
+        stored = width * max((row["width"] for row in stats), default=8)
+        most, of_block = max(1, min(SHELF_BYTES // stored, max(BLOCK_ROWS, n // SHELVES))), np.repeat(per_block, self.counts)
         shelf_of = np.unique((np.cumsum(of_block) - of_block) // most, return_inverse=True)[1].astype(np.int64)
         first, list_of = np.cumsum(self.counts) - self.counts, np.repeat(np.arange(len(centroids)), self.counts)
         self.shelves = [np.unique(x) for x in np.split(list_of, np.flatnonzero(np.diff(shelf_of)) + 1)]
@@ -272,7 +276,7 @@ def _asks(state: DataFrame, index: Index, begin: int, end: int) -> DataFrame:
 
 
 class _Shelf:
-    """The blocks of a shelf."""
+    """The blocks of a shelf, its rows by list and label."""
 
     def __init__(self, lists: np.ndarray, rows: list[tuple[int, bytes, bytes, bytes, int]]) -> None:
         """``rows``: (list, ids, labels, vectors, width), by list."""
@@ -284,16 +288,22 @@ class _Shelf:
         for p in parts:
             self.vectors[at : at + len(p), : p.shape[1]] = p
             at += len(p)
-        ends = np.searchsorted(np.repeat([row[0] for row in rows], sizes), lists, "right")
+        list_of = np.repeat([row[0] for row in rows], sizes)
+        order = np.lexsort((self.labels, list_of))
+        self.ids, self.labels, self.vectors = self.ids[order], self.labels[order], self.vectors[order]
+        ends = np.searchsorted(list_of, lists, "right")
         self.ranges = list(zip([0, *ends.tolist()], ends.tolist(), strict=False))
-        norms = _norms(self.vectors)
-        self.norms = [norms[a:b].max(initial=0) for a, b in self.ranges]
+        self.norms = _norms(self.vectors)
         self.as_floats: dict[type, np.ndarray] = {}
 
-    def scores(self, anchors: np.ndarray, norm: float, k: int) -> np.ndarray:
-        """Inner products of anchors, none longer than ``norm``, with the rows of the shelf's ``k``-th list; exact, as no sum of products is beyond the product of both lengths."""
-        a, b = self.ranges[k]
-        most = norm * self.norms[k]
+    def of_label(self, a: int, b: int, label: int) -> tuple[int, int]:
+        """The part of one list's range with a label."""
+        labels = self.labels[a:b]
+        return a + int(np.searchsorted(labels, label)), a + int(np.searchsorted(labels, label, "right"))
+
+    def scores(self, anchors: np.ndarray, norm: float, a: int, b: int) -> np.ndarray:
+        """Inner products of anchors, none longer than ``norm``, with the shelf's rows from ``a`` to before ``b``; exact, as no sum of products is beyond the product of both lengths."""
+        most = norm * self.norms[a:b].max(initial=0)
         if most >= 2.0**53:
             return _scores(anchors, self.vectors[a:b])
         kind = np.float32 if most < 2.0**24 else np.float64
@@ -350,13 +360,22 @@ def _hits_of(shelf: _Shelf, pack: pa.RecordBatch, same: bool, best: int) -> pa.R
         asking = np.flatnonzero(bits[:, k])
         if a == b or not len(asking):
             continue
-        scores = shelf.scores(anchors[asking], norms[asking].max(), k)
-        i, j = np.divmod(np.flatnonzero(scores >= found.lowest[asking].astype(scores.dtype)[:, None]), b - a)
-        who, row = asking[i], a + j
-        right = ((shelf.labels[row] == label[who]) == same) & (shelf.ids[row] != own_id[who])
-        waiting.append((who[right], shelf.ids[row[right]], scores[i[right], j[right]].astype(np.int64)))
-        if sum(len(x[0]) for x in waiting) > CANDIDATES:
-            settle()
+        parts = [(asking, a, b)]
+        if same and len(labels := np.unique(label[asking])) <= FEW_LABELS:
+            parts = [(asking[label[asking] == x], *shelf.of_label(a, b, x)) for x in labels]
+        for members, begin, end in parts:
+            for at in range(begin, end, TILE):
+                scores = shelf.scores(anchors[members], norms[members].max(), at, min(end, at + TILE))
+                low = found.lowest[members].astype(scores.dtype)
+                some = np.flatnonzero(scores.max(1) >= low)
+                if not len(some):
+                    continue
+                i, j = np.divmod(np.flatnonzero(scores[some] >= low[some, None]), scores.shape[1])
+                who, row = members[some[i]], at + j
+                right = ((shelf.labels[row] == label[who]) == same) & (shelf.ids[row] != own_id[who])
+                waiting.append((who[right], shelf.ids[row[right]], scores[some[i[right]], j[right]].astype(np.int64)))
+                if sum(len(x[0]) for x in waiting) > CANDIDATES:
+                    settle()
     settle()
     of = np.repeat(np.arange(len(n)), n)[found.window]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[of], w[found.window], found.id, found.score)], ["uid", "w", "id", "score"])
@@ -385,7 +404,7 @@ def _hits(asks: DataFrame, index: Index, same: bool, best: int) -> DataFrame:
                     yield _hits_of(shelf, batch.slice(at, min(PACK, b - at)), same, best)
 
     dealt = index.blocks.select("shelf", "list", "ids", "labels", "vectors", "width").unionByName(asks, allowMissingColumns=True)
-    dealt = dealt.repartitionById(max(1, len(index.shelves)), "shelf").sortWithinPartitions("shelf", "list")
+    dealt = dealt.repartitionById(max(1, len(index.shelves)), "shelf").sortWithinPartitions("shelf", "list", "label")  # packs of one label
     return dealt.select("shelf", "list", "ids", "labels", "vectors", "width", "uid", "id", "label", "windows", "wanted").mapInArrow(run, "uid bigint, w bigint, id bigint, score bigint")
 
 

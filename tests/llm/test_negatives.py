@@ -122,7 +122,22 @@ def test_scores_are_exact(most):
     packed = [(k, *(np.zeros(len(x), "<i8").tobytes() for _ in range(2)), np.array(x, "<i8").tobytes(), 8) for k, x in zip((2, 5), rows, strict=False)]
     shelf = negatives._Shelf(np.array([2, 3, 5]), packed)
     anchors = np.array(rows[2], np.int64)
-    for k, list_rows in ((0, rows[0]), (1, []), (2, rows[1])):
-        told = shelf.scores(anchors, negatives._norms(anchors).max(), k)
+    assert shelf.ranges == [(0, 7), (7, 7), (7, 16)]
+    for a, b, list_rows in ((0, 7, rows[0]), (7, 16, rows[1]), (9, 9, [])):
+        told = shelf.scores(anchors, negatives._norms(anchors).max(), a, b)
         cut = 2**63 - 1
         assert [[int(x) for x in row] for row in told] == [[max(-cut, min(cut, sum(a * b for a, b in zip(x, y, strict=False)))) for y in list_rows] for x in rows[2]]
+
+
+@pytest.mark.parametrize("few_labels", [0, 3])
+def test_labels_of_a_pack(spark, monkeypatch, few_labels):
+    monkeypatch.setattr(negatives, "FEW_LABELS", few_labels)
+    monkeypatch.setattr(negatives, "PACK", 11)
+    monkeypatch.setattr(negatives, "TILE", 5)
+    monkeypatch.setattr(negatives, "CANDIDATES", 20)
+    rng = random.Random(16)
+    rows = [(i, v, rng.choice([-3, 0, 2, 2, 2**31 - 1])) for i, v in enumerate(vectors(rng, 400, 5))]
+    rows += [(400 + i, rows[0][1], rng.choice([0, 2])) for i in range(60)]
+    told = found(spark.createDataFrame(rows, SCHEMA), 10)
+    assert told == plain(rows, 10)
+    assert told
